@@ -66,19 +66,28 @@ def neighbours(df: DataFrame, group: Sequence[str], pos: str, cols: Sequence[str
     return out.filter(F.col("_c") == here).drop("_c")
 
 
-def running_last(df: DataFrame, group: Sequence[str], pos: str, value: Column, name: str,
-                 chunk: int = CHUNK, inclusive: bool = True) -> DataFrame:
-    """Largest non-null ``value`` at or before each row in ``pos`` order (before it if not ``inclusive``)."""
+def running(df: DataFrame, group: Sequence[str], pos: str, value: Column, name: str, fn: str = "max",
+            chunk: int = CHUNK, inclusive: bool = True) -> DataFrame:
+    """Running ``max`` or ``sum`` of ``value`` in ``pos`` order, up to each row (or up to the row before)."""
     group = list(group)
     part = [*group, "_c"]
+    agg = {"max": F.max, "sum": F.sum}[fn]
     rows = df.withColumn("_c", F.floor(F.col(pos) / chunk)).withColumn("_v", value)
     w = Window.partitionBy(*part).orderBy(pos).rowsBetween(
         Window.unboundedPreceding, Window.currentRow if inclusive else -1)
-    per_chunk = rows.groupBy(*part).agg(F.max("_v").alias("_cv"))
+    per_chunk = rows.groupBy(*part).agg(agg("_v").alias("_cv"))
     before = Window.partitionBy(*group).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_chunk.select(*part, F.max("_cv").over(before).alias("_in"))
-    return (rows.withColumn("_l", F.max("_v").over(w)).join(carried, part)
-            .withColumn(name, F.greatest("_l", "_in")).drop("_c", "_v", "_l", "_in"))
+    carried = per_chunk.select(*part, agg("_cv").over(before).alias("_in"))
+    total = (F.greatest("_l", "_in") if fn == "max"
+             else F.coalesce("_l", F.lit(0)) + F.coalesce("_in", F.lit(0)))
+    return (rows.withColumn("_l", agg("_v").over(w)).join(carried, part)
+            .withColumn(name, total).drop("_c", "_v", "_l", "_in"))
+
+
+def running_last(df: DataFrame, group: Sequence[str], pos: str, value: Column, name: str,
+                 chunk: int = CHUNK, inclusive: bool = True) -> DataFrame:
+    """Largest non-null ``value`` so far; with a value that grows along ``pos`` this is the last one."""
+    return running(df, group, pos, value, name, "max", chunk, inclusive)
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], payload: Sequence[str]) -> DataFrame:

@@ -98,27 +98,24 @@ def plots(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---------------------------------------------------------------- generated storyboards
 
-def _q(s: str) -> str:
-    return "'" + s + "'"
+def _subject(d: str) -> str:
+    return ("'{\"name\": \"角色' || cast(" + d + " % 3 as string) || '\", \"gender\": \"女\", \"clothing\": \"' || lang || "
+            "'长裙\", \"position\": \"画面' || case when " + d + " % 2 = 0 then '左侧' else '' end || '\", \"action\": \"转身走向' "
+            "|| source || '\", \"expression\": \"' || case when " + d + " % 5 = 0 then '' else '微笑' end || '\"}'")
 
 
-def _subject(i: int) -> str:
-    return ("'{\"name\": \"角色' || cast((doc_id + " + str(i) + ") % 3 as string) || '\", \"gender\": \"女\", \"clothing\": \"'"
-            " || lang || '长裙\", \"position\": \"画面' || case when (doc_id + " + str(i) + ") % 2 = 0 then '左侧' else '' end"
-            " || '\", \"action\": \"转身走向' || source || '\", \"expression\": \"' || case when (doc_id + " + str(i)
-            + ") % 5 = 0 then '' else '微笑' end || '\"}'")
-
-
-def _shot(i: int) -> str:
+def _shot(i: str) -> str:
+    """JSON text of shot number ``i`` of a document, with absent keys and odd types mixed in."""
     d = f"(doc_id + {i})"
-    subjects = (f"case {d} % 6 when 0 then '[]' when 1 then {_subject(i)} when 2 then '\"none\"' "
-                f"when 3 then '[' || {_subject(i)} || ', \"x\", ' || {_subject(i + 1)} || ']' "
-                f"else '[' || {_subject(i)} || ']' end")
-    duration = (f"case {d} % 5 when 0 then '\"2.5\"' when 1 then '\"abc\"' when 2 then 'null' "
+    subjects = (f"case cast({d} % 6 as int) when 0 then '[]' when 1 then {_subject(d)} when 2 then '\"none\"' "
+                f"when 3 then '[' || {_subject(d)} || ', \"x\", ' || {_subject(f'(doc_id + {i} + 1)')} || ']' "
+                f"else '[' || {_subject(d)} || ']' end")
+    duration = (f"case cast({d} % 5 as int) when 0 then '\"2.5\"' when 1 then '\"abc\"' when 2 then 'null' "
                 f"else cast({d} % 4 as string) || '.5' end")
-    scale = f"case {d} % 7 when 0 then '{{\"a\": \"中景\", \"b\": \"近景\"}}' when 1 then '[\"特写\", \"全景\"]' when 2 then '3' else '\"中景\"' end"
+    scale = (f"case cast({d} % 7 as int) when 0 then '{{\"a\": \"中景\", \"b\": \"近景\"}}' "
+             f"when 1 then '[\"特写\", \"全景\"]' when 2 then '3' else '\"中景\"' end")
     return (
-        f"'{{\"index\": {i}, \"shot_scale\": ' || {scale} || ', \"camera_angle\": \"平拍\", ' || "
+        f"'{{\"index\": ' || cast({i} as string) || ', \"shot_scale\": ' || {scale} || ', \"camera_angle\": \"平拍\", ' || "
         f"case when {d} % 4 = 0 then '' else '\"camera_motion\": \"' || case when {d} % 3 = 0 then '固定' else '跟拍' end || '\", ' end || "
         f"'\"subjects\": ' || {subjects} || ', \"background\": \"' || case when {d} % 9 = 0 then '' else lang || '走廊' end || "
         f"'\", \"description_narrative\": \"角色' || cast({d} % 3 as string) || '在' || source || '停下\", ' || "
@@ -128,9 +125,14 @@ def _shot(i: int) -> str:
     )
 
 
-def _clean() -> str:
-    return ("'[' || " + _shot(0) + " || case when doc_id % 4 >= 1 then ', ' || " + _shot(1) + " else '' end"
-            " || case when doc_id % 4 >= 2 then ', ' || " + _shot(2) + " else '' end || ']'")
+def _clean_spark() -> str:
+    shot = _shot("cast(i as bigint)")
+    return f"'[' || array_join(transform(sequence(0, cast(least(doc_id % 4, 2) as int)), i -> {shot}), ', ') || ']'"
+
+
+def _clean_duck() -> str:
+    return ("'[' || " + _shot("0") + " || case when doc_id % 4 >= 1 then ', ' || " + _shot("1") + " else '' end"
+            " || case when doc_id % 4 >= 2 then ', ' || " + _shot("2") + " else '' end || ']'")
 
 
 MODEL_OUTPUT = (
@@ -147,7 +149,7 @@ def model_outputs(spark: SparkSession, sf: str) -> DataFrame:
     p = plots(spark, sf).select(F.col("episode").alias("conv_id"), "plot_summary")
     keyed = docs.withColumn("conv_id", F.expr("doc_id % 1200"))
     return (keyed.join(p, "conv_id", "left")
-            .withColumn("clean", F.expr(_clean()))
+            .withColumn("clean", F.expr(_clean_spark()))
             .select(F.col("doc_id").alias("sample_index"), "source", "lang",
                     F.expr("'【剧情摘要】' || chr(10) || coalesce(plot_summary, 'unknown plot') || chr(10) || chr(10) || "
                            "'【出场角色】' || chr(10) || '角色0、角色' || lang").alias("user_text"),
@@ -231,7 +233,7 @@ DUCK: dict[str, str] = {
         select doc_id as sample_index, source, lang, '【剧情摘要】' || chr(10) || coalesce(plot_summary, 'unknown plot')
           || chr(10) || chr(10) || '【出场角色】' || chr(10) || '角色0、角色' || lang as user_text,
           {MODEL_OUTPUT} as model_output
-        from (select d.*, p.plot_summary, {_clean()} as clean from documents d
+        from (select d.*, p.plot_summary, {_clean_duck()} as clean from documents d
               left join plots p on p.episode = d.doc_id % 1200)""",
     "pack_items": f"""
         select doc_id as sample_index, {list(TASKS)}[(doc_id % 5 + 1)::int] as task_type, n_chars as length
