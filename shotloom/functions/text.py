@@ -17,6 +17,11 @@ def trim_all(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row."""
+    return F.transform(F.array(value), body)[0]
+
+
 def blank_to_null(c: Column) -> Column:
     return F.when(c != "", c)
 
@@ -186,7 +191,7 @@ def data_uri(path: Column, content: Column) -> Column:
     """``data:image/…;base64,…``; jpg is named jpeg."""
     ext = F.lower(F.regexp_extract(path, r"\.([^.]*)$", 1))
     kind = F.when(ext == "jpg", "jpeg").otherwise(ext)
-    return F.concat(F.lit("data:image/"), kind, F.lit(";base64,"), F.base64(content))
+    return F.concat(F.lit("data:image/"), kind, F.lit(";base64,"), F.translate(F.base64(content), "\r\n", ""))
 
 
 def duration_enum(c: Column, fallback: str = "5") -> Column:

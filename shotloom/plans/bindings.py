@@ -180,7 +180,7 @@ def ledger(spark: SparkSession, sf: str) -> DataFrame:
     status = (F.when(F.col("o_orderstatus") == "F", "SUCCESS").when(F.col("o_orderstatus") == "O", "RUNNING")
               .otherwise("FAILED"))
     return table(spark, sf, "orders").select(
-        F.col("o_custkey").alias("task"), F.col("o_orderkey").alias("event_no"), F.col("o_orderdate").alias("at"),
+        F.col("o_custkey").alias("task"), F.col("o_orderkey").alias("event_no"), F.col("o_orderdate").alias("happened"),
         status.alias("status"))
 
 
@@ -235,6 +235,24 @@ DUCK: dict[str, str] = {
           {MODEL_OUTPUT} as model_output
         from (select d.*, p.plot_summary, {_clean_duck()} as clean from documents d
               left join plots p on p.episode = d.doc_id % 1200)""",
+    "salvaged": r"""
+        select sample_index, source, lang, user_text, arr, not whole and arr is not null
+            and substr(ltrim(substr(body, length(arr))), 1, 1) <> ']' as repaired
+        from (select *, case when whole then t else list_filter(list_transform(list_filter(range(1, length(body) + 1),
+              lambda i: body[i] = '}'), lambda i: substr(body, 1, i) || ']'), lambda x: json_valid(x))[-1] end as arr
+          from (select *, json_valid(t) and starts_with(t, '[') as whole, substr(t, greatest(instr(t, '['), 1)) as body
+            from (select *, trim(replace(regexp_replace(model_output, '(?s)<think>.*?</think>', '', 'g'), '<END>', '')) as t
+                  from model_outputs)))""",
+    "items": """
+        select sample_index, source, lang, repaired, pos, l[pos + 1] as s from (
+          select *, unnest(range(len(l))) as pos from (
+            select *, list_filter(json_extract(arr::json, '$[*]'), lambda x: json_type(x) = 'OBJECT') as l
+            from salvaged where arr is not null))""",
+    "subjects": """
+        select sample_index, pos, k, l[k + 1] as u from (select sample_index, pos, l, unnest(range(len(l))) as k from (
+          select sample_index, pos, list_filter(case json_type(s->'$.subjects') when 'OBJECT' then [s->'$.subjects']
+            when 'ARRAY' then json_extract(s, '$.subjects[*]') else [] end, lambda x: json_type(x) = 'OBJECT') as l
+          from items))""",
     "pack_items": f"""
         select doc_id as sample_index, {list(TASKS)}[(doc_id % 5 + 1)::int] as task_type, n_chars as length
         from documents""",
@@ -243,7 +261,7 @@ DUCK: dict[str, str] = {
           ['done', 'failed', 'timeout', 'done'][(p_size % 4 + 1)::int] as status, p_retailprice::double as metric
         from part""",
     "ledger": """
-        select o_custkey as task, o_orderkey as event_no, o_orderdate as at,
+        select o_custkey as task, o_orderkey as event_no, o_orderdate as happened,
           case o_orderstatus when 'F' then 'SUCCESS' when 'O' then 'RUNNING' else 'FAILED' end as status from orders""",
     "paths": r"""
         select page_id, regexp_extract(url, '^https?://([^/]+)/', 1) as drama,
@@ -294,3 +312,27 @@ def sql(body: str) -> str:
     if stripped.lower().startswith("with "):
         return f"with {views}, {stripped[5:]}" if views else stripped
     return f"with {views} {stripped}" if views else stripped
+
+
+# ---------------------------------------------------------------- storyboard items, both engines
+
+def salvaged(spark: SparkSession, sf: str) -> DataFrame:
+    from shotloom.functions.jsonfix import json_repair_truncated
+    m = model_outputs(spark, sf)
+    return m.select("sample_index", "source", "lang", "user_text",
+                    json_repair_truncated(F.col("model_output")).alias("r")).select(
+        "sample_index", "source", "lang", "user_text", "r.items", "r.repaired")
+
+
+def items(spark: SparkSession, sf: str) -> DataFrame:
+    """sample_index, source, lang, repaired, pos, item: raw text of each recovered shot object."""
+    return salvaged(spark, sf).select("sample_index", "source", "lang", "repaired",
+                                      F.posexplode("items").alias("pos", "item"))
+
+
+def duck_text(field: str, row: str = "s") -> str:
+    """Text of a leaf in DuckDB: the parts of an object or array joined, else the scalar."""
+    path = f"$.{field}"
+    return (f"case json_type({row}->'{path}') when 'OBJECT' then array_to_string(json_extract_string({row}, '{path}.*'), '，') "
+            f"when 'ARRAY' then array_to_string(json_extract_string({row}, '{path}[*]'), '，') "
+            f"else coalesce({row}->>'{path}', '') end")

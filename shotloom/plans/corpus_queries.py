@@ -360,7 +360,7 @@ def _pending(spark, sf):
 ACTIONS = """
     acts as (select task, events, last_status, case when has_result then 'skip' when last_status = 'RUNNING' then 'resume'
         else 'submit' end as action from (
-          select t.task, count(l.task) as events, arg_max(status, row(at, event_no)) as last_status,
+          select t.task, count(l.task) as events, arg_max(status, row(happened, event_no)) as last_status,
             coalesce(bool_or(status = 'SUCCESS'), false) as has_result
           from (select c_custkey as task from customer) t
             left join (select * from ledger where status <> 'SUCCESS' or event_no % 9 = 0) l using (task) group by t.task))"""
@@ -369,7 +369,7 @@ ACTIONS = """
 def _actions(spark, sf):
     tasks = B.table(spark, sf, "customer").select(F.col("c_custkey").alias("task"))
     events = B.ledger(spark, sf).filter("status <> 'SUCCESS' or event_no % 9 = 0")
-    return L.task_ledger_actions(tasks, events, ["at", "event_no"])
+    return L.task_ledger_actions(tasks, events, ["happened", "event_no"])
 
 
 @query("task_ledger_actions", sql(f"with {ACTIONS} select * from acts"))
