@@ -7,9 +7,13 @@ TEXT_FIELDS = ("shot_scale", "camera_angle", "camera_motion", "background", "des
                "speaker", "emotion")
 SUBJECT_FIELDS = ("name", "gender", "clothing", "position", "action", "expression")
 
-VIDEO_SUFFIXES = ("mp4", "avi", "mov", "mkv", "flv", "wmv", "m4v", "webm")
+VIDEO_SUFFIXES = ("mp4", "avi", "mov", "mkv", "flv", "wmv", "ts", "m4v")
 IMAGE_SUFFIXES = ("png", "jpg", "jpeg", "webp", "bmp")
 
+IMAGE_ENDINGS = (".png", ".jpg", ".jpeg", ".webp")
+SUCCESS_STATES = ("SUCCESS",)
+RUNNING_STATES = ("QUEUED", "RUNNING")
+
 PLOT_TITLE = "剧情摘要"
 CAST_TITLE = "出场角色"
 STATIC_MOTION = "固定"

@@ -10,7 +10,7 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,11 +75,30 @@ def _salvage(texts: pd.Series) -> pd.DataFrame:
 
 def json_repair_truncated(c: Column) -> Column:
     """STRUCT<items ARRAY<STRING>, repaired>: the complete leading objects of a storyboard text."""
+    clean = _clean_items(c)
+    rest = _salvage(clean["rest"])
+    return F.struct(F.coalesce(clean["items"], rest["items"]).alias("items"),
+                    F.coalesce(rest["repaired"], F.lit(False)).alias("repaired"))
+
+
+def _clean_items(c: Column) -> Column:
+    """STRUCT<items, rest>: the objects of a text that parses whole, or the text that does not."""
     text = trim_all(F.replace(strip_think(c), F.lit(END_TOKEN), F.lit("")))
-    clean = text.startswith("[") & json_strict(text)
-    rest = _salvage(F.when(~clean, text))
-    return F.struct(F.when(clean, array_items(text)).otherwise(rest["items"]).alias("items"),
-                    F.when(clean, False).otherwise(rest["repaired"]).alias("repaired"))
+    return let(text, lambda t: let(t.startswith("[") & json_strict(t), lambda ok: F.struct(
+        F.when(ok, array_items(t)).alias("items"), F.when(~ok, t).alias("rest"))))
+
+
+def with_repaired_items(df: DataFrame, column: str) -> DataFrame:
+    """Add ``items`` and ``repaired`` of ``json_repair_truncated``, each text being parsed once."""
+    parsed = df.withColumn("_clean", _clean_items(F.col(column))).withColumn("_rest", _salvage("_clean.rest"))
+    return (parsed.withColumn("items", F.coalesce("_clean.items", "_rest.items"))
+            .withColumn("repaired", F.coalesce("_rest.repaired", F.lit(False))).drop("_clean", "_rest"))
+
+
+def explode_items(df: DataFrame) -> DataFrame:
+    """One row per item with ``pos`` and ``item``; a plain explode would parse the texts again to filter empty lists."""
+    rest = [c for c in df.columns if c != "items"]
+    return df.select(*rest, F.posexplode_outer("items").alias("pos", "item")).filter(F.col("pos").isNotNull())
 
 
 def _last_value(text: str, openings: str) -> str | None:

@@ -6,11 +6,21 @@ written is part of each format.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shotloom.functions import fixed_text as T
-from shotloom.functions.text import strip_control_lines, strip_dialogue, trim_all
+from shotloom.functions.text import let, strip_control_lines, strip_dialogue, trim_all
+
+
+def per_shot(build):
+    """Compute the shot struct once however often ``build`` reads it."""
+    @functools.wraps(build)
+    def column(s: Column) -> Column:
+        return let(s, build)
+    return column
 
 
 def _text(c: Column) -> Column:
@@ -26,6 +36,7 @@ def _join(sep: str, *parts: Column) -> Column:
     return F.array_join(F.array_compact(F.array(*parts)), sep)
 
 
+@per_shot
 def description_visual(s: Column) -> Column:
     """Camera without a static motion; background; subjects that have any attribute; one full stop."""
     scale, angle = trim_all(_text(s["shot_scale"])), trim_all(_text(s["camera_angle"]))
@@ -44,6 +55,7 @@ def description_visual(s: Column) -> Column:
     return F.when(line != "", F.concat(line, F.lit("。"))).otherwise("")
 
 
+@per_shot
 def embedding_text(s: Column) -> Column:
     """Motion always in brackets; every subject is written and ends with a full stop."""
     scale, angle, motion, background = (_text(s[f]) for f in ("shot_scale", "camera_angle", "camera_motion", "background"))
@@ -58,6 +70,7 @@ def embedding_text(s: Column) -> Column:
     return F.array_join(F.array_compact(parts), "；")
 
 
+@per_shot
 def visual_query(s: Column) -> Column:
     """Motion only where given; background and subjects end with a full stop; no shot reads as an empty scene."""
     motion, background = _text(s["camera_motion"]), _text(s["background"])
@@ -73,6 +86,7 @@ def visual_query(s: Column) -> Column:
     return F.when(s.isNull(), "空镜头").otherwise(F.array_join(F.array_compact(parts), "；"))
 
 
+@per_shot
 def shot_prompt(s: Column) -> Column:
     """Camera, background, people, narrative, dialogue and mood for a video model."""
     scale, angle, motion = (_text(s[f]) for f in ("shot_scale", "camera_angle", "camera_motion"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SUCCESS = ("SUCCESS", "SUCCEEDED", "COMPLETED", "DONE")
+from shotloom.functions.fixed_text import RUNNING_STATES, SUCCESS_STATES
 
 
 def pending_work(inputs: DataFrame, outputs: DataFrame, keys: Sequence[str], valid: Column | None = None) -> DataFrame:
@@ -20,14 +20,14 @@ def latest_events(events: DataFrame, order: Sequence[str], key: str = "task") ->
     """Last event per task and whether any succeeded; combined before the shuffle, so a busy task is cheap."""
     return events.groupBy(key).agg(
         F.max(F.struct(*order, "status"))["status"].alias("last_status"),
-        F.max(F.upper("status").isin(*SUCCESS)).alias("has_result"), F.count(F.lit(1)).alias("events"))
+        F.max(F.upper("status").isin(*SUCCESS_STATES)).alias("has_result"), F.count(F.lit(1)).alias("events"))
 
 
 def task_ledger_actions(tasks: DataFrame, events: DataFrame, order: Sequence[str], key: str = "task") -> DataFrame:
     """skip a task that has a result, resume one that is running, submit the others."""
     last = latest_events(events, order, key)
     action = (F.when(F.coalesce("has_result", F.lit(False)), "skip")
-              .when(F.col("last_status") == "RUNNING", "resume").otherwise("submit"))
+              .when(F.upper("last_status").isin(*RUNNING_STATES), "resume").otherwise("submit"))
     return (tasks.join(last, key, "left")
             .select(key, F.coalesce("events", F.lit(0)).alias("events"), "last_status", action.alias("action")))
 

@@ -40,15 +40,15 @@ def rank_in_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
     and shifted by the number of rows in the earlier buckets of the group.
     """
     group = list(group)
-    part = [*group, "_b"]
-    rows = df.withColumn("_b", bucket)
+    part = [*group, "__b"]
+    rows = df.withColumn("__b", bucket)
     local = F.row_number().over(Window.partitionBy(*part).orderBy(*order)) - 1
-    counts = rows.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*part, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    return (rows.withColumn("_r", local).join(offsets, part)
-            .withColumn(name, (F.col("_r") + F.col("_off")).cast("bigint"))
-            .drop("_r", "_off", "_b"))
+    counts = rows.groupBy(*part).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*part, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    return (rows.withColumn("__r", local).join(offsets, part)
+            .withColumn(name, (F.col("__r") + F.col("__off")).cast("bigint"))
+            .drop("__r", "__off", "__b"))
 
 
 def neighbours(df: DataFrame, group: Sequence[str], pos: str, cols: Sequence[str],
@@ -59,29 +59,29 @@ def neighbours(df: DataFrame, group: Sequence[str], pos: str, cols: Sequence[str
     """
     here = F.floor(F.col(pos) / chunk)
     copies = F.array_distinct(F.array(here, F.floor((F.col(pos) - 1) / chunk), F.floor((F.col(pos) + 1) / chunk)))
-    spread = df.withColumn("_c", F.explode(copies))
-    w = Window.partitionBy(*group, "_c").orderBy(pos)
+    spread = df.withColumn("__c", F.explode(copies))
+    w = Window.partitionBy(*group, "__c").orderBy(pos)
     out = spread.select("*", *[F.lag(c).over(w).alias(f"prev_{c}") for c in cols],
                         *[F.lead(c).over(w).alias(f"next_{c}") for c in cols])
-    return out.filter(F.col("_c") == here).drop("_c")
+    return out.filter(F.col("__c") == here).drop("__c")
 
 
 def running(df: DataFrame, group: Sequence[str], pos: str, value: Column, name: str, fn: str = "max",
             chunk: int = CHUNK, inclusive: bool = True) -> DataFrame:
     """Running ``max`` or ``sum`` of ``value`` in ``pos`` order, up to each row (or up to the row before)."""
     group = list(group)
-    part = [*group, "_c"]
+    part = [*group, "__c"]
     agg = {"max": F.max, "sum": F.sum}[fn]
-    rows = df.withColumn("_c", F.floor(F.col(pos) / chunk)).withColumn("_v", value)
+    rows = df.withColumn("__c", F.floor(F.col(pos) / chunk)).withColumn("__v", value)
     w = Window.partitionBy(*part).orderBy(pos).rowsBetween(
         Window.unboundedPreceding, Window.currentRow if inclusive else -1)
-    per_chunk = rows.groupBy(*part).agg(agg("_v").alias("_cv"))
-    before = Window.partitionBy(*group).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_chunk.select(*part, agg("_cv").over(before).alias("_in"))
-    total = (F.greatest("_l", "_in") if fn == "max"
-             else F.coalesce("_l", F.lit(0)) + F.coalesce("_in", F.lit(0)))
-    return (rows.withColumn("_l", agg("_v").over(w)).join(carried, part)
-            .withColumn(name, total).drop("_c", "_v", "_l", "_in"))
+    per_chunk = rows.groupBy(*part).agg(agg("__v").alias("__cv"))
+    before = Window.partitionBy(*group).orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
+    carried = per_chunk.select(*part, agg("__cv").over(before).alias("__in"))
+    total = (F.greatest("__l", "__in") if fn == "max"
+             else F.coalesce("__l", F.lit(0)) + F.coalesce("__in", F.lit(0)))
+    return (rows.withColumn("__l", agg("__v").over(w)).join(carried, part)
+            .withColumn(name, total).drop("__c", "__v", "__l", "__in"))
 
 
 def running_last(df: DataFrame, group: Sequence[str], pos: str, value: Column, name: str,
@@ -92,9 +92,9 @@ def running_last(df: DataFrame, group: Sequence[str], pos: str, value: Column, n
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], payload: Sequence[str]) -> DataFrame:
     """First row per key in ``order``; an aggregate, so copies are dropped before the shuffle."""
-    picked = F.min(F.struct(*order, *[c for c in payload if c not in order])).alias("_p")
+    picked = F.min(F.struct(*order, *[c for c in payload if c not in order])).alias("__p")
     return df.groupBy(*keys).agg(picked).select(
-        *keys, *[F.col("_p")[c].alias(c) for c in dict.fromkeys([*order, *payload]) if c not in keys])
+        *keys, *[F.col("__p")[c].alias(c) for c in dict.fromkeys([*order, *payload]) if c not in keys])
 
 
 def hash_order(*parts: Column | str) -> Column:
@@ -110,12 +110,12 @@ def hash_int(*parts: Column | str) -> Column:
 
 def global_rank(df: DataFrame, key: Column, name: str, prefix: int = 3) -> DataFrame:
     """0-based rank over the whole table by a hex ``key``; at most ``16**prefix`` offsets."""
-    hashed = df.withColumn("_k", key).withColumn("_one", F.lit(1))
-    return rank_in_group(hashed, ["_one"], [F.col("_k")], F.substring("_k", 1, prefix), name).drop("_k", "_one")
+    hashed = df.withColumn("__k", key).withColumn("__one", F.lit(1))
+    return rank_in_group(hashed, ["__one"], [F.col("__k")], F.substring("__k", 1, prefix), name).drop("__k", "__one")
 
 
 def limit_by_hash(df: DataFrame, n: int, key: Column) -> DataFrame:
     """A reproducible random sample of ``n`` rows; ``n <= 0`` keeps everything."""
     if n <= 0:
         return df
-    return df.withColumn("_k", key).orderBy("_k").limit(n).drop("_k")
+    return df.withColumn("__k", key).orderBy("__k").limit(n).drop("__k")

@@ -11,6 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shotloom.functions.jsonfix import explode_items, with_repaired_items
 from shotloom.operators.ordered import rank_in_group
 
 EPISODE_LEN = 20
@@ -317,17 +318,12 @@ def sql(body: str) -> str:
 # ---------------------------------------------------------------- storyboard items, both engines
 
 def salvaged(spark: SparkSession, sf: str) -> DataFrame:
-    from shotloom.functions.jsonfix import json_repair_truncated
-    m = model_outputs(spark, sf)
-    return m.select("sample_index", "source", "lang", "user_text",
-                    json_repair_truncated(F.col("model_output")).alias("r")).select(
-        "sample_index", "source", "lang", "user_text", "r.items", "r.repaired")
+    return with_repaired_items(model_outputs(spark, sf), "model_output").drop("model_output")
 
 
 def items(spark: SparkSession, sf: str) -> DataFrame:
     """sample_index, source, lang, repaired, pos, item: raw text of each recovered shot object."""
-    return salvaged(spark, sf).select("sample_index", "source", "lang", "repaired",
-                                      F.posexplode("items").alias("pos", "item"))
+    return explode_items(salvaged(spark, sf).drop("user_text"))
 
 
 def duck_text(field: str, row: str = "s") -> str:
