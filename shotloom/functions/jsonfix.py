@@ -36,13 +36,14 @@ def json_strict(c: Column) -> Column:
 
 def json_extract_array(c: Column) -> Column:
     """Text of the JSON array in a model output: the whole text, or its first ``[`` to its last ``]``; else null."""
-    whole = unwrap_model_output(c)
-    slice_ = F.regexp_extract(whole, r"(?s)\[.*\]", 0)
-
     def is_array(x: Column) -> Column:
         return x.startswith("[") & json_strict(x)
 
-    return F.when(is_array(whole), whole).when(is_array(slice_), slice_)
+    def found(whole: Column) -> Column:
+        inner = let(F.regexp_extract(whole, r"(?s)\[.*\]", 0), lambda x: F.when(is_array(x), x))
+        return F.when(is_array(whole), whole).otherwise(inner)
+
+    return let(unwrap_model_output(c), found)
 
 
 def array_items(c: Column) -> Column:

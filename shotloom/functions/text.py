@@ -40,9 +40,11 @@ def plot_summary(c: Column, title: str = PLOT_TITLE) -> Column:
 
 
 def strip_code_fence(c: Column) -> Column:
-    t = trim_all(c)
-    inner = F.regexp_replace(F.regexp_replace(t, r"^```[a-zA-Z0-9_+-]*\n?", ""), r"\n?```$", "")
-    return trim_all(F.when(t.startswith("```"), inner).otherwise(t))
+    def bare(t: Column) -> Column:
+        inner = F.regexp_replace(F.regexp_replace(t, r"^```[a-zA-Z0-9_+-]*\n?", ""), r"\n?```$", "")
+        return F.when(t.startswith("```"), trim_all(inner)).otherwise(t)
+
+    return let(trim_all(c), bare)
 
 
 def strip_think(c: Column) -> Column:
@@ -51,12 +53,13 @@ def strip_think(c: Column) -> Column:
 
 def unwrap_model_output(c: Column) -> Column:
     """Fence and end token removed; a quoted JSON string is decoded once."""
-    t = trim_all(F.replace(strip_code_fence(c), F.lit(END_TOKEN), F.lit("")))
-    boxed = F.concat(F.lit("{\"v\":"), t, F.lit("}"))
-    decoded = F.get_json_object(boxed, "$.v")
-    is_string = F.schema_of_variant(F.try_parse_json(boxed)) == "OBJECT<v: STRING>"
-    quoted = t.startswith('"') & t.endswith('"') & F.coalesce(is_string, F.lit(False))
-    return trim_all(F.when(quoted, decoded).otherwise(t))
+    def unquoted(t: Column) -> Column:
+        boxed = F.concat(F.lit("{\"v\":"), t, F.lit("}"))
+        is_string = F.coalesce(F.schema_of_variant(F.try_parse_json(boxed)) == "OBJECT<v: STRING>", F.lit(False))
+        return F.when(~(t.startswith('"') & t.endswith('"')), t).when(
+            is_string, trim_all(F.get_json_object(boxed, "$.v"))).otherwise(t)
+
+    return let(trim_all(F.replace(strip_code_fence(c), F.lit(END_TOKEN), F.lit(""))), unquoted)
 
 
 def decode_u_escapes(c: Column) -> Column:

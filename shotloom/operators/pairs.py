@@ -61,6 +61,7 @@ def block_join(left: DataFrame, right: DataFrame, group: Sequence[str], left_key
     keys = [*group, "_lb", "_rb"]
     a = place(left, left_key, "_lb", "_rb", "_nl", "_nr")
     b = place(right, right_key, "_rb", "_lb", "_nr", "_nl")
+    b = b.select(*[F.col(c).alias(c) for c in b.columns])  # both sides may stem from one table
     return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(fn, schema)
 
 

@@ -26,3 +26,25 @@ def write_presample(rows: DataFrame, path: str | None = None) -> DataFrame:
     (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("num_neg", "infonce_neg").parquet(path))
     return rows.sparkSession.read.parquet(path)
+
+
+def write_manifest_errors(inputs: DataFrame, manifest: DataFrame, errors: DataFrame, path: str) -> None:
+    """Manifest and error lines as JSONL below ``path``; ``inputs`` should be staged, as both read it."""
+    manifest.write.mode("overwrite").json(f"{path}/manifest")
+    errors.write.mode("overwrite").json(f"{path}/errors")
+
+
+def write_documents(documents: DataFrame, path: str, by: str = "source_file") -> None:
+    """One line per sample, one folder per source."""
+    documents.write.mode("overwrite").partitionBy(by).text(path)
+
+
+def append_runs(rows: DataFrame, path: str, columns: list[str]) -> DataFrame:
+    """Append run rows under a fixed column order; read back all of them."""
+    rows.select(*columns).write.mode("append").parquet(path)
+    return rows.sparkSession.read.schema(rows.select(*columns).schema).parquet(path)
+
+
+def replace_partitions(rows: DataFrame, path: str, by: list[str]) -> None:
+    """Overwrite only the partitions present in ``rows``."""
+    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path))
