@@ -145,9 +145,14 @@ MODEL_OUTPUT = (
 
 
 def model_outputs(spark: SparkSession, sf: str) -> DataFrame:
-    """sample_index, source, lang, user_text, model_output, n_docs key for the plot text."""
-    docs = table(spark, sf, "documents").select("doc_id", "source", "lang")
-    p = plots(spark, sf).select(F.col("episode").alias("conv_id"), "plot_summary")
+    """sample_index, source, lang, user_text, model_output."""
+    return outputs_of(table(spark, sf, "documents"), plots(spark, sf))
+
+
+def outputs_of(documents: DataFrame, plot_rows: DataFrame) -> DataFrame:
+    """The same from a document table or stream."""
+    docs = documents.select("doc_id", "source", "lang")
+    p = plot_rows.select(F.col("episode").alias("conv_id"), "plot_summary")
     keyed = docs.withColumn("conv_id", F.expr("doc_id % 1200"))
     return (keyed.join(p, "conv_id", "left")
             .withColumn("clean", F.expr(_clean_spark()))
