@@ -7,8 +7,8 @@ frames.  Positions are integers: a chunk holds at most ``chunk`` candidates.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shotloom.functions import vectors as V
@@ -68,20 +68,24 @@ def suppress_near(peaks: DataFrame, gap: int, chunk: int = CHUNK, margin: int |
     pass over runs of unsettled peaks.
     """
     margin = margin if margin is not None else 16 * gap
-    here = F.floor(F.col("frame_no") / chunk)
-    seen = F.sequence(F.floor((F.col("frame_no") - margin) / chunk), F.floor((F.col("frame_no") + margin) / chunk))
+    seen = F.sequence(F.greatest(F.floor((F.col("frame_no") - margin) / chunk), F.lit(0)),
+                      F.floor((F.col("frame_no") + margin) / chunk))
     schema = "video {}, frame_no bigint, diff double, state int".format(peaks.schema["video"].dataType.simpleString())
 
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_no", ignore_index=True)
-        pos, c = pdf["frame_no"].to_numpy(), int(pdf["_c"].iloc[0])
-        start, end = c * chunk, (c + 1) * chunk
-        state = _suppress(pos, pdf["diff"].to_numpy(), gap, np.full(len(pos), OPEN), start - margin, end + margin - 1)
-        own = (pos >= start) & (pos < end)
-        return pdf.loc[own, ["video", "frame_no", "diff"]].assign(state=state[own].astype("int32"))
+    def stated(table: pa.Table, state: np.ndarray) -> pa.Table:
+        return table.select(["video", "frame_no", "diff"]).append_column("state", pa.array(state, pa.int32()))
+
+    def settle(table: pa.Table) -> pa.Table:
+        table = table.sort_by("frame_no")
+        pos = table["frame_no"].to_numpy()
+        start = table["_c"][0].as_py() * chunk
+        seen_from = start - margin if start > 0 else -np.inf
+        state = _suppress(pos, table["diff"].to_numpy(), gap, np.full(len(pos), OPEN), seen_from, start + chunk + margin - 1)
+        own = (pos >= start) & (pos < start + chunk)
+        return stated(table, state).filter(pa.array(own))
 
     live = stage(peaks.select("video", "frame_no", "diff").withColumn("_c", F.explode(seen))
-                 .groupBy("video", "_c").applyInPandas(settle, schema).filter(F.col("state") != DROP))
+                 .groupBy("video", "_c").applyInArrow(settle, schema).filter(F.col("state") != DROP))
     if live.filter(F.col("state") == OPEN).isEmpty():
         return live.select("video", "frame_no", "diff")
     prev = running_last(live, ["video"], "frame_no", F.col("frame_no"), "_prev", chunk, inclusive=False)
@@ -89,15 +93,15 @@ def suppress_near(peaks: DataFrame, gap: int, chunk: int = CHUNK, margin: int |
     runs = stage(running_last(prev, ["video"], "frame_no", starts, "_run", chunk))
     open_runs = runs.filter(F.col("state") == OPEN).select("video", "_run").distinct()
 
-    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_no", ignore_index=True)
-        state = _suppress(pdf["frame_no"].to_numpy(), pdf["diff"].to_numpy(), gap, pdf["state"].to_numpy().copy(),
+    def finish(table: pa.Table) -> pa.Table:
+        table = table.sort_by("frame_no")
+        state = _suppress(table["frame_no"].to_numpy(), table["diff"].to_numpy(), gap, table["state"].to_numpy().copy(),
                           -np.inf, np.inf)
-        return pdf[["video", "frame_no", "diff"]].assign(state=state.astype("int32"))
+        return stated(table, state)
 
     columns = ["video", "frame_no", "diff", "state"]
     rest = (runs.join(open_runs, ["video", "_run"], "left_semi").groupBy("video", "_run")
-            .applyInPandas(finish, schema))
+            .applyInArrow(finish, schema))
     closed = runs.join(open_runs, ["video", "_run"], "left_anti").select(*columns)
     return closed.unionByName(rest).filter(F.col("state") == KEEP).select("video", "frame_no", "diff")
 
@@ -111,50 +115,58 @@ def detect_scene_cuts(frames: DataFrame, threshold: float = 30.0, adaptive: floa
     return suppress_near(strong.select("video", "frame_no", "diff"), min_len, chunk)
 
 
+def _spaced(frames_in_order: Column, gap: int, entry: Column) -> Column:
+    """Frames kept by the forward distance rule after a last kept frame ``entry``."""
+    start = F.struct(entry.cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("kept"))
+    return F.aggregate(frames_in_order, start, lambda acc, x: F.when(
+        x - acc["last"] >= gap, F.struct(x.alias("last"), F.concat(acc["kept"], F.array(x)).alias("kept"))).otherwise(acc))["kept"]
+
+
 def keep_spaced(points: DataFrame, gap: int, chunk: int = CHUNK) -> DataFrame:
     """In frame order keep a point if it is at least ``gap`` after the last kept one.
 
-    What a chunk keeps depends only on the last point kept before it, and of that only on
-    the distance when it is below ``gap``.  Every chunk tabulates its last kept point for
-    each such entry, a short pass over the chunk tables chains them, and each chunk
-    then replays from its entry.
+    A chunk holds at most ``chunk`` points, so it is folded as one array.  What it keeps
+    depends on the chunks before only through the last point kept, and on that only when it
+    is nearer than ``gap``.  In a video of several chunks each chunk tabulates its last kept
+    point for every such entry, and a pass over these short tables gives each its entry.
     """
     video = points.schema["video"].dataType.simpleString()
-    rows = stage(points.select("video", "frame_no")).withColumn("_c", F.floor(F.col("frame_no") / chunk))
+    lists = stage(points.select("video", "frame_no").withColumn("_c", F.floor(F.col("frame_no") / chunk))
+                  .groupBy("video", "_c").agg(F.sort_array(F.collect_list("frame_no")).alias("_l")))
+    long = lists.groupBy("video").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("video")
+    free = F.lit(-gap)
 
-    def exits(pdf: pd.DataFrame) -> pd.DataFrame:
-        pos = np.sort(pdf["frame_no"].to_numpy())
+    def folded(df: DataFrame, entry: Column) -> DataFrame:
+        return df.select("video", F.explode(_spaced(F.col("_l"), gap, entry)).alias("frame_no"))
+
+    if long.isEmpty():
+        return folded(lists, free)
+
+    def exits(table: pa.Table) -> pa.Table:
+        start, pos = table["_c"][0].as_py() * chunk, np.asarray(table["_l"][0].as_py())
         nxt = np.searchsorted(pos, pos + gap)
-        last = np.empty(len(pos), dtype=np.int64)
+        last = pos.copy()
         for i in range(len(pos) - 1, -1, -1):
-            last[i] = pos[i] if nxt[i] == len(pos) else last[nxt[i]]
-        start = int(pdf["_c"].iloc[0]) * chunk
-        allowed = np.searchsorted(pos, start - np.arange(1, gap + 1) + gap)   # entry d frames before the chunk
-        table = [int(last[i]) if i < len(pos) else -1 for i in allowed]
-        return pd.DataFrame({"video": [pdf["video"].iloc[0]], "_c": [start // chunk], "_exit": [table]})
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, last, entries = pdf.sort_values("_c", ignore_index=True), None, []
-        for c, table in zip(pdf["_c"], pdf["_exit"]):
-            entries.append(-1 if last is None else last)
-            distance = gap if last is None else min(c * chunk - last, gap)
-            out = table[distance - 1]
+            if nxt[i] < len(pos):
+                last[i] = last[nxt[i]]
+        after = np.searchsorted(pos, start - np.arange(1, gap + 1) + gap)   # entry lies 1..gap frames before the chunk
+        ends = [int(last[i]) if i < len(pos) else -1 for i in after]
+        return pa.table({"video": table["video"], "_c": table["_c"], "_exit": pa.array([ends], pa.list_(pa.int64()))})
+
+    def chain(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_c")
+        last, entries = -gap, []
+        for c, ends in zip(table["_c"].to_pylist(), table["_exit"].to_pylist()):
+            entries.append(last)
+            out = ends[min(c * chunk - last, gap) - 1]
             last = out if out >= 0 else last
-        return pd.DataFrame({"video": pdf["video"], "_c": pdf["_c"], "_entry": entries})
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pos, entry = np.sort(pdf["frame_no"].to_numpy()), pdf["_entry"].iloc[0]
-        i = 0 if entry < 0 else int(np.searchsorted(pos, entry + gap))
-        kept = []
-        while i < len(pos):
-            kept.append(pos[i])
-            i = int(np.searchsorted(pos, pos[i] + gap))
-        return pd.DataFrame({"video": [pdf["video"].iloc[0]] * len(kept), "frame_no": kept})
-
-    tables = rows.groupBy("video", "_c").applyInPandas(exits, f"video {video}, _c bigint, _exit array<bigint>")
-    entries = tables.groupBy("video").applyInPandas(chain, f"video {video}, _c bigint, _entry bigint")
-    return (rows.join(entries, ["video", "_c"]).groupBy("video", "_c")
-            .applyInPandas(replay, f"video {video}, frame_no bigint"))
+        return pa.table({"video": table["video"], "_c": table["_c"], "_entry": pa.array(entries, pa.int64())})
+
+    several = lists.join(long, "video", "left_semi")
+    tables = several.groupBy("video", "_c").applyInArrow(exits, f"video {video}, _c bigint, _exit array<bigint>")
+    entries = tables.groupBy("video").applyInArrow(chain, f"video {video}, _c bigint, _entry bigint")
+    return folded(lists.join(long, "video", "left_anti"), free).unionByName(
+        folded(several.join(entries, ["video", "_c"]), F.col("_entry")))
 
 
 def detect_flash_cuts(frames: DataFrame, threshold: float = 230.0, shift: int = 20, min_len: int = 15,
