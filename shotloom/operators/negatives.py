@@ -111,13 +111,10 @@ def _mine_blocks(vectors: DataFrame, topk: int, pct: float, exclude_same_episode
             q[hidden] = BANNED
             yield part, q, neg
 
-    for width in LEVELS:
-        def count_bins(a: pd.DataFrame, b: pd.DataFrame, width: int = width) -> pd.DataFrame:
-            empty = pd.DataFrame({"shot_id": [], "target": [], "bin": [], "n": []})
-            if a.empty or b.empty:
-                return empty
-            parts = [empty]
-            for part, q, _ in scored(a, b):
+    def bin_counter(width: int):
+        def count_bins(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            parts = [pd.DataFrame({"shot_id": [], "target": [], "bin": [], "n": []})]
+            for part, q, _ in (scored(a, b) if len(a) and len(b) else ()):
                 for t in (0, 1):
                     bins = (q - part[f"lo{t}"].to_numpy()[:, None]) // width
                     inside = (bins >= 0) & (bins < RADIX) & (q > BANNED)
@@ -126,8 +123,10 @@ def _mine_blocks(vectors: DataFrame, topk: int, pct: float, exclude_same_episode
                     parts.append(pd.DataFrame({"shot_id": part["shot_id"].to_numpy()[code // RADIX],
                                                "target": t, "bin": code % RADIX, "n": n}))
             return pd.concat(parts, ignore_index=True)
+        return count_bins
 
-        counts = (block_join(anchors, cands, ["drama"], "shot_id", "neg", count_bins,
+    for width in LEVELS:
+        counts = (block_join(anchors, cands, ["drama"], "shot_id", "neg", bin_counter(width),
                              f"shot_id {ids}, target int, bin bigint, n bigint", block)
                   .groupBy("shot_id", "target", "bin").agg(F.sum("n").alias("n")))
         w = Window.partitionBy("shot_id", "target").orderBy("bin")
@@ -135,8 +134,7 @@ def _mine_blocks(vectors: DataFrame, topk: int, pct: float, exclude_same_episode
         rank = F.when(F.col("target") == 0, F.col("r0")).otherwise(F.col("r1"))
         hit = cum.filter((F.col("_to") > rank) & (F.col("_to") - F.col("n") <= rank))
         found = hit.groupBy("shot_id").agg(
-            *[F.max(F.when(F.col("target") == t, F.col(c))).alias(f"{a}{t}")
-              for t in (0, 1) for c, a in (("bin", "_bin"),)],
+            *[F.max(F.when(F.col("target") == t, F.col("bin"))).alias(f"_bin{t}") for t in (0, 1)],
             *[F.max(F.when(F.col("target") == t, F.col("_to") - F.col("n"))).alias(f"_skip{t}") for t in (0, 1)])
         anchors = stage(anchors.join(found, "shot_id").select(
             "drama", "shot_id", "episode", "vec", "h",
