@@ -74,14 +74,6 @@ def _salvage(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["items", "repaired"])
 
 
-def json_repair_truncated(c: Column) -> Column:
-    """STRUCT<items ARRAY<STRING>, repaired>: the complete leading objects of a storyboard text."""
-    clean = _clean_items(c)
-    rest = _salvage(clean["rest"])
-    return F.struct(F.coalesce(clean["items"], rest["items"]).alias("items"),
-                    F.coalesce(rest["repaired"], F.lit(False)).alias("repaired"))
-
-
 def _clean_items(c: Column) -> Column:
     """STRUCT<items, rest>: the objects of a text that parses whole, or the text that does not."""
     text = trim_all(F.replace(strip_think(c), F.lit(END_TOKEN), F.lit("")))
@@ -90,7 +82,11 @@ def _clean_items(c: Column) -> Column:
 
 
 def with_repaired_items(df: DataFrame, column: str) -> DataFrame:
-    """Add ``items`` and ``repaired`` of ``json_repair_truncated``, each text being parsed once."""
+    """Add ``items`` ARRAY<STRING>, the complete leading objects of a storyboard text, and ``repaired``.
+
+    A text that parses whole gives its objects and is not repaired; one that breaks off gives
+    the objects before the break and is.
+    """
     parsed = df.withColumn("_clean", _clean_items(F.col(column))).withColumn("_rest", _salvage("_clean.rest"))
     return (parsed.withColumn("items", F.coalesce("_clean.items", "_rest.items"))
             .withColumn("repaired", F.coalesce("_rest.repaired", F.lit(False))).drop("_clean", "_rest"))

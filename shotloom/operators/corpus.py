@@ -203,8 +203,8 @@ def load_rl_split(samples: DataFrame, plots: DataFrame, vectors: DataFrame, spli
     if max_samples is not None:
         kept = kept.orderBy(order).limit(max_samples)
         # One row: where reading stops, or null when fewer samples match.
-        stop = kept.agg(F.when(F.count(F.lit(1)) >= max_samples, F.max(order)).alias("_stop"))
-        flags = (flags.withColumn("_g", F.lit(1)).join(F.broadcast(stop.withColumn("_g", F.lit(1))), "_g")
+        stop = kept.agg(F.when(F.count(F.lit(1)) >= max_samples, F.max(order)).alias("_stop")).withColumn("_g", F.lit(1))
+        flags = (attach_stats(flags.withColumn("_g", F.lit(1)), stop, ["_g"])
                  .filter(F.col("_stop").isNull() | (F.col(order) <= F.col("_stop"))))
     return kept, match_rate(flags, F.col("_kept").isNotNull())
 

@@ -128,10 +128,11 @@ def in_batch_loss(pairs: DataFrame, temperature: float = 0.07, block: int = BLOC
 
 def loss_report(hard: DataFrame, infonce: DataFrame, lambda_hard: float = 1.0, lambda_infonce: float = 1.0) -> DataFrame:
     """One row: mean symmetric losses and their weighted sum."""
-    h = hard.agg(F.avg("loss").alias("hard_loss")).withColumn("_one", F.lit(1))
-    i = infonce.agg(F.avg("loss").alias("infonce_loss")).withColumn("_one", F.lit(1))
+    none = F.lit(None).cast("double")
+    both = hard.select(F.col("loss").alias("h"), none.alias("i")).union(infonce.select(none, F.col("loss")))
     total = lambda_infonce * F.col("infonce_loss") + lambda_hard * F.col("hard_loss")
-    return h.join(i, "_one").select("hard_loss", "infonce_loss", total.alias("total"))
+    return (both.agg(F.avg("h").alias("hard_loss"), F.avg("i").alias("infonce_loss"))
+            .select("hard_loss", "infonce_loss", total.alias("total")))
 
 
 def bce(p: Column, y: Column) -> Column:

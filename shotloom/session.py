@@ -30,16 +30,20 @@ def local_session(cpus: int | str = 8, app: str = "shotloom", memory: str = "8g"
     return spark
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for written intermediates: the one the cluster names, a temporary one only in local mode."""
+    """Folder for written intermediates: the one the session names, a temporary one only in local mode."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    made = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if context.applicationId not in _LOCAL_DIRS:
+        _LOCAL_DIRS[context.applicationId] = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
+    return _LOCAL_DIRS[context.applicationId]
 
 
 def stage(df: DataFrame) -> DataFrame:
