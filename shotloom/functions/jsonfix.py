@@ -20,6 +20,8 @@ from shotloom.functions.text import END_TOKEN, let, strip_think, trim_all, unwra
 RAW_SHOT = "struct<" + ",".join(f"{f}:string" for f in SHOT_FIELDS) + ",description_visual:string,description:string>"
 RAW_SUBJECT = "struct<" + ",".join(f"{f}:string" for f in SUBJECT_FIELDS) + ">"
 _DECODER = json.JSONDecoder()
+# Python functions are declared nondeterministic so that the optimizer never copies a call into
+# a filter or merges it into several expressions.
 _BETWEEN = re.compile(r"[\s,]*")
 
 
@@ -81,6 +83,9 @@ def _clean_items(c: Column) -> Column:
         F.when(ok, array_items(t)).alias("items"), F.when(~ok, t).alias("rest"))))
 
 
+_salvage = _salvage.asNondeterministic()
+
+
 def with_repaired_items(df: DataFrame, column: str) -> DataFrame:
     """Add ``items`` ARRAY<STRING>, the complete leading objects of a storyboard text, and ``repaired``.
 
@@ -122,7 +127,7 @@ def json_recover_last(c: Column, openings: str = "[{") -> Column:
     def recover(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else _last_value(t, openings))
 
-    return F.when(whole, bare).otherwise(recover(F.when(~whole, c)))
+    return F.when(whole, bare).otherwise(recover.asNondeterministic()(F.when(~whole, c)))
 
 
 def parse_subjects(raw: Column, wrap_object: bool) -> Column:

@@ -160,3 +160,6 @@ def completion_mask(ends: Column, response_start: Column) -> Column:
 def word_ends(texts: pd.Series) -> pd.Series:
     """End offsets of white-space tokens, for corpora without tokenizer offsets."""
     return texts.map(lambda t: [m.end() for m in _WORD.finditer(t or "")])
+
+
+word_ends = word_ends.asNondeterministic()  # never copied into several expressions
