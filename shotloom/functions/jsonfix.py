@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -152,25 +153,35 @@ def normalize_shot(item: Column, wrap_object: bool = False) -> Column:
 
 def safe_text(raw: Column, levels: int = 2) -> Column:
     """Text of a leaf: strings trimmed, numbers as text, objects and arrays as their texts joined by ``，``."""
-    def joined(values: Column) -> Column:
-        return F.array_join(F.filter(F.transform(values, lambda v: safe_text(v, levels - 1)), lambda v: v != ""), "，")
-
     def text(t: Column) -> Column:
         plain = F.coalesce(t, F.lit(""))
         if levels == 0:
             return plain
-        return (F.when(t.startswith("{"), joined(F.map_values(F.from_json(t, "map<string,string>"))))
-                .when(t.startswith("["), joined(F.from_json(t, "array<string>"))).otherwise(plain))
+        values = (F.when(t.startswith("{"), F.map_values(F.from_json(t, "map<string,string>")))
+                  .when(t.startswith("["), F.from_json(t, "array<string>")))
+        inner = F.filter(F.transform(values, lambda v: safe_text(v, levels - 1)), lambda v: v != "")
+        return F.coalesce(F.array_join(inner, "，"), plain)
 
     return let(trim_all(raw), text)
 
 
+def safe_texts(raw: Column, fields: Sequence[str], *more: Column) -> Column:
+    """STRUCT of ``fields`` of a raw struct as safe texts, and ``more`` columns.
+
+    The fields go through one expression as an array: a copy of it per field would cost the
+    optimizer more time than the data.
+    """
+    texts = F.transform(F.array(*[raw[f] for f in fields]), lambda x: safe_text(x))
+    return let(texts, lambda t: F.struct(*[t[i].alias(f) for i, f in enumerate(fields)], *more))
+
+
 def safe_shot(item: Column) -> Column:
     """Raw object text → STRUCT whose texts went through ``safe_text``; a lone subject object counts as one subject."""
+    plain = [f for f in SHOT_FIELDS if f != "subjects"]
+
     def fields(raw: Column) -> Column:
-        subjects = F.transform(parse_subjects(raw["subjects"], True), lambda s: F.struct(
-            *[safe_text(s[f]).alias(f) for f in SUBJECT_FIELDS]))
-        return F.struct(*[(subjects if f == "subjects" else safe_text(raw[f])).alias(f) for f in SHOT_FIELDS])
+        subjects = F.transform(parse_subjects(raw["subjects"], True), lambda s: safe_texts(s, SUBJECT_FIELDS))
+        return safe_texts(raw, plain, subjects.alias("subjects"))
 
     return let(F.from_json(item, RAW_SHOT), fields)
 
