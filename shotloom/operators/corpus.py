@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shotloom.functions import fixed_text as T
 from shotloom.functions.text import last_number, plot_summary, trim_all
-from shotloom.operators.ordered import attach_stats, hash_order, limit_by_hash
+from shotloom.operators.ordered import attach_stats, first_rows, hash_order, limit_by_hash
 
 SHOT_KEY = ("drama", "episode", "shot_index")
 EPISODE = ("drama", "episode")
@@ -201,7 +201,7 @@ def load_rl_split(samples: DataFrame, plots: DataFrame, vectors: DataFrame, spli
     kept = matched.join(have, list(EPISODE), "left_semi").withColumn("split", F.lit(split))
     flags = samples.select(order).join(kept.select(order, F.lit(1).alias("_kept")), order, "left")
     if max_samples is not None:
-        kept = kept.orderBy(order).limit(max_samples)
+        kept = first_rows(kept, max_samples, order)
         # One row: where reading stops, or null when fewer samples match.
         stop = kept.agg(F.when(F.count(F.lit(1)) >= max_samples, F.max(order)).alias("_stop")).withColumn("_g", F.lit(1))
         flags = (attach_stats(flags.withColumn("_g", F.lit(1)), stop, ["_g"])

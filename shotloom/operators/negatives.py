@@ -258,18 +258,27 @@ def sample_infonce_negatives(shots: DataFrame, n: int = 27, window: int = 5, see
 
 
 def _infonce(laid: DataFrame, n: int, n_max: int, seed: int) -> DataFrame:
+    return _cut_draws(_infonce_draws(laid, n_max, seed), laid, n).select("anchor", "tier", "draw", "neg", "short_by")
+
+
+def _infonce_draws(laid: DataFrame, n_max: int, seed: int) -> DataFrame:
+    """The longest draw each tier can need, resolved to shots."""
+    draws = (draw_positions(laid, "windowed", n_max // 3, seed)
+             .unionByName(draw_positions(laid, "cross_episode", n_max // 3, seed))
+             .unionByName(draw_positions(laid, "cross_drama", n_max, seed)))
+    return resolve_positions(draws, laid)
+
+
+def _cut_draws(draws: DataFrame, laid: DataFrame, n: int) -> DataFrame:
+    """The leading draws of each tier that make up ``n``."""
     per, m1, m2, m3 = n // 3, pool_size("windowed"), pool_size("cross_episode"), pool_size("cross_drama")
     k1, k2 = F.least(F.lit(per), m1), F.least(F.lit(per), m2)
     k3 = F.least(n - k1 - k2, m3)
     quota = laid.select(F.col("shot_id").alias("anchor"), k1.alias("_k1"), k2.alias("_k2"), k3.alias("_k3"),
                         (n - k1 - k2 - k3).cast("int").alias("short_by"))
-    draws = (draw_positions(laid, "windowed", n_max // 3, seed)
-             .unionByName(draw_positions(laid, "cross_episode", n_max // 3, seed))
-             .unionByName(draw_positions(laid, "cross_drama", n_max, seed)))
     limit = (F.when(F.col("tier") == "windowed", F.col("_k1")).when(F.col("tier") == "cross_episode", F.col("_k2"))
              .otherwise(F.col("_k3")))
-    kept = draws.join(quota, "anchor").filter(F.col("draw") < limit).drop("_k1", "_k2", "_k3")
-    return resolve_positions(kept, laid).select("anchor", "tier", "draw", "neg", "short_by")
+    return draws.join(quota, "anchor").filter(F.col("draw") < limit).drop("_k1", "_k2", "_k3")
 
 
 def load_hard_index(index: DataFrame, shots: DataFrame) -> DataFrame:
@@ -279,13 +288,14 @@ def load_hard_index(index: DataFrame, shots: DataFrame) -> DataFrame:
     return long.join(ids, "neg", "left_semi").select("anchor", "rank", "neg")
 
 
-def sample_hard_negatives(shots: DataFrame, hard: DataFrame, k: int = 30, seed: int = 0) -> DataFrame:
+def sample_hard_negatives(shots: DataFrame, hard: DataFrame, k: int = 30, seed: int = 0,
+                          laid: DataFrame | None = None) -> DataFrame:
     """anchor, rank, neg, tier, short_by from hard(anchor, neg).
 
     Listed negatives first, in hashed order; then other shots of the drama; other dramas only
     where the drama has no other shot.
     """
-    laid = stage(lay_out(shots))
+    laid = laid if laid is not None else stage(lay_out(shots))
     listed = (hard.select("anchor", "neg").join(laid.select(F.col("shot_id").alias("neg")), "neg", "left_semi")
               .filter(F.col("neg") != F.col("anchor")).distinct())
     order = Window.partitionBy("anchor").orderBy(hash_order(F.lit(seed), F.col("anchor"), F.col("neg")), "neg")
@@ -314,12 +324,12 @@ def presample_grid(shots: DataFrame, hard: DataFrame, num_neg: Sequence[int], in
     if not grid:
         raise ValueError("nothing to presample: all combinations are done")
     a_max, b_max = max(a for a, _ in grid), max(b for _, b in grid)
-    hard_rows = stage(sample_hard_negatives(shots, hard, a_max, seed).select("anchor", "rank", "neg"))
     laid = stage(lay_out(shots, window))
+    hard_rows = stage(sample_hard_negatives(shots, hard, a_max, seed, laid).select("anchor", "rank", "neg"))
     tiers = F.when(F.col("tier") == "windowed", 0).when(F.col("tier") == "cross_episode", 1).otherwise(2)
-    soft = None
+    draws, soft = stage(_infonce_draws(laid, b_max, seed)), None
     for n in sorted({b for _, b in grid}):
-        rows = _infonce(laid, n, b_max, seed)
+        rows = _cut_draws(draws, laid, n)
         ranked = rows.select(F.lit(n).alias("infonce_neg"), "anchor", "neg", F.row_number().over(
             Window.partitionBy("anchor").orderBy(tiers, "draw")).alias("rank"))
         soft = ranked if soft is None else soft.unionByName(ranked)
