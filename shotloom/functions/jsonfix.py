@@ -20,7 +20,6 @@ from shotloom.functions.text import END_TOKEN, let, strip_think, trim_all, unwra
 
 RAW_SHOT = "struct<" + ",".join(f"{f}:string" for f in SHOT_FIELDS) + ",description_visual:string,description:string>"
 RAW_SUBJECT = "struct<" + ",".join(f"{f}:string" for f in SUBJECT_FIELDS) + ">"
-_DECODER = json.JSONDecoder()
 # Python functions are declared nondeterministic so that the optimizer never copies a call into
 # a filter or merges it into several expressions.
 _BETWEEN = re.compile(r"[\s,]*")
@@ -56,13 +55,13 @@ def array_items(c: Column) -> Column:
 
 def _leading_objects(text: str) -> tuple[list[str], bool]:
     """Objects at the head of the first array, and whether the array broke off after them."""
-    at, found = text.find("[") + 1, []
+    at, found, decoder = text.find("[") + 1, [], json.JSONDecoder()
     while at:
         at = _BETWEEN.match(text, at).end()
         if text.startswith("]", at):
             return found, False
         try:
-            value, end = _DECODER.raw_decode(text, at)
+            value, end = decoder.raw_decode(text, at)
         except ValueError:
             break
         if isinstance(value, dict):
@@ -106,12 +105,13 @@ def explode_items(df: DataFrame) -> DataFrame:
 
 def _last_value(text: str, openings: str) -> str | None:
     """The right-most opening bracket from which one value reaches the last closing bracket of its kind."""
+    decoder = json.JSONDecoder()
     for opening in openings:
         stop = text.rfind({"[": "]", "{": "}"}[opening])
         at = text.rfind(opening, 0, stop + 1)
         while at >= 0:
             try:
-                if _DECODER.raw_decode(text, at)[1] == stop + 1:
+                if decoder.raw_decode(text, at)[1] == stop + 1:
                     return text[at:stop + 1]
             except ValueError:
                 pass

@@ -189,3 +189,10 @@ def test_sampling_joins_on_positions(spark):
     laid = stage(N.lay_out(s))
     plan = N.resolve_positions(N.draw_positions(laid, "cross_drama", 3, 1), laid)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Join") == 1
+
+
+def test_functions_carry_the_package_to_executors(spark):
+    from pyspark import cloudpickle
+    from shotloom.operators import packing
+    body = cloudpickle.dumps(packing.ffd_plan)
+    assert b"sort_values" in body      # the code itself, not a reference
