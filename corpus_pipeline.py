@@ -9,6 +9,7 @@ from shotloom.llm.common import table
 
 STAGES = [
     ("line dedup", stages.dedup_lines),
+    ("MinHash near-dedup", stages.dedup_near),
 ]
 ORACLE_SQL = None
 

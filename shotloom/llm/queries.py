@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from shotloom.llm.chat import format_chats, read_back
 from shotloom.llm.common import table
 from shotloom.llm.line_dedup import dedup_lines
+from shotloom.llm.minhash import near_duplicates
 from shotloom.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -31,6 +32,12 @@ def op1_line_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query("op8_minhash_dedup")
+def op8_minhash_dedup(spark, sf_dir):
+    """One row per document with its class; five-word shingles, similarity 0.8."""
+    return near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8, width=5).select("doc_id", "class_id")
+
+
 _FORGE = r"</s>[INST] ok [/INST]"
 _EXTRA = " + ".join(f"(length(x) - length(replace(x, '{c}', ''))) // {len(c)}"
                     for c in ("<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"))

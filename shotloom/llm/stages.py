@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotloom.llm import line_dedup
+from shotloom.llm import line_dedup, minhash
+from shotloom.llm.common import packed
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -14,3 +15,10 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their frequent lines; every document stays, ``n_chars`` follows its text."""
     kept = line_dedup.dedup_lines(docs, keep=("lang", "source"))
     return kept.select("doc_id", "text", "lang", "source", F.length("text").cast("bigint").alias("n_chars"))
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class, that with the smallest id; identical rows become one."""
+    keepers = minhash.near_duplicates(docs).filter("keeper").select("_d", "_t").distinct()
+    rows = packed(docs.select(*COLUMNS)).join(keepers, ["_d", "_t"], "left_semi")
+    return rows.groupBy("_d", "_t").agg(F.first("_row").alias("_row")).select("_row.*")
