@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from shotloom.llm.chat import format_chats, read_back
 from shotloom.llm.common import table
+from shotloom.llm.fingerprint import compare_edited
 from shotloom.llm.line_dedup import dedup_lines
 from shotloom.llm.minhash import near_duplicates
 from shotloom.llm.registry import ORACLES, QUERIES, query
+from shotloom.llm.token_packing import pack_documents
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -32,6 +34,17 @@ def op1_line_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query("op3_fingerprint")
+def op3_fingerprint(spark, sf_dir):
+    return compare_edited(table(spark, sf_dir, "documents"))
+
+
+@query("op4_best_fit_packing")
+def op4_best_fit_packing(spark, sf_dir):
+    pieces = pack_documents(table(spark, sf_dir, "documents"), size=1024, end_id=2)
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 @query("op8_minhash_dedup")
 def op8_minhash_dedup(spark, sf_dir):
     """One row per document with its class; five-word shingles, similarity 0.8."""
