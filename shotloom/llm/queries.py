@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from shotloom.llm.chat import format_chats, read_back
 from shotloom.llm.common import table
+from shotloom.llm.decontaminate import contaminated
 from shotloom.llm.fingerprint import compare_edited
 from shotloom.llm.line_dedup import dedup_lines
 from shotloom.llm.minhash import near_duplicates
 from shotloom.llm.registry import ORACLES, QUERIES, query
 from shotloom.llm.token_packing import pack_documents
+from shotloom.llm.toxicity import held_out, score, train
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -87,3 +89,17 @@ def op9_chat_format(spark, sf_dir):
     return back.select(
         "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
         F.length(loss).cast("bigint").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query("op10_decontaminate")
+def op10_decontaminate(spark, sf_dir):
+    """Documents that contain an item, one row per pair."""
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "windows", "coverage", "verbatim").distinct()

@@ -23,7 +23,12 @@ class Words(NamedTuple):
     doc: np.ndarray  # index of its text
     number: np.ndarray  # holds a digit
     name: np.ndarray  # capital first letter, rest lower case, not at the start of a sentence
-    slots: list  # value of each word that is a number or a name, in order; else empty
+    place: np.ndarray  # block, start and stop of each word
+    blocks: list  # text of the blocks
+
+    def value(self, i: int) -> str:
+        block, start, stop = self.place[:, i]
+        return self.blocks[block][start:stop]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -98,10 +103,11 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
 
-def hash_words(texts: Sequence[str], slots: bool = False) -> Words:
+def hash_words(texts: Sequence[str], kinds: bool = False) -> Words:
+    """Words of ``texts``; their kinds and places only on demand."""
     lower, word, digit, upper, ends = _tables()
     pw, ipw = _powers(BLOCK * 2 + 4096)
-    out, values = [], []
+    out, kept = [], []
     for block in blocks(texts):
         joined = "\n".join(piece for _, piece in block)
         cp = code_points(joined)
@@ -120,18 +126,21 @@ def hash_words(texts: Sequence[str], slots: bool = False) -> Words:
         first = np.cumsum(lengths) - lengths
         doc = np.array([i for i, _ in block])[np.searchsorted(first, start, "right") - 1]
         number = name = np.zeros(0, bool)
-        if slots:
+        place = np.zeros((3, 0), np.int64)
+        if kinds:
             count = lambda mask: np.concatenate(([0], np.cumsum(mask[plane])))
             digits, capitals, stops = count(digit), count(upper), count(ends)
             number = digits[stop] > digits[start]
             before = np.concatenate(([0], stop[:-1]))
             opens = (stops[start] > stops[before]) | np.concatenate(([True], doc[1:] != doc[:-1]))[:len(doc)]
             name = ~opens & upper[plane[start]] & (capitals[stop] - capitals[start] == 1) & (stop - start > 1) & ~number
-            values += ["" if not keep else joined[a:b] for a, b, keep in zip(start, stop, number | name)]
-        out.append((hashes, doc, number, name))
+            place = np.stack([np.full(len(start), len(kept)), start, stop])
+            kept.append(joined)
+        out.append((hashes, doc, number, name, place))
     if not out:
-        return Words(np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, bool), [])
-    return Words(*[np.concatenate(x) for x in zip(*out)], values)
+        none = np.zeros(0, bool)
+        return Words(np.zeros(0, _U), np.zeros(0, np.int64), none, none, np.zeros((3, 0), np.int64), [])
+    return Words(*[np.concatenate(x, axis=-1) for x in zip(*out)], kept)
 
 
 def windows(hashes: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
