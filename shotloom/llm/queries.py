@@ -9,6 +9,7 @@ from shotloom.llm.common import table
 from shotloom.llm.decontaminate import contaminated
 from shotloom.llm.fingerprint import compare_edited
 from shotloom.llm.line_dedup import dedup_lines
+from shotloom.llm import secret_scan
 from shotloom.llm.minhash import near_duplicates
 from shotloom.llm.registry import ORACLES, QUERIES, query
 from shotloom.llm.token_packing import pack_documents
@@ -103,3 +104,20 @@ def op10_decontaminate(spark, sf_dir):
     """Documents that contain an item, one row per pair."""
     found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "windows", "coverage", "verbatim").distinct()
+
+
+def _joined(spans):
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(
+        ":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
+
+
+def _count(kind):
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+
+@query("op5_secret_scan")
+def op5_secret_scan(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = secret_scan.scan(docs, secret_scan.train(secret_scan.samples_from(docs)))
+    base = F.filter("spans", lambda s: s["kind"] != "markov")
+    return found.select("doc_id", *[_count(k) for k in secret_scan.KINDS[:3]], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
