@@ -9,7 +9,7 @@ from shotloom.llm.common import table
 from shotloom.llm.decontaminate import contaminated
 from shotloom.llm.fingerprint import compare_edited
 from shotloom.llm.line_dedup import dedup_lines
-from shotloom.llm import secret_scan
+from shotloom.llm import licenses, pii, secret_scan
 from shotloom.llm.minhash import near_duplicates
 from shotloom.llm.registry import ORACLES, QUERIES, query
 from shotloom.llm.token_packing import pack_documents
@@ -37,6 +37,30 @@ def op1_line_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def _license_sql() -> str:
+    known = ", ".join(f"'{text}': '{key}'" for key, text in licenses.SENTENCES.items())
+    names = ", ".join(f"'{needs}': '{rule}'" for rule, needs in licenses.RULES)
+
+    def found(text: str, cut: str) -> str:
+        parts = f"list_filter(string_split_regex({text}, '{cut}'), lambda s: length(s) >= {licenses.LEAST})"
+        normal = "trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))"
+        marks = f"list_transform({parts}, lambda s: coalesce(known[{normal}], '-'))"
+        return f"regexp_extract_all(array_to_string({marks}, ','), '{licenses.ORDER}')"
+
+    over, lines = found("replace(text, chr(10), ' ')", licenses.STOPS), found("text", licenses.LINES)
+    return f"""
+    with d as (select doc_id, text, map {{{known}}} known, map {{{names}}} names from documents where text is not null),
+    f as (select doc_id, list_transform(list_concat({over}, {lines}), lambda x: names[x]) found from d),
+    r as (select doc_id, list_filter(found, lambda x, i: list_position(found, x) = i) rules from f)
+    select doc_id, array_to_string(rules, ',') rules, len(rules)::bigint n_rules from r where len(rules) > 0"""
+
+
+@query("op2_license_scan", _license_sql())
+def op2_license_scan(spark, sf_dir):
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.array_join("rules", ",").alias("rules"), F.size("rules").cast("bigint").alias("n_rules"))
+
+
 @query("op3_fingerprint")
 def op3_fingerprint(spark, sf_dir):
     return compare_edited(table(spark, sf_dir, "documents"))
@@ -121,3 +145,17 @@ def op5_secret_scan(spark, sf_dir):
     found = secret_scan.scan(docs, secret_scan.train(secret_scan.samples_from(docs)))
     base = F.filter("spans", lambda s: s["kind"] != "markov")
     return found.select("doc_id", *[_count(k) for k in secret_scan.KINDS[:3]], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+
+
+@query("op6_pii")
+def op6_pii(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = pii.scan(docs, pii.train(docs))
+    base = F.filter("spans", lambda s: s["score"] == 1.0)
+    return found.select("doc_id", *[_count_base(k) for k in pii.KINDS], F.sha2(_joined(base), 256).alias("base_sha256"),
+                        _joined(F.col("spans")).alias("spans"))
+
+
+def _count_base(kind):
+    own = F.filter("spans", lambda s: (s["kind"] == kind) & (s["score"] == 1.0))
+    return F.size(own).cast("bigint").alias(f"n_{kind}")
