@@ -82,7 +82,7 @@ def _sequence(text: Column, cut: str) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document with a licence: ``doc_id`` and its distinct ``rules`` in order.
+    """One row per document with a licence: ``doc_id`` and its distinct ``rules``, first those found over line ends.
 
     Sentences are read twice: over line ends, as licence texts are wrapped, and line by line, as a
     notice may stand under text without a full stop.

@@ -16,6 +16,7 @@ empty table gives no rows.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ ACCESS = "AKIA[A-Z0-9]{14,}"
 HEX = "(?<![0-9a-f])[0-9a-f]{16,}"
 TOKEN = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
 WORD = "(?<![A-Za-z0-9_])[A-Za-z_]{4,}(?![A-Za-z0-9_])"
-LEAST_VALUE, SAMPLE, PER_CHAR, IN_ALL, ALPHABET = 12, 4000, 0.5, 12.0, 66
+LEAST_VALUE, SAMPLE, PER_CHAR, IN_ALL, ALPHABET, STRENGTH = 12, 4000, 0.5, 12.0, 66, 8.0
 _SPAN = "array<struct<start:bigint,stop:bigint,value:string>>"
 
 
@@ -81,17 +82,19 @@ def train(samples: DataFrame) -> list[float]:
     rows = (counted.select("secret", "n", F.explode(pairs).alias("pair")).filter("pair between 0 and 16383")
             .groupBy("secret", "pair").agg(F.sum("n").alias("n")).collect())
     seen = {(r["secret"], r["pair"]): r["n"] for r in rows}
-    after: dict = {}
+    before, single, total = Counter(), Counter(), Counter()
     for (secret, pair), n in seen.items():
-        after[secret, pair // 128] = after.get((secret, pair // 128), 0) + n
+        before[secret, pair // 128] += n
+        single[secret, pair % 128] += n
+        total[secret] += n
 
-    def chance(secret: bool, pair: int, uniform: float) -> float:
-        whole = after.get((secret, pair // 128), 0)
-        own = seen.get((secret, pair), 0) / whole if whole else 1 / ALPHABET
-        return (1 - uniform) * own + uniform / ALPHABET
+    def chance(secret: bool, pair: int) -> float:
+        """Next-character probability, smoothed by the plain frequency of the character."""
+        alone = (single[secret, pair % 128] + 1) / (total[secret] + ALPHABET)
+        return (seen.get((secret, pair), 0) + STRENGTH * alone) / (before[secret, pair // 128] + STRENGTH)
 
     # Random strings come in many alphabets, so half of their model is uniform.
-    return [math.log(chance(True, p, 0.5) / chance(False, p, 0.05)) for p in range(128 * 128)]
+    return [math.log((0.5 * chance(True, p) + 0.5 / ALPHABET) / chance(False, p)) for p in range(128 * 128)]
 
 
 def log_ratio(token: Column, model: list[float]) -> Column:
