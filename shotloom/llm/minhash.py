@@ -9,8 +9,8 @@ similarity; a process is followed only until it is later than every slot of its
 Texts with one multiset are one content, found by a 128-bit digest before anything else.  Contents
 that share a band of the signature form a bucket.  Every member is compared with the bucket's
 leader; members of a bucket that are still in different classes afterwards are compared with each
-other, in pieces of at most ``PIECE`` contents.  A bucket with more is split by further bands until
-it fits, so no bucket is capped and none emits all its pairs.
+other, in pieces of at most ``PIECE`` contents.  A bucket with more is cut by further bands, so no
+bucket is left out and none emits all its pairs.
 
 Defined cases: null texts are empty; all empty texts are copies of each other, other texts
 without a word are copies only of themselves; texts shorter than a shingle are one shingle; rows
@@ -24,14 +24,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotloom.llm.common import keyed
 from shotloom.llm.word_arrays import bags, mix
 from shotloom.session import stage
 
-WIDTH, THRESHOLD, SLOTS, ROWS, PIECE, SALTS = 5, 0.8, 128, 4, 32, 16
+WIDTH, THRESHOLD, SLOTS, ROWS, PIECE, SALTS = 5, 0.8, 128, 4, 16, 16
+KEYS = ("key", "key2", "key3")  # one band, and with the next one or two bands
 _U = np.uint64
 _STEP, _LEVEL = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
@@ -130,11 +131,27 @@ def _jaccard(left: list[str], right: list[str], width: int) -> np.ndarray:
     return np.where(union > 0, shared / np.maximum(union, 1), 0.0)
 
 
+def roots(parents: DataFrame) -> DataFrame:
+    """``node``, ``label``: the end of each chain of ``parents`` (x, y), where y is always smaller than x.
+
+    Every turn doubles the step; it is written, so a lost executor costs one turn.
+    """
+    steps = stage(parents.select(F.col("x").alias("node"), F.col("y").alias("label")))
+    while True:
+        over = steps.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        steps = stage(steps.join(over, "label", "left").select(
+            "node", F.coalesce("next", "label").alias("label"), F.col("next").isNotNull().alias("moved")))
+        if steps.filter("moved").isEmpty():
+            ends = steps.select(F.col("label").alias("node"), "label").distinct()
+            return steps.select("node", "label").union(ends)
+        steps = steps.select("node", "label")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node``, ``label``: the smallest node reachable over ``edges`` (x, y).
 
-    Labels spread to neighbours and jump to the label of their label; each turn is written, so a
-    lost executor costs one turn, and only the number of changed labels reaches the driver.
+    Labels spread to neighbours and jump to the label of their label; each turn is written, and
+    only the answer whether a label changed reaches the driver.
     """
     both = stage(edges.select("x", "y").union(edges.select("y", "x")).distinct())
     labels = stage(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.col("x")).alias("label"))
@@ -149,42 +166,31 @@ def components(edges: DataFrame) -> DataFrame:
     return labels.select("node", "label")
 
 
-def _bucket_stats(rows: DataFrame) -> DataFrame:
-    """Buckets (band, key) with several members: size and leader, counted before the shuffle."""
-    return rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")).filter("n > 1")
-
-
-def _pieces(rows: DataFrame, contents: DataFrame, n_bands: int) -> DataFrame:
-    """Pairs (x, y) of nodes with different labels that share a bucket; ``rows`` have band, key, node, label.
+def _pieces(rows: DataFrame) -> DataFrame:
+    """Pairs (x, y) of nodes with different labels that share a bucket; ``rows`` have band, keys, node, label.
 
     Buckets of one label are done.  Those of at most PIECE members give their pairs; a larger one
-    takes the node's next band into its key, again and again.  Members that agree in all bands
-    are tied to their leader.
+    is cut by the next band of its members, and then by one more.  Members that agree in all these
+    bands and are still more than PIECE are tied to their leader and to the next one in order.
     """
-    found, turn = [], 0
-    while True:
-        stats = (rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"),
-                                                 F.max("label").alias("hi"), F.min("node").alias("leader"))
-                 .filter("lo < hi").select("band", "key", "n", "leader"))
-        mixed = stage(rows.join(stage(stats), ["band", "key"]))
+    found = None
+    for depth in range(len(KEYS)):
+        spot = ["band", *KEYS[:depth + 1]]
+        stats = (rows.groupBy(*spot).agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"),
+                                         F.max("label").alias("hi"), F.min("node").alias("first"))
+                 .filter("lo < hi").select(*spot, "n", "first"))
+        mixed = stage(rows.join(stage(stats), spot))
         small = mixed.filter(F.col("n") <= PIECE)
-        other = small.select("band", "key", F.col("node").alias("y"), F.col("label").alias("_other"))
-        found.append(small.join(other, ["band", "key"]).filter("node < y and label <> _other")
-                     .select(F.col("node").alias("x"), "y"))
-        large = mixed.filter(F.col("n") > PIECE)
-        turn += 1
-        if turn >= n_bands:
-            found.append(large.filter("node <> leader").select(F.col("leader").alias("x"), F.col("node").alias("y")))
-            break
-        if large.isEmpty():
-            break
-        further = F.xxhash64("key", F.get("bands", (F.col("band") + turn) % n_bands))
-        rows = (large.drop("n", "leader").join(contents.select(F.col("a").alias("node"), "bands"), "node")
-                .select("band", further.alias("key"), "node", "label"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.distinct()
+        other = small.select(*spot, F.col("node").alias("y"), F.col("label").alias("_other"))
+        pairs = small.join(other, spot).filter("node < y and label <> _other").select(F.col("node").alias("x"), "y")
+        found = pairs if found is None else found.unionByName(pairs)
+        rows = mixed.filter(F.col("n") > PIECE)
+        if depth + 1 < len(KEYS):
+            rows = rows.drop("n", "first")
+    star = rows.filter("node <> first").select(F.col("first").alias("x"), F.col("node").alias("y"))
+    order = Window.partitionBy("band", *KEYS).orderBy("node")
+    chain = rows.select(F.lag("node").over(order).alias("x"), F.col("node").alias("y")).filter("x is not null")
+    return found.unionByName(star).unionByName(chain).distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, slots: int = SLOTS,
@@ -195,16 +201,20 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
     With 4 rows a band and 128 slots a pair of similarity 0.8 is missed with a chance below 1e-7.
     """
     base = keyed(docs, id_col, text_col)
+    n_bands = slots // rows
     schema = "doc_id long, _d long, _t long, a long, b long, weight long, bands array<long>, sig binary"
     signed = stage(base.drop("_keep").mapInPandas(_signatures(width, slots, rows), schema))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "_d", "_t"))
     contents = stage(signed.groupBy("a", "b").agg(
         first.alias("rep"), F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"),
         F.first("weight").alias("weight"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
-    members = contents.filter("weight > 0").select(
-        F.col("a").alias("node"), F.posexplode("bands").alias("band", "key"))
-    stats = stage(_bucket_stats(members))
-    buckets = stage(members.join(stats, ["band", "key"]).select("band", "key", "node", "leader"))
+    further = [F.xxhash64("key", *[F.get("bands", (F.col("band") + k) % n_bands) for k in range(1, depth + 1)])
+               .alias(KEYS[depth]) for depth in range(1, len(KEYS))]
+    members = (contents.filter("weight > 0").select(F.col("a").alias("node"), "bands", F.posexplode("bands")
+                                                    .alias("band", "key")).select("node", "band", "key", *further))
+    stats = stage(members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader"))
+                  .filter("n > 1").drop("n"))
+    buckets = stage(members.join(stats, ["band", "key"]))
     alike, overlap = _likeness(slots), _overlaps(width)
     sigs = contents.select("a", "sig")
     # Five standard errors below the threshold: no pair at the threshold is lost to the estimate.
@@ -215,12 +225,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
             sigs.select(F.col("a").alias("y"), F.col("sig").alias("sy")), "y")
         return both.select("x", "y", alike("sx", "sy").alias("est")).filter(F.col("est") >= least)
 
-    texts = base.select("_d", "_t", "text")
+    # The texts of all contents in buckets move once; both checks read them from there.
+    shared = buckets.select(F.col("node").alias("a")).distinct()
+    keys = contents.join(shared, "a").select("a", F.col("rep._d").alias("_d"), F.col("rep._t").alias("_t"))
+    known = stage(base.select("_d", "_t", "text").join(keys, ["_d", "_t"]).dropDuplicates(["a"]).select("a", "text"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("x").alias("a")).union(pairs.select(F.col("y").alias("a"))).distinct()
-        keys = contents.join(wanted, "a").select("a", F.col("rep._d").alias("_d"), F.col("rep._t").alias("_t"))
-        known = stage(texts.join(keys, ["_d", "_t"]).dropDuplicates(["a"]).select("a", "text"))
         both = pairs.join(known.select(F.col("a").alias("x"), F.col("text").alias("tx")), "x").join(
             known.select(F.col("a").alias("y"), F.col("text").alias("ty")), "y")
         return stage(both.select("x", "y", overlap("tx", "ty").alias("similarity"))
@@ -228,20 +238,20 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
 
     stars = stage(likely(buckets.filter("node <> leader").select(F.col("node").alias("x"), F.col("leader").alias("y"))
                          .distinct()))
+    # A leader is the smallest of its bucket, so one link per member is a forest.
     best = stage(stars.groupBy("x").agg(F.max_by("y", F.struct("est", "y")).alias("y")))
-    labels = components(verified(best))
+    labels = roots(verified(best))
 
     def labelled(pairs: DataFrame, column: str, name: str) -> DataFrame:
         tags = labels.select(F.col("node").alias(column), F.col("label").alias(name))
         return pairs.join(tags, column, "left").withColumn(name, F.coalesce(name, column))
 
-    inside = _pieces(labelled(buckets.drop("leader"), "node", "label"), contents, slots // rows)
-    open_pairs = stars.select("x", "y").union(likely(inside).select("x", "y")).distinct().join(
-        best.select("x", "y"), ["x", "y"], "left_anti")
-    across = labelled(labelled(open_pairs, "x", "lx"), "y", "ly").filter("lx <> ly")
-    linked = verified(stage(across.select("x", "y")))
+    inside = _pieces(labelled(buckets.drop("leader"), "node", "label"))
+    rest = stars.select("x", "y").join(best.select("x", "y"), ["x", "y"], "left_anti")
+    across = labelled(labelled(rest, "x", "lx"), "y", "ly").filter("lx <> ly").select("x", "y")
+    linked = verified(stage(across.union(likely(inside).select("x", "y")).distinct()))
     merged = components(labelled(labelled(linked, "x", "lx"), "y", "ly").select(
-        F.col("lx").alias("x"), F.col("ly").alias("y")))
+        F.col("lx").alias("x"), F.col("ly").alias("y")).filter("x <> y"))
     final = labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
     final = final.select("node", F.coalesce("to", "label").alias("label")).union(
         merged.join(labels, "node", "left_anti").select("node", "label"))
