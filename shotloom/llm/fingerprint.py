@@ -85,7 +85,8 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return keyed(docs, id_col, text_col).select("doc_id", of("text").alias("fingerprint"))
 
 
-_RESULT = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+# Digests stay bytes, half the size of their hexadecimal form, until the result.
+_RESULT = ("doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, "
            "near_edited double, near_next double")
 _FIELDS = [f.split()[0] for f in _RESULT.split(", ")]
 
@@ -94,8 +95,8 @@ def _compared(doc_id, text: str, own: bytes, after: str, after_own: bytes) -> tu
     half = len(text) // 2
     edited = text[:len(text) - half] + after[:half]
     changed = digest(edited)
-    return (doc_id, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), own.hex(),
-            changed.hex(), likeness(own, changed), likeness(own, after_own))
+    return (doc_id, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), own,
+            changed, likeness(own, changed), likeness(own, after_own))
 
 
 def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
@@ -144,4 +145,5 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     following = parts.select("part", F.coalesce(F.lead("part").over(order), F.first("part").over(order)).alias("to"))
     lasts = walked.filter("edge = 'last'").select("part", "doc_id", "text")
     edges = lasts.join(following, "part").join(firsts, "to").select("doc_id", "text", "after")
-    return walked.filter("edge is null").select(*_FIELDS).unionByName(edges.mapInPandas(_join_edges, _RESULT))
+    both = walked.filter("edge is null").select(*_FIELDS).unionByName(edges.mapInPandas(_join_edges, _RESULT))
+    return both.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
