@@ -145,13 +145,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
         x, toxic = np.stack(got["x"].to_numpy()), got["toxic"].to_numpy(float)
     votes = (x > 0).astype(float)
     prior = float(np.clip(toxic.mean(), 0.02, 0.5))
-    silent = np.zeros((2, x.shape[1]))  # every feature is known even where no sampled text has it
     belief = label_model(votes, prior)
-    heard = np.eye(x.shape[1])[:len(words)] * np.log(2.0)
-    heard = np.concatenate([heard[:, :len(words)], np.tile([1.0, 0, 0, 0, 0], (len(words), 1))], axis=1)
-    seen = votes[:, :len(words)].sum(axis=0) == 0
-    x_all = np.concatenate([x, silent, heard[seen]])
-    y_all = np.concatenate([belief, np.zeros(2), np.ones(int(seen.sum()))])
+    # Words that no sampled text has are known to the lexicon: each is one toxic text, beside many silent ones.
+    unheard = np.flatnonzero(votes[:, :len(words)].sum(axis=0) == 0)
+    heard = np.zeros((len(unheard), x.shape[1]))
+    heard[np.arange(len(unheard)), unheard], heard[:, len(words)] = np.log(2.0), 1.0
+    silent = np.zeros((10 * len(unheard) + 2, x.shape[1]))
+    x_all = np.concatenate([x, silent, heard])
+    y_all = np.concatenate([belief, np.zeros(len(silent)), np.ones(len(unheard))])
     w = _logistic(x_all, y_all)
     return Model(words, hashes, order, w[:-1], float(w[-1]))
 

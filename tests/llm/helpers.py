@@ -38,11 +38,6 @@ def bag(text, width=5):
     return Counter(tuple(w[i:i + width]) for i in range(max(1, len(w) - width + 1))) if w else Counter()
 
 
-def overlap(x, y):
-    union = sum((x | y).values())
-    return sum((x & y).values()) / union if union else 0.0
-
-
 def classes(texts, threshold=0.8):
     """{id: smallest id of its class} over all pairs that share a shingle; texts without words class by themselves."""
     bags = {i: bag(t) for i, t in texts.items()}
