@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,7 +22,8 @@ RAW_SHOT = "struct<" + ",".join(f"{f}:string" for f in SHOT_FIELDS) + ",descript
 RAW_SUBJECT = "struct<" + ",".join(f"{f}:string" for f in SUBJECT_FIELDS) + ">"
 # Python functions are declared nondeterministic so that the optimizer never copies a call into
 # a filter or merges it into several expressions.
-_BETWEEN = re.compile(r"[\s,]*")
+_TOKENS = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{},]', re.S)
+_BRACKETS = re.compile(r'\\*"|[\[\]{}]')
 
 
 def json_strict(c: Column) -> Column:
@@ -53,20 +54,50 @@ def array_items(c: Column) -> Column:
     return F.filter(F.from_json(c, "array<string>"), lambda x: F.ltrim(x).startswith("{"))
 
 
+def _is_json(text: str) -> bool:
+    try:
+        json.loads(text)
+    except ValueError:
+        return False
+    return True
+
+
+def _elements(text: str) -> Iterator[str | None]:
+    """Text pieces of the first array, in one pass over its brackets; None where the array closes.
+
+    An object ends at its own brace, any other element at a comma or at the closing bracket.
+    """
+    depth, begin = 0, 0
+    for token in _TOKENS.finditer(text, max(text.find("["), 0)):
+        mark = token.group()
+        if mark in ("[", "{"):
+            depth += 1
+            begin = token.end() if depth == 1 else begin
+        elif mark in ("]", "}"):
+            depth -= 1
+            if depth == 0:
+                yield text[begin:token.start()]
+                yield None
+                return
+            if depth == 1 and mark == "}":
+                yield text[begin:token.end()]
+                begin = token.end()
+        elif mark == "," and depth == 1:
+            yield text[begin:token.start()]
+            begin = token.end()
+
+
 def _leading_objects(text: str) -> tuple[list[str], bool]:
     """Objects at the head of the first array, and whether the array broke off after them."""
-    at, found, decoder = text.find("[") + 1, [], json.JSONDecoder()
-    while at:
-        at = _BETWEEN.match(text, at).end()
-        if text.startswith("]", at):
+    found: list[str] = []
+    for piece in _elements(text):
+        if piece is None:
             return found, False
-        try:
-            value, end = decoder.raw_decode(text, at)
-        except ValueError:
+        piece = piece.strip()
+        if piece and not _is_json(piece):
             break
-        if isinstance(value, dict):
-            found.append(text[at:end])
-        at = end
+        if piece.startswith("{"):
+            found.append(piece)
     return found, bool(found)
 
 
@@ -103,19 +134,29 @@ def explode_items(df: DataFrame) -> DataFrame:
     return df.select(*rest, F.posexplode_outer("items").alias("pos", "item")).filter(F.col("pos").isNotNull())
 
 
+def _opening_of(marks: list[tuple[int, str]], stop: int) -> int:
+    """Place of the bracket that the one at ``stop`` closes, walking back; -1 if there is none."""
+    depth, quoted = 0, False
+    for place, mark in reversed(marks):
+        if place > stop:
+            continue
+        if mark.endswith('"'):
+            quoted ^= len(mark) % 2 == 1  # an even number of backslashes leaves the quote bare
+        elif not quoted:
+            depth += 1 if mark in "]}" else -1
+            if depth == 0:
+                return place
+    return -1
+
+
 def _last_value(text: str, openings: str) -> str | None:
-    """The right-most opening bracket from which one value reaches the last closing bracket of its kind."""
-    decoder = json.JSONDecoder()
+    """The value that the last closing bracket of the first possible kind ends; a value has one opening bracket."""
+    marks = [(m.start(), m.group()) for m in _BRACKETS.finditer(text)]
     for opening in openings:
         stop = text.rfind({"[": "]", "{": "}"}[opening])
-        at = text.rfind(opening, 0, stop + 1)
-        while at >= 0:
-            try:
-                if decoder.raw_decode(text, at)[1] == stop + 1:
-                    return text[at:stop + 1]
-            except ValueError:
-                pass
-            at = text.rfind(opening, 0, at)
+        start = _opening_of(marks, stop) if stop >= 0 else -1
+        if start >= 0 and text[start] == opening and _is_json(text[start:stop + 1]):
+            return text[start:stop + 1]
     return None
 
 
@@ -151,8 +192,11 @@ def normalize_shot(item: Column, wrap_object: bool = False) -> Column:
     return let(F.from_json(item, RAW_SHOT), fields)
 
 
-def safe_text(raw: Column, levels: int = 2) -> Column:
-    """Text of a leaf: strings trimmed, numbers as text, objects and arrays as their texts joined by ``，``."""
+def safe_text(raw: Column, levels: int = 8) -> Column:
+    """Text of a leaf: strings trimmed, numbers as text, objects and arrays as their texts joined by ``，``.
+
+    The expression is as long as ``levels``; what is nested deeper stays JSON text.
+    """
     def text(t: Column) -> Column:
         plain = F.coalesce(t, F.lit(""))
         if levels == 0:
