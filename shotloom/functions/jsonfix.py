@@ -192,7 +192,7 @@ def normalize_shot(item: Column, wrap_object: bool = False) -> Column:
     return let(F.from_json(item, RAW_SHOT), fields)
 
 
-def safe_text(raw: Column, levels: int = 8) -> Column:
+def safe_text(raw: Column, levels: int = 4) -> Column:
     """Text of a leaf: strings trimmed, numbers as text, objects and arrays as their texts joined by ``，``.
 
     The expression is as long as ``levels``; what is nested deeper stays JSON text.

@@ -22,6 +22,29 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def round_half_even(x: Column, digits: int) -> Column:
+    """The decimal with ``digits`` places that lies nearest the binary value of ``x``; exact ties go to the even one.
+
+    Only where ``x * 10**digits`` comes out as a half can the product hide on which side the true
+    value lies; there the error of the product decides, found by splitting both factors.
+    """
+    scale = 10.0 ** digits
+    big = 134217729.0 * scale
+    scale_high = big - (big - scale)
+    scale_low = scale - scale_high
+
+    def rounded(v: Column) -> Column:
+        product = v * scale
+        high = v * 134217729.0 - (v * 134217729.0 - v)
+        low = v - high
+        error = ((high * scale_high - product) + high * scale_low + low * scale_high) + low * scale_low
+        floor = F.floor(product).cast("double")
+        half = product - floor == 0.5
+        return F.when(half & (error > 0), floor + 1).when(half & (error < 0), floor).otherwise(F.rint(product)) / scale
+
+    return let(x.cast("double"), rounded)
+
+
 def blank_to_null(c: Column) -> Column:
     return F.when(c != "", c)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shotloom.functions import fixed_text as T
-from shotloom.functions.text import last_number, plot_summary, trim_all
+from shotloom.functions.text import last_number, plot_summary, round_half_even, trim_all
 from shotloom.operators.ordered import attach_stats, first_rows, hash_order, limit_by_hash
 
 SHOT_KEY = ("drama", "episode", "shot_index")
@@ -99,7 +99,7 @@ def backfill_dialogue_duration(shots: DataFrame, timeline: DataFrame, transcript
             .drop("dialogue", "duration"))
     text = transcripts.select(*EPISODE, F.col("idx").alias("index"), F.col("text").alias("_text"))
     span = timeline.select(*EPISODE, F.col("segment_index").alias("index"),
-                           F.bround(F.col("end_sec") - F.col("start_sec"), digits).alias("_span"))
+                           round_half_even(F.col("end_sec") - F.col("start_sec"), digits).alias("_span"))
     key = [*EPISODE, "index"]
     return (rows.join(text, key, "left").join(span, key, "left")
             .withColumn("dialogue", F.coalesce("_text", F.lit("")))
@@ -149,7 +149,7 @@ def label_keyframes(keyframes: DataFrame, transcripts: DataFrame, timeline: Data
     idx = F.coalesce(last_number(F.col("file")), F.col("seq").cast("int")).alias("idx")
     text = transcripts.select(*EPISODE, F.col("idx").cast("int").alias("idx"), trim_all(F.col("text")).alias("_text"))
     span = timeline.select(*EPISODE, F.col("segment_index").cast("int").alias("idx"),
-                           F.bround(F.col("end_sec") - F.col("start_sec"), digits).alias("_span"))
+                           round_half_even(F.col("end_sec") - F.col("start_sec"), digits).alias("_span"))
     have = transcripts.select(*EPISODE).distinct().withColumn("_have", F.lit(True))
     rows = (keyframes.select(*EPISODE, "seq", "file", idx).join(text, key, "left").join(span, key, "left")
             .join(have, list(EPISODE), "left"))

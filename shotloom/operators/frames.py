@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shotloom.functions import vectors as V
+from shotloom.functions.text import round_half_even
 from shotloom.operators.ordered import CHUNK, attach_stats, neighbours, rank_in_group, running_last
 from shotloom.session import stage
 
@@ -222,8 +223,8 @@ def build_segments(cuts: DataFrame, flash: DataFrame, videos: DataFrame, min_len
     frames_in = F.col("end_frame") - F.col("start_frame")
     return (seg.filter(frames_in >= min_len).join(white, ["video", "end_frame"], "left")
             .select("video", "segment_index", "start_frame", "end_frame", frames_in.alias("num_frames"),
-                    V.r6(F.col("start_frame") / F.col("fps")).alias("start_sec"),
-                    V.r6(F.col("end_frame") / F.col("fps")).alias("end_sec"), "fps", "white_from",
+                    round_half_even(F.col("start_frame") / F.col("fps"), 6).alias("start_sec"),
+                    round_half_even(F.col("end_frame") / F.col("fps"), 6).alias("end_sec"), "fps", "white_from",
                     F.format_string("segment_%03d.mp4", "segment_index").alias("video_filename"),
                     F.format_string("keyframe_%03d.png", "segment_index").alias("keyframe_filename")))
 

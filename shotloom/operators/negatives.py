@@ -166,8 +166,8 @@ def hard_negative_stats(shots: DataFrame, negatives: DataFrame) -> DataFrame:
     full = (home.withColumnRenamed("shot_id", "anchor").join(per, "anchor", "left")
             .join(home.select(F.col("shot_id").alias("first"), F.col("drama").alias("_fd")), "first", "left"))
     return full.agg(F.count(F.lit(1)).alias("anchors"), F.count("n").alias("with_negatives"),
-                    V.r6(F.avg(F.coalesce("n", F.lit(0)))).alias("avg_negatives"),
-                    V.r6(F.avg(F.col("top") / SIM_SCALE)).alias("top1_similarity"),
+                    F.avg(F.coalesce("n", F.lit(0))).alias("avg_negatives"),
+                    F.avg(F.col("top") / SIM_SCALE).alias("top1_similarity"),
                     F.count_if(F.col("drama") == F.col("_fd")).alias("same_drama"))
 
 

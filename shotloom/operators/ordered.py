@@ -51,6 +51,18 @@ def rank_in_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
             .drop("__r", "__off", "__b"))
 
 
+def rank_by_text(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str, width: int = 3) -> DataFrame:
+    """``rank_in_group`` by text columns; buckets are the ``width`` characters after what all keys of a group share."""
+    key = order[0]
+    ends = df.groupBy(*group).agg(F.min(key).alias("__lo"), F.max(key).alias("__hi"))
+    apart = F.filter(F.sequence(F.lit(1), F.greatest(F.length("__lo"), F.lit(1))), lambda i: F.substr("__lo", i, F.lit(1))
+                     != F.substr("__hi", i, F.lit(1)))
+    ends = ends.select(*group, F.coalesce(F.try_element_at(apart, F.lit(1)), F.length("__lo") + 1).alias("__at"))
+    placed = attach_stats(df, ends, group)
+    bucket = F.substr(key, F.col("__at"), F.lit(width))
+    return rank_in_group(placed, group, [F.col(c) for c in order], bucket, name).drop("__at")
+
+
 def neighbours(df: DataFrame, group: Sequence[str], pos: str, cols: Sequence[str],
                chunk: int = CHUNK) -> DataFrame:
     """Add ``prev_<c>`` and ``next_<c>`` for a dense integer ``pos``.

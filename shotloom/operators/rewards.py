@@ -20,9 +20,11 @@ from shotloom.session import stage
 
 # ---------------------------------------------------------------- format
 
-def _valid(raw: Column) -> Column:
-    """A value that is neither null nor an empty text, list or object."""
-    return F.coalesce(~trim_all(raw).isin("", "[]", "{}"), F.lit(False)).cast("int")
+def _valid(raw: Column, value: Column, field: str) -> Column:
+    """A value that is neither null nor an empty text, list or object; ``value`` tells the text ``[]`` from a list."""
+    is_text = F.coalesce(F.schema_of_variant(F.variant_get(value, f"$.{field}", "variant")) == "STRING", F.lit(False))
+    blank = trim_all(raw).isin("") | (~is_text & trim_all(raw).isin("[]", "{}"))
+    return F.coalesce(~blank, F.lit(False)).cast("int")
 
 
 def shot_format_score(item: Column) -> Column:
@@ -30,11 +32,15 @@ def shot_format_score(item: Column) -> Column:
     keys = F.array(*[F.lit(f) for f in T.SHOT_FIELDS])
     presence = F.size(F.array_intersect(F.json_object_keys(item), keys)) / len(T.SHOT_FIELDS)
 
+    def share(schema: str, fields: Sequence[str]):
+        def of(both: Column) -> Column:
+            return sum((_valid(both["raw"][f], both["value"], f) for f in fields), F.lit(0)) / len(fields)
+        return lambda text: let(F.struct(F.from_json(text, schema).alias("raw"), F.try_parse_json(text).alias("value")), of)
+
     def score(raw: Column) -> Column:
-        content = sum((_valid(raw[f]) for f in T.CONTENT_FIELDS), F.lit(0)) / len(T.CONTENT_FIELDS)
-        people = F.transform(F.when(F.ltrim(raw["subjects"]).startswith("["), array_items(raw["subjects"])),
-                             lambda x: F.from_json(x, RAW_SUBJECT))
-        filled = F.transform(people, lambda p: sum((_valid(p[f]) for f in T.SUBJECT_FIELDS), F.lit(0)) / len(T.SUBJECT_FIELDS))
+        content = share(RAW_SHOT, T.CONTENT_FIELDS)(item)
+        people = F.when(F.ltrim(raw["subjects"]).startswith("["), array_items(raw["subjects"]))
+        filled = F.transform(people, share(RAW_SUBJECT, T.SUBJECT_FIELDS))
         coverage = F.try_divide(F.aggregate(filled, F.lit(0.0), lambda a, x: a + x), F.size(filled).cast("double"))
         return 0.6 * presence + 0.3 * content + 0.1 * F.coalesce(coverage, F.lit(0.0))
 
@@ -106,13 +112,13 @@ def retrieval_reward(shot_vectors: DataFrame, episode_vectors: DataFrame, top_k:
     """
     negatives = negatives if negatives is not None else stage(negative_episodes(episode_vectors, seed))
     shots = shot_vectors.withColumn("shot_key", F.concat_ws("#", key, "pos"))
-    own = shots.select("shot_key", "vec", F.lit("own").alias("kind"), F.concat_ws("/", "drama", "episode").alias("_ep"))
+    own = shots.select("shot_key", "vec", F.lit("own").alias("kind"), "drama", "episode")
     other = attach_stats(shots.select("shot_key", "vec", "drama", "episode"), negatives, ["drama", "episode"]).select(
-        "shot_key", "vec", F.lit("neg").alias("kind"), F.concat_ws("/", "neg_drama", "neg_episode").alias("_ep"))
+        "shot_key", "vec", F.lit("neg").alias("kind"), F.col("neg_drama").alias("drama"), F.col("neg_episode").alias("episode"))
     left = own.unionByName(other).withColumn("lid", F.concat_ws("@", "kind", "shot_key"))
-    right = episode_vectors.select(F.concat_ws("/", "drama", "episode").alias("_ep"), F.col("item").cast("string").alias("item"),
-                                   F.col("vec").alias("item_vec"))
-    best = block_topk(left.select("lid", "vec", "_ep"), right, ["_ep"], "lid", "vec", "item", "item_vec", top_k)
+    episode = ["drama", "episode"]
+    right = episode_vectors.select(*episode, F.col("item").cast("string").alias("item"), F.col("vec").alias("item_vec"))
+    best = block_topk(left.select("lid", "vec", *episode), right, episode, "lid", "vec", "item", "item_vec", top_k)
     score = F.col("q") / SIM_SCALE
     own_key = F.regexp_replace(F.regexp_replace("lid", "^(own|neg)@", ""), "#[^#]*$", "")
     means = best.groupBy(own_key.alias("_key")).agg(

@@ -74,7 +74,7 @@ def timeline(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select(
         (F.col("conv_id") % 10).alias("drama"), F.col("conv_id").alias("episode"), F.col("turn").alias("segment_index"),
         (F.col("turn") * 1.5).cast("double").alias("start_sec"),
-        (F.col("turn") * 1.5 + 1.0 + (F.length("text") % 7) * 0.24).cast("double").alias("end_sec"))
+        (F.col("turn") * 1.5 + 1.0 + (F.length("text") % 7) * 0.25).cast("double").alias("end_sec"))
 
 
 def transcripts(spark: SparkSession, sf: str) -> DataFrame:
@@ -113,27 +113,34 @@ def _shot(i: str) -> str:
                 f"else '[' || {_subject(d)} || ']' end")
     duration = (f"case cast({d} % 5 as int) when 0 then '\"2.5\"' when 1 then '\"abc\"' when 2 then 'null' "
                 f"else cast({d} % 4 as string) || '.5' end")
+    told = f"substr(told, cast({i} as int) * {PART} + 1, {PART})"
     scale = (f"case cast({d} % 7 as int) when 0 then '{{\"a\": \"中景\", \"b\": \"近景\"}}' "
              f"when 1 then '[\"特写\", \"全景\"]' when 2 then '3' else '\"中景\"' end")
     return (
         f"'{{\"index\": ' || cast({i} as string) || ', \"shot_scale\": ' || {scale} || ', \"camera_angle\": \"平拍\", ' || "
         f"case when {d} % 4 = 0 then '' else '\"camera_motion\": \"' || case when {d} % 3 = 0 then '固定' else '跟拍' end || '\", ' end || "
         f"'\"subjects\": ' || {subjects} || ', \"background\": \"' || case when {d} % 9 = 0 then '' else lang || '走廊' end || "
-        f"'\", \"description_narrative\": \"角色' || cast({d} % 3 as string) || '在' || source || '停下\", ' || "
-        f"'\"dialogue\": ' || case when {d} % 3 = 0 then 'null' else '\"台词' || cast(doc_id as string) || '}}\"' end || "
+        f"'\", \"description_narrative\": \"角色' || cast({d} % 3 as string) || '在' || source || '停下' || {told} || '\", ' || "
+        f"'\"dialogue\": ' || case when {d} % 3 = 0 then 'null' else '\"台词' || cast(doc_id as string) || {told} || '}}\"' end || "
         f"', \"speaker\": ' || case when {d} % 2 = 0 then 'null' else '\"角色1\"' end || "
         f"case when {d} % 5 = 0 then '' else ', \"emotion\": \"平静\"' end || ', \"duration\": ' || {duration} || '}}'"
     )
 
 
+# A document of n characters has a shot for each PART of them, and one more by its id: the whole text passes through.
+PART = 1500
+LAST_SHOT = f"cast(floor(length(told) / {PART}) + doc_id % 3 as int)"
+# White space and JSON's own marks cannot stand inside a JSON text as they are.
+TOLD = "replace(replace(replace(text, chr(92), '/'), chr(34), '”'), chr(10), ' ')"
+
+
 def _clean_spark() -> str:
     shot = _shot("cast(i as bigint)")
-    return f"'[' || array_join(transform(sequence(0, cast(least(doc_id % 4, 2) as int)), i -> {shot}), ', ') || ']'"
+    return f"'[' || array_join(transform(sequence(0, {LAST_SHOT}), i -> {shot}), ', ') || ']'"
 
 
 def _clean_duck() -> str:
-    return ("'[' || " + _shot("0") + " || case when doc_id % 4 >= 1 then ', ' || " + _shot("1") + " else '' end"
-            " || case when doc_id % 4 >= 2 then ', ' || " + _shot("2") + " else '' end || ']'")
+    return f"'[' || array_to_string(list_transform(range(0, {LAST_SHOT} + 1), lambda i: {_shot('i')}), ', ') || ']'"
 
 
 MODEL_OUTPUT = (
@@ -151,7 +158,7 @@ def model_outputs(spark: SparkSession, sf: str) -> DataFrame:
 
 def outputs_of(documents: DataFrame, plot_rows: DataFrame) -> DataFrame:
     """The same from a document table or stream."""
-    docs = documents.select("doc_id", "source", "lang")
+    docs = documents.select("doc_id", "source", "lang", F.expr(TOLD).alias("told"))
     p = plot_rows.select(F.col("episode").alias("conv_id"), "plot_summary")
     keyed = docs.withColumn("conv_id", F.expr("doc_id % 1200"))
     return (keyed.join(p, "conv_id", "left")
@@ -226,7 +233,7 @@ DUCK: dict[str, str] = {
           turn = max(turn) over (partition by conv_id) as is_last from conversations""",
     "timeline": """
         select drama, episode, turn as segment_index, (turn * 1.5)::double as start_sec,
-          (turn::double * 1.5 + 1.0 + (length(text) % 7)::double * 0.24)::double as end_sec from conv""",
+          (turn::double * 1.5 + 1.0 + (length(text) % 7)::double * 0.25)::double as end_sec from conv""",
     "transcripts": """
         select drama, episode, turn as idx, case when role = 'system' then '' else text end as text
         from conv where not (is_last and episode % 7 = 0)""",
@@ -239,7 +246,7 @@ DUCK: dict[str, str] = {
         select doc_id as sample_index, source, lang, '【剧情摘要】' || chr(10) || coalesce(plot_summary, 'unknown plot')
           || chr(10) || chr(10) || '【出场角色】' || chr(10) || '角色0、角色' || lang as user_text,
           {MODEL_OUTPUT} as model_output
-        from (select d.*, p.plot_summary, {_clean_duck()} as clean from documents d
+        from (select d.*, p.plot_summary, {_clean_duck()} as clean from (select *, {TOLD} as told from documents) d
               left join plots p on p.episode = d.doc_id % 1200)""",
     "salvaged": r"""
         select sample_index, source, lang, user_text, arr, not whole and arr is not null

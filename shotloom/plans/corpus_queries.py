@@ -35,7 +35,7 @@ def _scan_episode_paths(spark, sf):
 @query("shots_per_directory", sql("""
     with f as (select distinct drama, stem, 'videos/' || drama || '/' || stem || '.' || suffix as path from paths
         where suffix in ('MP4', 'mkv'))
-    select drama as directory, row_number() over (partition by drama order by path) - 1 as place, path,
+    select 'videos/' || drama as directory, row_number() over (partition by drama order by path) - 1 as place, path,
       count(*) over (partition by drama) as total from f"""))
 def _shots_per_directory(spark, sf):
     return D.shots_per_directory(_files(spark, sf).select("path").distinct())

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shotloom.functions import vectors as V
+from shotloom.functions.vectors import r6
 from shotloom.operators import negatives as N
 from shotloom.operators.ordered import first_per_key
 from shotloom.plans import bindings as B
@@ -47,7 +48,8 @@ def _mine_other(spark, sf):
     from shots left join (select anchor, count(*) as n, max(q) as top from mined group by anchor) on anchor = shot_id"""))
 def _stats(spark, sf):
     s = stage(B.shots(spark, sf))
-    return N.hard_negative_stats(s, N.mine_hard_negatives(N.image_vectors(s), topk=TOPK))
+    stats = N.hard_negative_stats(s, N.mine_hard_negatives(N.image_vectors(s), topk=TOPK))
+    return stats.withColumns({c: r6(F.col(c)) for c in ("avg_negatives", "top1_similarity")})
 
 
 @query("export_hard_negatives", sql(f"""with {_mined_sql(TOPK)}

@@ -141,7 +141,7 @@ END_TO_END = f"""with {VISUAL}, {FORMAT},
         list_transform(range(64), lambda i: ({HASH.format('text')} // (i + 1) % 1000) / 1000.0::double - 0.5::double) as v from visual),
     told as (select *, list_transform(v, lambda x: x / greatest(sqrt(list_dot_product(v, v)), 1e-12)) as t from raw),
     {_duck_reward('told', 1)},
-    nar as (select sample_index, string_agg({duck_text('description_narrative')}, chr(10) order by pos) as nar from items group by 1)
+    nar as (select sample_index, string_agg(trim({duck_text('description_narrative')}), chr(10) order by pos) as nar from items group by 1)
     select m.sample_index as completion, coalesce(n, 0) as n_shots, coalesce(v.repaired, false) as repaired, round(2 * coalesce(f, 0) - 1, 6) as r_format,
       round(case when n > 0 then coalesce(g.r_retrieval, 0.5) end, 6) as r_retrieval, round({HASH.format('nar')} % 1000 / 999.0::double, 6) as r_video,
       round(case when n is null then -1 else 0.4::double * coalesce(g.r_retrieval, 0.5) + 0.4::double * ({HASH.format('nar')} % 1000 / 999.0::double)

@@ -233,10 +233,16 @@ def _schedule(spark, sf):
 
 
 @query("fn_round_half_even", sql("""
-    select o_orderkey, round_even(o_totalprice::double / 7, 2) as two, round_even((o_orderkey % 8)::double / 4, 1) as one from orders"""))
+    select o_orderkey, round_even(o_totalprice::double / 7, 2) as two, round_even((o_orderkey % 8)::double / 4, 1) as one,
+      [0.1, 0.3, 2.67, 0.2, 1.0][(o_orderkey % 5 + 1)::int]::double as hard from orders"""))
 def _round(spark, sf):
-    return B.table(spark, sf, "orders").select("o_orderkey", F.bround(F.col("o_totalprice").cast("double") / 7, 2).alias("two"),
-                                               F.bround((F.col("o_orderkey") % 8).cast("double") / 4, 1).alias("one"))
+    orders = B.table(spark, sf, "orders")
+    place = (F.col("o_orderkey") % 5).cast("int")
+    # Values whose binary form lies below a half, and one exact half; the SQL states what they must give.
+    one, two = F.array(*map(F.lit, (0.15, 0.35, 2.675, 0.25, 1.005))), (2, 4)
+    hard = F.when(place.isin(*two), X.round_half_even(one[place], 2)).otherwise(X.round_half_even(one[place], 1))
+    return orders.select("o_orderkey", X.round_half_even(F.col("o_totalprice").cast("double") / 7, 2).alias("two"),
+                         X.round_half_even((F.col("o_orderkey") % 8).cast("double") / 4, 1).alias("one"), hard.alias("hard"))
 
 
 # ---------------------------------------------------------------- JSON

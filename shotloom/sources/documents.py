@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shotloom.functions.fixed_text import IMAGE_SUFFIXES, VIDEO_SUFFIXES
-from shotloom.functions.text import trim_all
-from shotloom.operators.ordered import attach_stats, first_per_key, hash_order, rank_in_group
+from shotloom.functions.text import round_half_even, trim_all
+from shotloom.operators.ordered import attach_stats, first_per_key, hash_order, rank_by_text
 
 SEGMENT = ("struct<segment_index:int,video_filename:string,keyframe_filename:string,start_frame:int,end_frame:int,"
            "num_frames:int,start_sec:double,end_sec:double,fps:double>")
@@ -69,12 +69,14 @@ def with_episode_parts(df: DataFrame, path: str = "path") -> DataFrame:
 def episode_paths(files: DataFrame, suffixes: Sequence[str] = VIDEO_SUFFIXES) -> DataFrame:
     """drama, episode, path: a numeric stem is the episode, else its place in the drama (numbers first)."""
     parts = with_episode_parts(files).filter(F.col("suffix").isin(*suffixes))
-    numeric = F.col("stem").rlike("^[0-9]+$")
-    parts = parts.withColumn("_key", F.when(numeric, F.concat(F.lit("0"), F.lpad("stem", 20, "0")))
-                             .otherwise(F.concat(F.lit("1"), F.col("stem"))))
-    ranked = rank_in_group(parts, ["drama"], [F.col("_key"), F.col("path")], F.substring("_key", 1, 17), "_place")
-    return ranked.select("drama", F.when(numeric, F.col("stem").cast("bigint")).otherwise(F.col("_place") + 1)
-                         .alias("episode"), "path")
+    # A stem of more digits than a number holds is a name.
+    number = F.when(F.col("stem").rlike("^[0-9]+$"), F.col("stem").try_cast("bigint"))
+    parts = parts.select("drama", "stem", "path", number.alias("_number"))
+    numbers = parts.groupBy("drama").agg(F.count("_number").alias("_before"))
+    named = rank_by_text(parts.filter("_number is null"), ["drama"], ["stem", "path"], "_place")
+    placed = attach_stats(named, numbers, ["drama"]).select(
+        "drama", (F.col("_before") + F.col("_place") + 1).alias("episode"), "path")
+    return parts.filter("_number is not null").select("drama", F.col("_number").alias("episode"), "path").unionByName(placed)
 
 
 def modality_images(files: DataFrame, modality: str, legacy: bool = False,
@@ -108,11 +110,12 @@ def resolve_embedding_layout(files: DataFrame) -> DataFrame:
 
 
 def shots_per_directory(files: DataFrame, suffixes: Sequence[str] = ("mp4", "avi", "mov", "mkv")) -> DataFrame:
-    """directory, place, path, total: clips of each folder in name order."""
-    parts = with_episode_parts(files).filter(F.col("suffix").isin(*suffixes))
-    ranked = rank_in_group(parts, ["drama"], [F.col("path")], F.substring("file", 1, 6), "place")
-    totals = parts.groupBy("drama").agg(F.count(F.lit(1)).alias("total"))
-    return attach_stats(ranked.select("drama", "place", "path"), totals, ["drama"]).withColumnRenamed("drama", "directory")
+    """directory (the whole parent path), place, path, total: clips of each folder in name order."""
+    parts = with_episode_parts(files).filter(F.col("suffix").isin(*suffixes)).select(
+        F.regexp_replace("path", "/?[^/]*$", "").alias("directory"), "file", "path")
+    ranked = rank_by_text(parts, ["directory"], ["file", "path"], "place")
+    totals = parts.groupBy("directory").agg(F.count(F.lit(1)).alias("total"))
+    return attach_stats(ranked.select("directory", "place", "path"), totals, ["directory"])
 
 
 def sample_shots(files: DataFrame, shot_counts: Sequence[str] = (), samples: Sequence[str] = (),
@@ -165,7 +168,7 @@ def parse_timeline(docs: DataFrame, digits: int = 2) -> DataFrame:
     """docs(drama, episode, value) → one row per segment with its duration."""
     seg = docs.select("drama", "episode", F.explode(F.from_json("value", TIMELINE)["segments"]).alias("s"))
     return seg.select("drama", "episode", "s.*").withColumn(
-        "duration", F.bround(F.col("end_sec") - F.col("start_sec"), digits))
+        "duration", round_half_even(F.col("end_sec") - F.col("start_sec"), digits))
 
 
 def parse_transcripts(docs: DataFrame) -> DataFrame:
