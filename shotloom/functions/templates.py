@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import functools
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -181,11 +183,15 @@ def retry_suffix(expected: Column, parts: tuple[str, str, str] = T.RETRY_OBJECT)
     return F.coalesce(text, F.lit(""))
 
 
-def analysis_prompt(rules: str, n: Column, characters: Column, plot: Column, dialogues: Column) -> Column:
-    """Shot-analysis prompt: caller's rules after the number of images and the scene facts."""
+def analysis_prompt(parts: Sequence[str], n: Column, characters: Column, plot: Column, dialogues: Column) -> Column:
+    """Shot-analysis prompt: the caller's five texts around the number of images, people, plot and lines.
+
+    The reminder of the exact number of objects follows at the end.
+    """
     people, lines = scene_lines(characters, dialogues)
-    return F.concat(F.lit("共 "), n.cast("string"), F.lit(" 张视频帧\n人物表：\n"), people, F.lit("\n\n剧情梗概：\n  "),
-                    F.coalesce(plot, F.lit(T.NO_PLOT)), F.lit("\n\n台词：\n"), lines, F.lit("\n\n" + rules))
+    head, before_people, before_plot, before_lines, rules = map(F.lit, parts)
+    return F.concat(head, n.cast("string"), before_people, people, before_plot, F.coalesce(plot, F.lit(T.NO_PLOT)),
+                    before_lines, lines, rules, retry_suffix(n, T.RETRY_ARRAY))
 
 
 def judge_prompt(narratives: Column) -> Column:

@@ -126,25 +126,18 @@ def global_rank(df: DataFrame, key: Column, name: str, prefix: int = 3) -> DataF
     return rank_in_group(hashed, ["__one"], [F.col("__k")], F.substring("__k", 1, prefix), name).drop("__k", "__one")
 
 
-TAKE_LIMIT = 10_000
-
-
 def limit_by_hash(df: DataFrame, n: int, key: Column) -> DataFrame:
     """A reproducible random sample of ``n`` rows; ``n <= 0`` keeps everything.
 
-    A short sample is a top-n; a long one is cut at its rank, so that it never gathers in one task.
+    Rows are cut at their rank, so that no sample, however long, gathers in one task.
     """
     if n <= 0:
         return df
-    if n <= TAKE_LIMIT:
-        return df.withColumn("__k", key).orderBy("__k").limit(n).drop("__k")
     return global_rank(df, key, "__i").filter(F.col("__i") < n).drop("__i")
 
 
 def first_rows(df: DataFrame, n: int, order: str) -> DataFrame:
     """The ``n`` rows with the smallest integer ``order``, likewise."""
-    if n <= TAKE_LIMIT:
-        return df.orderBy(order).limit(n)
     one = df.withColumn("__one", F.lit(1))
     ranked = rank_in_group(one, ["__one"], [F.col(order)], F.floor(F.col(order) / CHUNK), "__i")
     return ranked.filter(F.col("__i") < n).drop("__i", "__one")

@@ -43,17 +43,26 @@ def block_join(left: DataFrame, right: DataFrame, group: Sequence[str], left_key
     """Call ``fn(left_block, right_block)`` for every pair of blocks in a group.
 
     A row is copied once per block of the other side; block counts come from group sizes, so a
-    group that fits one block is not copied at all.
+    group that fits one block is not copied at all.  Without a group both sides are counted once
+    and rows find their blocks by themselves.
     """
     group = list(group)
 
     def sized(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
 
-    sizes = sized(left, "_nl").join(sized(right, "_nr"), group)
+    if group:
+        sizes = sized(left, "_nl").join(sized(right, "_nr"), group)
+    else:
+        n_left, n_right = (max(1, -(-df.count() // block)) for df in (left, right))
+
+    def with_sizes(df: DataFrame) -> DataFrame:
+        if group:
+            return attach_stats(df, sizes, group)
+        return df.withColumns({"_nl": F.lit(n_left), "_nr": F.lit(n_right)})
 
     def place(df: DataFrame, key: str, own: str, other: str, own_n: str, other_n: str) -> DataFrame:
-        return (attach_stats(df, sizes, group)
+        return (with_sizes(df)
                 .withColumn(own, F.pmod(F.xxhash64(key), F.col(own_n)).cast("int"))
                 .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_n) - 1)))
                 .drop("_nl", "_nr"))

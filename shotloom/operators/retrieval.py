@@ -10,10 +10,8 @@ from shotloom.operators.pairs import BLOCK, SIM_SCALE, block_topk
 
 def retrieve_topk(queries: DataFrame, index: DataFrame, k: int = 5, block: int = BLOCK) -> DataFrame:
     """queries(query_id, vec) × index(item_id, vec) → query_id, item_id, score, rank."""
-    # One group; computed from the id because joins on a literal lose their key.
-    left = queries.select("query_id", "vec", F.pmod(F.xxhash64("query_id"), F.lit(1)).alias("_g"))
-    right = index.select("item_id", F.col("vec").alias("item_vec"), F.pmod(F.xxhash64("item_id"), F.lit(1)).alias("_g"))
-    found = block_topk(left, right, ["_g"], "query_id", "vec", "item_id", "item_vec", k,
+    left, right = queries.select("query_id", "vec"), index.select("item_id", F.col("vec").alias("item_vec"))
+    found = block_topk(left, right, [], "query_id", "vec", "item_id", "item_vec", k,
                        queries.schema["query_id"].dataType.simpleString(),
                        index.schema["item_id"].dataType.simpleString(), block=block)
     return found.select("query_id", "item_id", (F.col("q") / SIM_SCALE).alias("score"), "rank")

@@ -77,12 +77,10 @@ SAMPLE_PATH = ("concat('shot_count_', page_id % 4, '/sample_', cast(num as int)
 @query("scan_sample_shots", sql(f"""
     with f as (select 'shot_count_' || (page_id % 4) as shot_count, 'sample_' || (num::int % 40) as sample,
         'shot_' || page_id as shot, {SAMPLE_PATH} as first_frame from paths where suffix <> 'txt' and page_id % 4 in (1, 3)),
-    s as (select distinct shot_count, sample from f order by md5('7|' || shot_count || '|' || sample) limit 25)
-    select shot_count, sample, shot, first_frame from f join s using (shot_count, sample)
-    order by shot_count, sample, shot limit 60"""))
+    s as (select distinct shot_count, sample from f)
+    select shot_count, sample, shot, first_frame from f join s using (shot_count, sample)"""))
 def _sample_shots(spark, sf):
-    return D.sample_shots(_files(spark, sf, SAMPLE_PATH), ["1", "shot_count_3"], sample_limit=25, select="random",
-                          shot_limit=60, seed=7)
+    return D.sample_shots(_files(spark, sf, SAMPLE_PATH), ["1", "shot_count_3"])
 
 
 @query("limit_samples", sql("""
@@ -323,11 +321,10 @@ def _needed(spark, sf):
 
 
 RL = f"""{MATCH},
-    kept as (select * from matched where episode % 3 <> 0),
-    capped as (select * from kept order by sample_index limit 200)"""
+    kept as (select * from matched where episode % 3 <> 0)"""
 
 
-@query("load_rl_split", sql(f"with {RL} select sample_index, drama, episode, 'train' as split from capped"))
+@query("load_rl_split", sql(f"with {RL} select sample_index, drama, episode, 'train' as split from kept"))
 def _rl(spark, sf):
     kept, _ = _rl_parts(spark, sf)
     return kept
@@ -335,13 +332,12 @@ def _rl(spark, sf):
 
 def _rl_parts(spark, sf):
     vec = B.timeline(spark, sf).filter("episode % 3 <> 0")
-    kept, rate = C.load_rl_split(B.model_outputs(spark, sf), B.plots(spark, sf), vec, "train", 200)
+    kept, rate = C.load_rl_split(B.model_outputs(spark, sf), B.plots(spark, sf), vec, "train")
     return kept.select("sample_index", "drama", "episode", "split"), rate
 
 
 @query("match_rate", sql(f"""with {RL},
-    read as (select m.sample_index, k.sample_index is not null as hit from model_outputs m left join kept k using (sample_index)
-        where (select count(*) from capped) < 200 or m.sample_index <= (select max(sample_index) from capped))
+    read as (select m.sample_index, k.sample_index is not null as hit from model_outputs m left join kept k using (sample_index))
     select count(*) filter (hit) as kept, count(*) filter (not hit) as skipped,
       ROUND(count(*) filter (not hit) / greatest(count(*), 1) * 100, 1) as skip_pct from read"""))
 def _rate(spark, sf):

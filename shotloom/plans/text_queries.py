@@ -436,6 +436,25 @@ def _t7(spark, sf):
     return _outputs(spark, sf).select("sample_index", F.concat(prompt, P.retry_suffix(expected)).alias("text"))
 
 
+_ANALYSIS = ("Frames: ", "\nPeople:\n", "\nPlot: ", "\nLines:\n", "\nAnswer with one object per frame.")
+
+
+@query("tmpl_analysis_prompt", sql(f"""
+    select sample_index, {_lit(_ANALYSIS[0])} || (sample_index % 4 + 1) || {_lit(_ANALYSIS[1])}
+      || case when sample_index % 2 = 0 then '  - ' || source || '：' || lang else {_lit(T.NONE_LINE)} end
+      || {_lit(_ANALYSIS[2])} || case when sample_index % 3 = 0 then {_lit(T.NO_PLOT)} else user_text end
+      || {_lit(_ANALYSIS[3])} || '  a' || chr(10) || '  ' || lang || {_lit(_ANALYSIS[4])} || {_lit(T.RETRY_ARRAY[0])}
+      || (sample_index % 4 + 1) || {_lit(T.RETRY_ARRAY[1])} || (sample_index % 4) || {_lit(T.RETRY_ARRAY[2])} as text
+    from model_outputs"""))
+def _analysis(spark, sf):
+    people = F.expr("if(sample_index % 2 = 0, array(named_struct('name', source, 'features', lang)), "
+                    "cast(array() as array<struct<name:string,features:string>>))")
+    n = F.col("sample_index") % 4 + 1
+    plot = F.when(F.col("sample_index") % 3 != 0, F.col("user_text"))
+    text = P.analysis_prompt(_ANALYSIS, n, people, plot, F.array(F.lit("a"), F.col("lang")))
+    return _outputs(spark, sf).select("sample_index", text.alias("text"))
+
+
 @query("tmpl_judge_prompt", sql(f"""
     with n as (select sample_index, list(coalesce(s->>'$.description_narrative', '') order by pos) as l from items group by all)
     select sample_index, '请对以下 2' || {_lit(T.JUDGE_INTRO[0][1])} || {_lit(T.JUDGE_INTRO[1][0])} || '2' || {_lit(T.JUDGE_INTRO[1][1])} || '[1, 2]'

@@ -107,10 +107,10 @@ def _complete_modalities(spark, sf):
 @query("pair_depth_pose", sql("""
     select drama, episode, shot_index, md5('7|' || drama || '|' || episode || '|' || shot_index) as k,
       round(list_dot_product(depth, pose), 6) + 0.0 as agreement
-    from shots where shot_index % 7 <> 6 order by k limit 200"""))
+    from shots where shot_index % 7 <> 6"""))
 def _pair_depth_pose(spark, sf):
     _, long = _long_vectors(spark, sf)
-    p = pair_depth_pose(long, limit=200, seed=7)
+    p = pair_depth_pose(long)
     return p.select("drama", "episode", "shot_index", F.md5(F.concat_ws("|", F.lit(7), "drama", "episode", "shot_index")).alias("k"),
                     V.r6(V.dot(F.col("depth"), F.col("pose"))).alias("agreement"))
 
