@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotloom.functions import vectors as V
+from shotloom.functions.text import let
 from shotloom.operators.ordered import CHUNK, attach_stats, global_rank, hash_int, hash_order, rank_in_group, running
 from shotloom.operators.pairs import (BLOCK, LEVELS, RADIX, SIM_SCALE, block_join, quantise, top_rows, unit_rows)
 from shotloom.session import stage
@@ -221,19 +222,31 @@ def pool_size(tier: str) -> Column:
 
 
 def draw_positions(laid: DataFrame, tier: str, k: Column | int, seed: int) -> DataFrame:
-    """anchor, tier, draw, pos: min(k, pool) distinct positions, evenly spaced from a hashed start."""
+    """anchor, tier, draw, pos: min(k, pool) distinct positions, a uniform sample of the pool in hashed order.
+
+    Place i of the last k places of the pool is tried at a hashed place up to i, and stands for
+    itself where that is taken; every subset is equally likely, and the work is in k, not the pool.
+    """
     start, _, gap_start, gap_n = POOLS[tier]
     first = F.col(start) if start else F.lit(0)
-    size = pool_size(tier)
-    want = F.least(F.lit(k) if isinstance(k, int) else k, size)
+    size = pool_size(tier).cast("bigint")
+    want = F.least(F.lit(k) if isinstance(k, int) else k, size).cast("bigint")
     sized = laid.withColumn("_m", size).withColumn("_k", want).filter(F.col("_k") > 0)
-    drawn = sized.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_k").cast("bigint") - 1)))
-    j = F.pmod(hash_int(F.lit(seed), F.lit(tier), F.col("shot_id")) % F.col("_m")
-               + F.col("draw") * F.floor(F.col("_m") / F.col("_k")), F.col("_m"))
+
+    def hashed(mark: str, x: Column) -> Column:
+        return hash_int(F.lit(seed), F.lit(tier), F.lit(mark), F.col("shot_id"), x)
+
+    def take(taken: Column, i: Column) -> Column:
+        return let(F.pmod(hashed("try", i), i + 1),
+                   lambda at: F.concat(taken, F.array(F.when(F.array_contains(taken, at), i).otherwise(at))))
+
+    places = F.aggregate(F.sequence(F.col("_m") - F.col("_k"), F.col("_m") - 1), F.array().cast("array<bigint>"), take)
+    mixed = F.array_sort(F.transform(places, lambda x: F.struct(hashed("order", x).alias("h"), x.alias("j"))))
+    drawn = sized.select("*", F.posexplode(mixed).alias("draw", "_at"))
+    at = first + F.col("_at.j")
     gap = F.col(gap_n) if gap_n else F.lit(1)
-    pos = first + j + F.when(first + j >= F.col(gap_start), gap).otherwise(F.lit(0))
-    return drawn.select(F.col("shot_id").alias("anchor"), F.lit(tier).alias("tier"), F.col("draw").cast("int").alias("draw"),
-                        pos.cast("bigint").alias("pos"))
+    pos = at + F.when(at >= F.col(gap_start), gap).otherwise(F.lit(0))
+    return drawn.select(F.col("shot_id").alias("anchor"), F.lit(tier).alias("tier"), "draw", pos.cast("bigint").alias("pos"))
 
 
 def resolve_positions(draws: DataFrame, laid: DataFrame) -> DataFrame:
@@ -292,8 +305,8 @@ def sample_hard_negatives(shots: DataFrame, hard: DataFrame, k: int = 30, seed:
                           laid: DataFrame | None = None) -> DataFrame:
     """anchor, rank, neg, tier, short_by from hard(anchor, neg).
 
-    Listed negatives first, in hashed order; then other shots of the drama; other dramas only
-    where the drama has no other shot.
+    Listed negatives first, in hashed order; then other shots of the drama; then, where the drama
+    has too few, shots of other dramas.  Only a corpus of fewer shots leaves a list short.
     """
     laid = laid if laid is not None else stage(lay_out(shots))
     listed = (hard.select("anchor", "neg").join(laid.select(F.col("shot_id").alias("neg")), "neg", "left_semi")
@@ -302,7 +315,7 @@ def sample_hard_negatives(shots: DataFrame, hard: DataFrame, k: int = 30, seed:
     tier0 = (listed.withColumn("draw", F.row_number().over(order) - 1).filter(F.col("draw") < k)
              .select("anchor", F.lit(0).alias("t"), "draw", "neg"))
     same = resolve_positions(draw_positions(laid, "same_drama", 2 * k, seed), laid)
-    other = resolve_positions(draw_positions(laid.filter(F.col("d_n") == 1), "cross_drama", k, seed), laid)
+    other = resolve_positions(draw_positions(laid.filter(F.col("d_n") - 1 < k), "cross_drama", 2 * k, seed), laid)
     pool = tier0.unionByName(same.select("anchor", F.lit(1).alias("t"), "draw", "neg")).unionByName(
         other.select("anchor", F.lit(2).alias("t"), "draw", "neg"))
     once = pool.groupBy("anchor", "neg").agg(F.min(F.struct("t", "draw")).alias("_o"))

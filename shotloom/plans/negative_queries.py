@@ -90,14 +90,20 @@ LAID = """
 def _draw_sql(name: str, tier: str, k: str) -> str:
     start, n, gap, gap_n = N.POOLS[tier]
     gap = "p" if gap == "pos" else gap
+
+    def hashed(mark: str, x: str) -> str:
+        return f"('0x' || substr(md5('{SEED}|{tier}|{mark}|' || shot_id || '|' || {x}), 1, 15))::bigint"
+
+    at = f"({hashed('try', 'x[1]')} % (x[1] + 1))"
     return f"""
     {name} as (select anchor, '{tier}' as tier, draw, t.shot_id as neg from (
-        select shot_id as anchor, i as draw, base + j + case when base + j >= gap then gap_n else 0 end as pos from (
-          select *, (h % m + i * (m // kk)) % m as j from (
-            select *, unnest(range(kk)) as i from (
+        select anchor, draw, base + j + case when base + j >= gap then gap_n else 0 end as pos from (
+          select *, shot_id as anchor, row_number() over (partition by shot_id order by {hashed('order', 'j')}, j) - 1 as draw from (
+            select *, unnest(list_reduce(list_prepend([]::bigint[], list_transform(range(m - kk, m), lambda x: [x])),
+                lambda a, x: list_append(a, case when list_contains(a, {at}) then x[1] else {at} end))) as j from (
               select *, least({k}, m) as kk from (
-                select shot_id, {start or 0} as base, {gap} as gap, {gap_n or 1} as gap_n, {n} - {gap_n or 1} as m, l.*,
-                  ('0x' || substr(md5('{SEED}|{tier}|' || shot_id), 1, 15))::bigint as h from laid l)))))
+                select shot_id, {start or 0} as base, {gap} as gap, {gap_n or 1} as gap_n, {n} - {gap_n or 1} as m,
+                  l.* exclude (shot_id) from laid l)) where kk > 0)))
         join laid t on t.p = pos)"""
 
 
@@ -143,14 +149,14 @@ def _infonce(spark, sf):
 
 def _hard_sql(k: int) -> str:
     return f"""
-    {_draw_sql('same', 'same_drama', str(2 * k))},
+    {_draw_sql('same', 'same_drama', str(2 * k))}, {_draw_sql('far', 'cross_drama', f"case when d_n - 1 < {k} then {2 * k} else 0 end")},
     hard_all as (select anchor, neg, 0 as t, row_number() over (partition by anchor order by
           md5('{SEED}|' || anchor || '|' || neg), neg) - 1 as draw from mined
-        union all select anchor, neg, 1, draw from same),
+        union all select anchor, neg, 1, draw from same union all select anchor, neg, 2, draw from far),
     hard_once as (select anchor, neg, min(row(t, draw)) as o from hard_all group by anchor, neg),
     hard as (select *, ({k} - count(*) over (partition by anchor))::int as short_by from (
         select anchor, (row_number() over (partition by anchor order by o))::int as rank, neg,
-          case when o[1] = 0 then 'listed' else 'same_drama' end as tier from hard_once) where rank <= {k})"""
+          case o[1] when 0 then 'listed' when 1 then 'same_drama' else 'cross_drama' end as tier from hard_once) where rank <= {k})"""
 
 
 @query("sample_hard_negatives", sql(_laid_first(
