@@ -9,6 +9,7 @@ bucket.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -103,10 +104,22 @@ def running_last(df: DataFrame, group: Sequence[str], pos: str, value: Column, n
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], payload: Sequence[str]) -> DataFrame:
-    """First row per key in ``order``; an aggregate, so copies are dropped before the shuffle."""
-    picked = F.min(F.struct(*order, *[c for c in payload if c not in order])).alias("__p")
-    return df.groupBy(*keys).agg(picked).select(
-        *keys, *[F.col("__p")[c].alias(c) for c in dict.fromkeys([*order, *payload]) if c not in keys])
+    """First row per key in ``order``; of equal ones that with the smallest payload.
+
+    The winners are found on keys and order alone, so copies are dropped before the shuffle and
+    no long payload is sorted; only the winners' payload is joined.
+    """
+    more = [c for c in payload if c not in order and c not in keys]
+    low = F.min(order[0]) if len(order) == 1 else F.min(F.struct(*order))
+    best = df.groupBy(*keys).agg(low.alias("__o"))
+    wins = best.select(*keys, *[(F.col("__o") if len(order) == 1 else F.col("__o")[c]).alias(c) for c in order])
+    if not more:
+        return wins
+    names = [*keys, *order]
+    named = wins.select(*[F.col(c).alias(f"__{c}") for c in names])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in names])
+    rows = df.select(*names, *more).join(named, same, "left_semi")
+    return rows.groupBy(*names).agg(F.min(F.struct(*more)).alias("__p")).select(*names, "__p.*")
 
 
 def hash_order(*parts: Column | str) -> Column:

@@ -66,16 +66,16 @@ def validate_indexed_scores(responses: DataFrame, fallback: float = 0.5) -> Data
     scored = F.filter(parsed, lambda e: e["score"].isNotNull())
     usable = F.forall(scored, lambda e: e["score"].try_cast("double").isNotNull()
                       & F.coalesce(e["index"], F.lit("0")).try_cast("int").isNotNull())
-    table = responses.select("chunk", "expected", F.when(usable, scored).alias("e"))
-    rows = table.withColumn("index", F.explode(F.sequence(F.lit(1), F.col("expected").cast("int"))))
-    hits = F.filter("e", lambda x: F.coalesce(x["index"], F.lit("0")).try_cast("int") == F.col("index"))
-    all_there = F.forall(F.sequence(F.lit(1), F.col("expected").cast("int")), lambda i: F.exists(
-        "e", lambda x: F.coalesce(x["index"], F.lit("0")).try_cast("int") == i))
-    value = F.try_element_at(hits, F.lit(-1))["score"].try_cast("double")
-    ok = F.coalesce(all_there, F.lit(False))
-    return rows.select("chunk", "index",
-                       F.when(ok, F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))).otherwise(fallback).alias("score"),
-                       (~ok).alias("fallback"))
+    number = lambda e: F.coalesce(e["index"], F.lit("0")).try_cast("int")
+    wanted = F.sequence(F.lit(1), F.col("expected").cast("int"))
+    # Whether a chunk is complete is found once, before its rows are made.
+    table = responses.select("chunk", "expected", F.when(usable, F.transform(scored, lambda e: F.struct(
+        number(e).alias("i"), e["score"].try_cast("double").alias("s")))).alias("e"))
+    complete = F.size(F.array_except(wanted, F.transform("e", lambda x: x["i"]))) == 0
+    rows = table.select("chunk", F.coalesce(complete, F.lit(False)).alias("ok"), "e", F.explode(wanted).alias("index"))
+    last = F.element_at(F.filter("e", lambda x: x["i"] == F.col("index")), -1)["s"]
+    value = F.when(F.col("ok"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), last))).otherwise(fallback)
+    return rows.select("chunk", "index", value.alias("score"), (~F.col("ok")).alias("fallback"))
 
 
 # ---------------------------------------------------------------- retrieval

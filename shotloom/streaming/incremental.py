@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
 from shotloom.operators.ledger import pending_work
-from shotloom.operators.rewards import reward_completions
+from shotloom.operators.rewards import negative_episodes, reward_completions
 from shotloom.session import stage
 
 
@@ -68,11 +68,18 @@ def stream_rewards(completions: DataFrame, episode_vectors: DataFrame, embed: Ca
     """Score completions as they arrive and append them to the log at ``output``.
 
     A score depends on the completion and static tables alone, so a batch gives what the batch
-    job gives; only vectors of the frames are read again per batch.
+    job gives.  The contrast episodes are chosen once, from all episodes; a batch reads only the
+    frames of its own episodes and of those they are contrasted with.
     """
+    episode = ["drama", "episode"]
+    pairs = negatives if negatives is not None else stage(negative_episodes(episode_vectors, options.get("seed", 0)))
+
     def handle(batch: DataFrame, batch_id: int) -> None:
         rows = stage(batch)
-        scored = reward_completions(rows, episode_vectors, embed, judge, key=key, negatives=negatives, **options)
+        own = rows.select(*episode).distinct()
+        against = pairs.join(own, episode, "left_semi").select(F.col("neg_drama").alias("drama"), F.col("neg_episode").alias("episode"))
+        frames = episode_vectors.join(own.unionByName(against).distinct(), episode, "left_semi")
+        scored = reward_completions(rows, frames, embed, judge, key=key, negatives=pairs, **options)
         _write_batch(scored.join(rows.select(key, *carry), key), batch_id, output)
 
     return start_batches(completions, handle, checkpoint)

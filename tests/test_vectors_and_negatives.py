@@ -160,7 +160,8 @@ def test_hard_draws_prefer_the_list_then_the_drama(spark):
     assert {x[1] for x in first[:2]} == {"b|0|0", "a|0|3"} and [x[2] for x in first] == ["listed"] * 2 + ["same_drama"] * 2
     assert len({x[1] for x in first}) == 4
     assert {x[2] for x in got["lone|0|0"]} == {"cross_drama"} and len(got["lone|0|0"]) == 4
-    assert len(got["b|0|0"]) == 2 and {x[3] for x in got["b|0|0"]} == {2}
+    # Two other shots in its drama: the list is filled from other dramas.
+    assert [x[2] for x in got["b|0|0"]] == ["same_drama"] * 2 + ["cross_drama"] * 2 and {x[3] for x in got["b|0|0"]} == {0}
 
 
 def test_presample_prefixes_and_skips_done(spark):
@@ -179,3 +180,32 @@ def test_split_sizes(spark):
     _, df = _corpus(spark, {"a": [25]})
     n = {r["split"]: r["count"] for r in N.random_split(df, "shot_id", 0.01, 0.2).groupBy("split").count().collect()}
     assert n == {"test": 1, "val": 5, "train": 19}
+
+
+def test_hard_negatives_are_topped_up_across_dramas(spark):
+    shots = spark.createDataFrame([(f"{d}|0|{i}", d, 0, i) for d, n in ((1, 4), (2, 30)) for i in range(n)],
+                                  "shot_id string, drama long, episode long, shot_index long")
+    none = spark.createDataFrame([], "anchor string, neg string")
+    rows = N.sample_hard_negatives(shots, none, 8, 3).collect()
+    per = {}
+    for r in rows:
+        assert r.neg != r.anchor and r.short_by == 0
+        per.setdefault(r.anchor, []).append(r)
+    assert all(len({x.neg for x in v}) == 8 for v in per.values()) and len(per) == 34
+    assert all(sum(x.tier == "same_drama" for x in per[f"1|0|{i}"]) == 3 for i in range(4))
+
+
+def test_draws_are_uniform(spark):
+    shots = spark.createDataFrame([(f"s{i}", 1, 0, i) for i in range(60)],
+                                  "shot_id string, drama long, episode long, shot_index long")
+    seen, pairs = {}, set()
+    for seed in range(6):
+        rows = N.sample_pool(shots, "same_drama", 5, seed=seed).collect()
+        assert len({(r.anchor, r.neg) for r in rows}) == 300 and all(r.anchor != r.neg for r in rows)
+        for r in rows:
+            seen[r.neg] = seen.get(r.neg, 0) + 1
+        for a in {r.anchor for r in rows}:
+            at = sorted(int(r.neg[1:]) for r in rows if r.anchor == a)
+            pairs |= {y - x for x, y in zip(at, at[1:])}
+    chi = sum((seen.get(f"s{i}", 0) - 30) ** 2 / 30 for i in range(60))
+    assert chi < 100 and len(pairs) > 25  # 59 degrees of freedom; steps of every length
