@@ -36,7 +36,7 @@ UNITS = ("mm cm m km inch inches foot feet yard yards mile miles g kg mg gram gr
          "meter meters metre metres kilometer kilometers kilometre kilometres").split()
 _U = np.uint64
 NUMBER, NAME, UNIT = _U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB), _U(0x8EBC6AF09C88C6E3)
-_WINDOWS = "pos long, key long, slots array<string>"
+_WINDOWS = "pos long, key long, size int, slots array<string>"
 
 
 def _templates(texts: Sequence[str]):
@@ -57,7 +57,7 @@ def _templates(texts: Sequence[str]):
 
 
 def _window_rows(texts: Sequence[str], sizes: Sequence[int], bitmap: np.ndarray | None, whole: bool):
-    """(text index, position, key, slot values) of the windows that may match; ``whole``: items."""
+    """(text index, position, key, size, slot values) of the windows that may match; ``whole``: items."""
     words, key, doc, slot, kept, stops = _templates(texts)
     literal = np.concatenate(([0], np.cumsum(~slot)))
     count = np.bincount(doc, minlength=len(texts))
@@ -73,7 +73,7 @@ def _window_rows(texts: Sequence[str], sizes: Sequence[int], bitmap: np.ndarray
             keep &= (bitmap[(place >> _U(6)).astype(np.int64)] >> (place & _U(63)) & _U(1)) == 1
         for h, i in zip(hashes[keep].view(np.int64), at[keep]):
             found = [i + k for k in range(size) if slot[i + k]]
-            yield (int(doc[i]), int(i - first[doc[i]]), int(h),
+            yield (int(doc[i]), int(i - first[doc[i]]), int(h), size,
                    ["/".join(words.value(w) for w in range(kept[k], stops[k])
                              if words.number[w] or w == kept[k]) for k in found])
 
@@ -87,7 +87,7 @@ def _runner(sizes: Sequence[int], bitmap: np.ndarray | None, whole: bool, carrie
                 index = [r[0] for r in rows]
                 out = {c: part[c].iloc[index].array for c in carried}
                 yield pd.DataFrame(out | {"pos": [r[1] for r in rows], "key": [r[2] for r in rows],
-                                          "slots": [r[3] for r in rows]})
+                                          "size": [r[3] for r in rows], "slots": [r[4] for r in rows]})
     return run
 
 
@@ -110,14 +110,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     """
     items = keyed(benchmark, item_id_col, item_text_col).select(F.col("_d").alias("item_id"), "text").distinct()
     known = stage(items.mapInPandas(_runner(range(1, WIDTH + 1), None, True, ["item_id"]), f"item_id long, {_WINDOWS}")
-                  .select("item_id", F.col("pos").alias("item_pos"), "key", F.col("slots").alias("item_slots")))
-    # Which short windows occur at all: at most WIDTH rows; items as long as a window need no others.
-    short = [n for n in range(1, WIDTH) if not _short(items, n).isEmpty()]
+                  .select("item_id", F.col("pos").alias("item_pos"), "key", "size", F.col("slots").alias("item_slots")))
+    sizes = sorted(r["size"] for r in known.select("size").distinct().collect())  # 1 to WIDTH
     bitmap = _bitmap(known.select("key"), known.count())
     base = keyed(docs, id_col, text_col)
     hits = base.select("doc_id", "_d", "_t", "text").mapInPandas(
-        _runner([*short, WIDTH], bitmap, False, ["doc_id", "_d", "_t"]), f"doc_id long, _d long, _t long, {_WINDOWS}")
-    pairs = hits.join(known, "key").select(
+        _runner(sizes, bitmap, False, ["doc_id", "_d", "_t"]), f"doc_id long, _d long, _t long, {_WINDOWS}")
+    pairs = hits.join(known.drop("size"), "key").select(
         "doc_id", "_d", "_t", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"),
         F.arrays_zip(F.col("item_slots").alias("was"), F.col("slots").alias("now")).alias("swap"))
     # Distinct first: a passage repeated in a document, or a repeated row, adds nothing.
@@ -136,8 +135,3 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     return covered.join(totals, "item_id").withColumn("coverage", share).filter(F.col("coverage") >= coverage).select(
         "doc_id", "item_id", F.size("places").cast("bigint").alias("windows"), "coverage", "verbatim", "_d", "_t")
 
-
-def _short(items: DataFrame, n: int) -> DataFrame:
-    """Items that may have ``n`` template words; the test only has to be generous."""
-    words = F.size(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
-    return items.filter(words.between(n, 4 * n) if n > 1 else words == 1)
