@@ -28,11 +28,6 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
                        F.xxhash64(text).alias("_t"), kept.alias("_keep"))
 
 
-def salts_for(rows: int, per_task: int = 1 << 20) -> int:
-    """Into how many parts a key is cut, so that one with a third of ``rows`` stays a normal task."""
-    return max(16, -(-rows // (3 * per_task)))
-
-
 def matches(text: Column, pattern: str) -> Column:
     """All leftmost non-overlapping matches with their code point spans: array of (start, stop, value).
 

@@ -21,7 +21,6 @@ import pandas as pd
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from shotloom.llm.common import keyed
 
@@ -116,7 +115,3 @@ def pack_documents(docs: DataFrame, size: int = SIZE, open_bins: int = OPEN, blo
 
 def ids_of(data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<u4")
-
-
-def with_digest(pieces: DataFrame) -> DataFrame:
-    return pieces.withColumn("ids_crc32", F.crc32("ids"))

@@ -39,7 +39,6 @@ LEXICON = ("idiot moron stupid loser scum trash pathetic worthless disgusting cl
 class Model:
     words: list[str]
     hashes: np.ndarray  # sorted word hashes
-    order: np.ndarray
     weights: np.ndarray
     bias: float
 
@@ -130,8 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     rows = base.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` small rows
     words = list(dict.fromkeys([*LEXICON, *_mined(rows)]))
     hashes = hash_words(["\n".join(words)]).hashes
-    order = np.argsort(hashes)
-    hashes = hashes[order]
+    hashes = np.sort(hashes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -154,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     x_all = np.concatenate([x, silent, heard])
     y_all = np.concatenate([belief, np.zeros(len(silent)), np.ones(len(unheard))])
     w = _logistic(x_all, y_all)
-    return Model(words, hashes, order, w[:-1], float(w[-1]))
+    return Model(words, hashes, w[:-1], float(w[-1]))
 
 
 def score(docs: DataFrame, model: Model, keep: Sequence[str] = (), id_col: str = "doc_id",
