@@ -22,12 +22,37 @@ def _too_long(spark, sf):
     return counts.join(kept.groupBy("task_type").agg(F.count(F.lit(1)).alias("kept")), "task_type", "left").na.fill(0)
 
 
-@query("ffd_pack")
+def _ffd_sql(most: int = 0) -> str:
+    """First-fit decreasing as a fold over the samples of a task, longest first, equal ones by index.
+
+    The state holds the free room and size of each pack and the pack of each sample; a task that
+    is not short keeps one sample a pack.
+    """
+    short = ", ".join(f"'{t}'" for t in P.SHORT_TASKS)
+    fits = "list_position(list_transform(a.free, lambda f, i: f >= x.len" + (f" and a.n[i] < {most}" if most else "") + "), true)"
+    step = f"""case when {fits} is null then {{'len': 0::bigint, 'free': list_append(a.free, {MAX} - x.len), 'n': list_append(a.n, 1::bigint),
+          'at': list_append(a.at, len(a.free)::bigint)}}
+        else {{'len': 0::bigint, 'free': list_transform(a.free, lambda f, i: f - case when i = {fits} then x.len else 0 end),
+          'n': list_transform(a.n, lambda c, i: c + case when i = {fits} then 1 else 0 end), 'at': list_append(a.at, {fits}::bigint - 1)}} end"""
+    return sql(f"""
+    with kept as (select * from pack_items where length <= {MAX}),
+    grouped as (select task_type, list(sample_index order by length desc, sample_index) as ids,
+        list({{'len': length::bigint, 'free': []::bigint[], 'n': []::bigint[], 'at': []::bigint[]}} order by length desc, sample_index) as items
+      from kept where task_type in ({short}) group by task_type),
+    folded as (select task_type, ids, list_reduce(list_prepend({{'len': 0::bigint, 'free': []::bigint[], 'n': []::bigint[], 'at': []::bigint[]}}, items),
+        lambda a, x: {step}) as done from grouped),
+    placed as (select task_type, unnest(ids) as sample_index, unnest(done.at) as pack from folded
+        union all select task_type, sample_index, sample_index from kept where task_type not in ({short}))
+    select task_type, pack, list(sample_index order by sample_index) as sample_indices, sum(length)::bigint as total_length,
+      min(sample_index) as first_index from placed join kept using (task_type, sample_index) group by task_type, pack""")
+
+
+@query("ffd_pack", _ffd_sql())
 def _pack(spark, sf):
     return P.ffd_pack(B.pack_items(spark, sf), MAX)
 
 
-@query("ffd_pack_capped")
+@query("ffd_pack_capped", _ffd_sql(3))
 def _pack_capped(spark, sf):
     return P.ffd_pack(B.pack_items(spark, sf), MAX, max_samples=3)
 
