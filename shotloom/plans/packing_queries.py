@@ -9,6 +9,7 @@ from shotloom.operators import packing as P
 from shotloom.plans import bindings as B
 from shotloom.plans.bindings import sql
 from shotloom.plans.registry import query
+from shotloom.sources import sinks
 
 MAX = 8192
 FIXED_WIDTH = 4
@@ -114,3 +115,15 @@ def _mask(spark, sf):
     m = d.select("doc_id", F.size("ends").alias("tokens"), P.completion_mask(F.col("ends"), F.col("start")).alias("mask"))
     return m.select("doc_id", F.col("tokens").cast("bigint").alias("tokens"),
                     F.aggregate("mask", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("masked_in")).filter("tokens > 0")
+
+
+@query("publish_partitions", sql("""
+    select task_type, sample_index, case task_type when 'ordering' then length + 1 else length end as length
+    from pack_items where task_type <> 'ordering' or sample_index % 2 = 0"""))
+def _publish(spark, sf):
+    """A table published by task, then one task published again: the other partitions stay as they are."""
+    items, path = B.pack_items(spark, sf), sinks.new_path(spark, "published")
+    sinks.replace_partitions(items, path, ["task_type"])
+    again = items.filter("task_type = 'ordering' and sample_index % 2 = 0").withColumn("length", F.col("length") + 1)
+    sinks.replace_partitions(again, path, ["task_type"])
+    return spark.read.parquet(path).select("task_type", "sample_index", "length")
