@@ -8,7 +8,7 @@ import sys
 import time
 
 from shotloom.plans import QUERIES
-from shotloom.session import local_session
+from shotloom.session import local_session, remove_staged
 
 HEADLINE = (
     "retrieve_topk", "mine_hard_negatives", "sample_hard_negatives", "sample_infonce_negatives", "presample_grid",
@@ -30,6 +30,7 @@ def main() -> None:
         start = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
+        remove_staged(spark)
     total = round(sum(times.values()), 3)
     print(json.dumps({"metric": "headline_total_seconds", "value": total, "unit": "sec", "queries": times,
                       "sf": os.path.basename(sf_dir.rstrip("/"))}))

@@ -46,6 +46,9 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[context.applicationId]
 
 
+_STAGED: list[str] = []
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write an intermediate to the shared folder and read it back.
 
@@ -54,5 +57,15 @@ def stage(df: DataFrame) -> DataFrame:
     lets the planner choose the join.
     """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    _STAGED.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_staged(spark: SparkSession) -> int:
+    """Delete what ``stage`` wrote so far, once no DataFrame made from it is needed; the number of folders deleted."""
+    jvm, removed = spark.sparkContext._jvm, 0
+    while _STAGED:
+        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        removed += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return removed

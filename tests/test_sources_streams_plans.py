@@ -196,3 +196,14 @@ def test_functions_carry_the_package_to_executors(spark):
     from shotloom.operators import packing
     body = cloudpickle.dumps(packing.ffd_plan)
     assert b"sort_values" in body      # the code itself, not a reference
+
+
+def test_staged_folders_are_removed(spark):
+    import os
+
+    from shotloom import session
+    kept = session.stage(spark.range(5))
+    assert kept.count() == 5
+    path = session._STAGED[-1]
+    assert os.path.isdir(path) and session.remove_staged(spark) >= 1
+    assert not os.path.exists(path) and not session._STAGED
