@@ -74,8 +74,8 @@ def _digests(doc, item, count, n_docs) -> tuple[np.ndarray, np.ndarray]:
 def _signatures(width: int, slots: int, rows: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at in range(0, len(pdf), 512):
-                yield one(pdf.iloc[at:at + 512])
+            for at in range(0, len(pdf), 256):
+                yield one(pdf.iloc[at:at + 256])
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         texts, n = pdf["text"].tolist(), len(pdf)

@@ -13,7 +13,7 @@ from typing import NamedTuple
 
 import numpy as np
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _U = np.uint64
 _BASE, _INV = 0x9E3779B97F4A7C15 | 1, pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64)
 
@@ -106,7 +106,7 @@ def code_points(text: str) -> np.ndarray:
 def hash_words(texts: Sequence[str], kinds: bool = False) -> Words:
     """Words of ``texts``; their kinds and places only on demand."""
     lower, word, digit, upper, ends = _tables()
-    pw, ipw = _powers(BLOCK * 2 + 4096)
+    pw, ipw = _powers(BLOCK + 64)
     out, kept = [], []
     for block in blocks(texts):
         joined = "\n".join(piece for _, piece in block)
