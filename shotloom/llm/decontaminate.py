@@ -87,7 +87,8 @@ def _runner(sizes: Sequence[int], bitmap: np.ndarray | None, whole: bool, carrie
                 index = [r[0] for r in rows]
                 out = {c: part[c].iloc[index].array for c in carried}
                 yield pd.DataFrame(out | {"pos": [r[1] for r in rows], "key": [r[2] for r in rows],
-                                          "size": [r[3] for r in rows], "slots": [r[4] for r in rows]})
+                                          "size": [r[3] for r in rows],
+                                          "slots": pd.Series([r[4] for r in rows], dtype="object")})
     return run
 
 

@@ -93,8 +93,8 @@ def _signatures(width: int, slots: int, rows: int):
         return pd.DataFrame({
             "doc_id": pdf["doc_id"].array, "_d": pdf["_d"].array, "_t": pdf["_t"].array, "a": a.view(np.int64),
             "b": b.view(np.int64), "weight": weight,
-            "bands": [None if z else x.view(np.int64) for x, z in zip(band, bare)],
-            "sig": [x.astype("<u2").tobytes() for x in (spread >> _U(48))]})
+            "bands": pd.Series([None if z else x.view(np.int64) for x, z in zip(band, bare)], dtype="object"),
+            "sig": pd.Series([x.astype("<u2").tobytes() for x in (spread >> _U(48))], dtype="object")})
     return run
 
 

@@ -134,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = _features(pdf["text"].tolist(), hashes)
-            yield pd.DataFrame({"toxic": pdf["toxic"], "x": list(found)})
+            yield pd.DataFrame({"toxic": pdf["toxic"], "x": pd.Series(list(found), dtype="object")})
 
     got = rows.select("toxic", "text").mapInPandas(run, "toxic int, x array<double>").toPandas()
     if not len(got):
