@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from shotloom.llm.common import keyed
 from shotloom.llm.word_arrays import hash_words
 
-SAMPLE, MINED, FOLDS = 20_000, 64, 5
+SAMPLE, MINED, FOLDS, CHUNK = 20_000, 64, 5, 256  # CHUNK: texts whose words are in memory at once
 # Insults that begin the lexicon.
 LEXICON = ("idiot moron stupid loser scum trash pathetic worthless disgusting clown dumb jerk imbecile fool garbage vermin "
            "filth bastard dumbass crap idiote imbécile connard salaud ordure dummkopf arschloch abschaum trottel estúpido "
@@ -133,8 +133,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = _features(pdf["text"].tolist(), hashes)
-            yield pd.DataFrame({"toxic": pdf["toxic"], "x": pd.Series(list(found), dtype="object")})
+            for at in range(0, len(pdf), CHUNK):
+                part = pdf.iloc[at:at + CHUNK]
+                found = _features(part["text"].tolist(), hashes)
+                yield pd.DataFrame({"toxic": part["toxic"].array, "x": pd.Series(list(found), dtype="object")})
 
     got = rows.select("toxic", "text").mapInPandas(run, "toxic int, x array<double>").toPandas()
     if not len(got):
@@ -162,7 +164,7 @@ def score(docs: DataFrame, model: Model, keep: Sequence[str] = (), id_col: str =
 
     @F.pandas_udf("double")
     def likely(texts: pd.Series) -> pd.Series:
-        parts = [_features(texts.iloc[k:k + 1024].tolist(), hashes) @ weights + bias for k in range(0, len(texts), 1024)]
+        parts = [_features(texts.iloc[k:k + CHUNK].tolist(), hashes) @ weights + bias for k in range(0, len(texts), CHUNK)]
         odds = np.concatenate(parts) if parts else np.zeros(0)
         return pd.Series(1 / (1 + np.exp(-np.clip(odds, -40, 40))))
 
