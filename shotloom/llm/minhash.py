@@ -9,8 +9,10 @@ similarity; a process is followed only until it is later than every slot of its
 Texts with one multiset are one content, found by a 128-bit digest before anything else.  Contents
 that share a band of the signature form a bucket.  Every member is compared with the bucket's
 leader; members of a bucket that are still in different classes afterwards are compared with each
-other, in pieces of at most ``PIECE`` contents.  A bucket with more is cut by further bands, so no
-bucket is left out and none emits all its pairs.
+other, in pieces of at most ``PIECE`` contents.  A bucket with more is cut by further bands, which
+links most of it cheaply.  The members of larger buckets that then still hold several classes meet
+in an exact join: each emits the rarest fifth of its shingles, and any two that are similar enough
+share one of them, so no link of a hot bucket is left out.
 
 Defined cases: null texts are empty; all empty texts are copies of each other, other texts
 without a word are copies only of themselves; texts shorter than a shingle are one shingle; rows
@@ -31,7 +33,7 @@ from shotloom.llm.common import keyed
 from shotloom.llm.word_arrays import bags, mix
 from shotloom.session import stage
 
-WIDTH, THRESHOLD, SLOTS, ROWS, PIECE, SALTS = 5, 0.8, 128, 4, 16, 16
+WIDTH, THRESHOLD, SLOTS, ROWS, PIECE, SALTS, PLACES = 5, 0.8, 128, 4, 16, 16, 1 << 18
 KEYS = ("key", "key2", "key3")  # one band, and with the next one or two bands
 _U = np.uint64
 _STEP, _LEVEL = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -193,6 +195,79 @@ def _pieces(rows: DataFrame) -> DataFrame:
     return found.unionByName(star).unionByName(chain).distinct()
 
 
+def _crowded(rows: DataFrame) -> DataFrame:
+    """``node``, ``label`` of the members of buckets above PIECE that hold several labels."""
+    stats = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    mixed = stage(stats.filter((F.col("n") > PIECE) & (F.col("lo") < F.col("hi"))).select("band", "key"))
+    return stage(rows.join(mixed, ["band", "key"]).select("node", "label").distinct())
+
+
+def _elements(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Text index and hash of every shingle; its k-th copy is an element of its own, so sets stand for multisets."""
+    doc, item, count = bags(texts, width)
+    own = np.repeat(np.arange(len(item)), count)
+    turn = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+    return doc[own], mix(item[own] + turn.astype(_U) * _U(_LEVEL))
+
+
+def _places(width: int):
+    """How many texts of each batch have an element in each of PLACES groups of hashes."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(PLACES, np.int64)
+        for pdf in batches:
+            for at in range(0, len(pdf), 256):
+                element = _elements(pdf["text"].iloc[at:at + 256].tolist(), width)[1]
+                total += np.bincount((element % _U(PLACES)).astype(np.int64), minlength=PLACES)
+        place = np.flatnonzero(total)
+        yield pd.DataFrame({"place": place, "n": total[place]})
+    return run
+
+
+def _prefixes(width: int, threshold: float, common: np.ndarray):
+    """The rarest elements of each text, as many as it can't miss all and still be similar enough."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 256):
+                yield one(pdf.iloc[at:at + 256])
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        doc, token = _elements(pdf["text"].tolist(), width)
+        order = np.lexsort((token, common[(token % _U(PLACES)).astype(np.int64)], doc))
+        doc, token = doc[order], token[order]
+        weight = np.bincount(doc, minlength=len(pdf))
+        most = weight - np.ceil(threshold * weight - 1e-9).astype(np.int64) + 1
+        left = np.cumsum(weight)[doc] - np.arange(len(doc))  # this element and those after it
+        keep = weight[doc] - left < most[doc]
+        doc, token, left = doc[keep], token[keep], left[keep]
+        return pd.DataFrame({"node": pdf["node"].to_numpy()[doc], "label": pdf["label"].to_numpy()[doc],
+                             "weight": weight[doc], "left": left, "token": token.view(np.int64)})
+    return run
+
+
+def _across(crowd: DataFrame, threshold: float, width: int) -> DataFrame:
+    """Pairs (x, y) with different labels of ``crowd`` (node, label, text) that share a prefix element and fit in size.
+
+    The order of elements is by the count of their place, at most PLACES numbers that go to the
+    tasks: any order is exact, this one keeps elements of a hot group out of most prefixes.
+    """
+    common = np.zeros(PLACES, np.int64)
+    for row in (crowd.select("text").mapInPandas(_places(width), "place long, n long").groupBy("place")
+                .agg(F.sum("n").alias("n")).filter(F.col("n") > PIECE).toLocalIterator()):
+        common[row["place"]] = row["n"]
+    tokens = stage(crowd.select("node", "label", "text").mapInPandas(
+        _prefixes(width, threshold, common), "node long, label long, weight long, left long, token long"))
+    mixed = stage(tokens.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+                  .filter("lo < hi").select("token"))
+    rows = stage(tokens.join(mixed, "token"))
+    other = rows.select("token", F.col("node").alias("y"), F.col("label").alias("_other"), F.col("weight").alias("_weight"),
+                        F.col("left").alias("_left"))
+    # At the first element that a pair shares, what is left must still hold the overlap it needs.
+    need = threshold / (1 + threshold) * (F.col("weight") + F.col("_weight"))
+    fits = F.least("left", "_left") >= need - 1e-6
+    return rows.join(other, "token").filter((F.col("node") < F.col("y")) & (F.col("label") != F.col("_other")) & fits).select(
+        F.col("node").alias("x"), "y").distinct()
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, slots: int = SLOTS,
                     rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id``, ``class_id`` (smallest id of its class), ``keeper`` and its keys.
@@ -242,19 +317,25 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
     best = stage(stars.groupBy("x").agg(F.max_by("y", F.struct("est", "y")).alias("y")))
     labels = roots(verified(best))
 
-    def labelled(pairs: DataFrame, column: str, name: str) -> DataFrame:
+    def labelled(pairs: DataFrame, column: str, name: str, labels: DataFrame) -> DataFrame:
         tags = labels.select(F.col("node").alias(column), F.col("label").alias(name))
         return pairs.join(tags, column, "left").withColumn(name, F.coalesce(name, column))
 
-    inside = _pieces(labelled(buckets.drop("leader"), "node", "label"))
+    def merge(labels: DataFrame, linked: DataFrame) -> DataFrame:
+        merged = components(labelled(labelled(linked, "x", "lx", labels), "y", "ly", labels).select(
+            F.col("lx").alias("x"), F.col("ly").alias("y")).filter("x <> y"))
+        final = labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
+        return final.select("node", F.coalesce("to", "label").alias("label")).union(
+            merged.join(labels, "node", "left_anti").select("node", "label"))
+
+    inside = _pieces(labelled(buckets.drop("leader"), "node", "label", labels))
     rest = stars.select("x", "y").join(best.select("x", "y"), ["x", "y"], "left_anti")
-    across = labelled(labelled(rest, "x", "lx"), "y", "ly").filter("lx <> ly").select("x", "y")
+    across = labelled(labelled(rest, "x", "lx", labels), "y", "ly", labels).filter("lx <> ly").select("x", "y")
     linked = verified(stage(across.union(likely(inside).select("x", "y")).distinct()))
-    merged = components(labelled(labelled(linked, "x", "lx"), "y", "ly").select(
-        F.col("lx").alias("x"), F.col("ly").alias("y")).filter("x <> y"))
-    final = labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
-    final = final.select("node", F.coalesce("to", "label").alias("label")).union(
-        merged.join(labels, "node", "left_anti").select("node", "label"))
+    near = stage(merge(labels, linked))
+    crowd = _crowded(labelled(buckets.select("band", "key", "node"), "node", "label", near))
+    texts = known.withColumnRenamed("a", "node").join(crowd, "node")
+    final = merge(near, verified(stage(likely(_across(texts, threshold, width)).select("x", "y"))))
     # Only contents with copies or links need a look-up; the rest are classes of their own.
     tagged = contents.select("a", "id", "rep", "copies").join(
         final.withColumnRenamed("node", "a"), "a", "left").filter("copies > 1 or label is not null")

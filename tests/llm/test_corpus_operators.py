@@ -76,6 +76,21 @@ def test_hot_group_of_near_copies_is_one_class(spark):
     assert got == {0}
 
 
+def test_hot_group_keeps_links_to_members_that_lead_no_bucket(spark):
+    rng = np.random.default_rng(4)
+    base, rows = [f"t{i}" for i in range(200)], []
+    for k in range(150):
+        member = list(base)
+        member[int(rng.integers(4, 196))] = f"own{k}"
+        rows.append((k, " ".join(member), ""))
+        if k < 100:  # four more words: 0.81 to this member, 0.77 and less to all others
+            for j in rng.permutation(np.arange(10, 190, 12))[:4]:
+                member[int(j)] = f"more{k}_{j}"
+            rows.append((1000 + k, " ".join(member), ""))
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(awkward(spark, rows)).collect()}
+    assert got == classes({i: t for i, t, _ in rows})
+
+
 def test_pieces_link_all_labels_of_a_bucket(spark):
     rows = [(0, 1, i % 3, 5, i, i) for i in range(60)] + [(1, 2, 2, 2, i, 7) for i in range(50)] + [(2, 3, 3, 3, i, i) for i in range(5)]
     frame = spark.createDataFrame(rows, "band int, key long, key2 long, key3 long, node long, label long")
