@@ -140,6 +140,19 @@ def test_pii_base_and_hidden_spans(spark):
     assert text[1000] == "Des <phone> <ip> ie"
 
 
+def test_pii_finds_national_phones_and_written_at_signs(spark):
+    rows, want = [], {}
+    for i in range(120):
+        own = [("email", f"john{i} [at] mail{i % 9}.com"), ("phone", f"555-{100 + i}-{4000 + 7 * i}"),
+               ("phone", f"(030) {1234567 + i}"), ("phone", f"+1 ({200 + i}) 555-{1000 + 7 * i}")]
+        (_, at), (_, dashes), (_, area), (_, plus) = own
+        rows.append((i, f"write to {at} or {dashes} and in Berlin {area} or {plus} on {1000000 + 37 * i} of {i} by user{i}@a.org", ""))
+        want[i] = sorted([*own, ("email", f"user{i}@a.org")])
+    docs = awkward(spark, rows)
+    got = {r.doc_id: sorted((s.kind, r.text[s.start:s.stop]) for s in r.spans) for r in pii.scan(docs, pii.train(docs)).collect()}
+    assert got == want
+
+
 def test_pii_empty(spark):
     assert pii.scan(empty(spark), pii.train(empty(spark))).count() == 0
 
