@@ -153,6 +153,15 @@ def test_pii_finds_national_phones_and_written_at_signs(spark):
     assert got == want
 
 
+def test_pii_takes_numbers_of_many_groups_whole(spark):
+    for text, kind in (("01 23 45 67 89", "phone"), ("+33 1 23 45 67 89", "phone"), ("1234 5678 9012 3456 789", "card")):
+        assert (kind, 4, 4 + len(text)) in pii.candidates(f"see {text} now")
+    rows = [(i, f"appelez 01 {10 + i % 80} 45 {10 + i % 70} 89 ou bien {1000000 + 37 * i}", "") for i in range(120)]
+    docs = awkward(spark, rows)
+    text = {r.doc_id: r.text for r in pii.redact(pii.scan(docs, pii.train(docs))).collect()}
+    assert text == {i: f"appelez <phone> ou bien {1000000 + 37 * i}" for i in range(120)}
+
+
 def test_pii_empty(spark):
     assert pii.scan(empty(spark), pii.train(empty(spark))).count() == 0
 
