@@ -55,6 +55,35 @@ SENTENCES = {
           "the following conditions are met",
     "r1": "all rights reserved",
 }
+# Pieces of the unchanged public notices, as the splitter cuts them: at ``: `` and ``; ``, not after an address.
+_SHARE, _BY = "you can redistribute it and or modify it under the terms of the gnu ", "as published by the free software foundation"
+_LATER = " of the license or at your option any later version"
+SENTENCES |= {
+    "a7": f"{SENTENCES['a4']} {SENTENCES['a5']}",
+    "a8": f"{SENTENCES['a4']} {SENTENCES['a5']}".replace("http www", "https www"),
+    "h1": f"{_SHARE}general public license {_BY}", "h2": f"{_SHARE}lesser general public license {_BY}",
+    "h3": f"{_SHARE}affero general public license {_BY}",
+    "i1": f"either version 2{_LATER}", "i2": f"either version 2 1{_LATER}", "i3": f"either version 3{_LATER}",
+    "j1": f"{_SHARE}general public license {_BY} either version 2{_LATER}",
+    "j2": f"{_SHARE}general public license {_BY} either version 3{_LATER}",
+    "j3": f"{_SHARE}lesser general public license {_BY} either version 2 1{_LATER}",
+    "j4": f"{_SHARE}lesser general public license {_BY} either version 3{_LATER}",
+    "j5": f"{_SHARE}affero general public license {_BY} either version 3{_LATER}",
+    "k1": "this program is distributed in the hope that it will be useful but without any warranty",
+    "k2": "this library is distributed in the hope that it will be useful but without any warranty",
+    "k3": "without even the implied warranty of merchantability or fitness for a particular purpose",
+    "k4": "see the gnu lesser general public license for more details",
+    "k5": "see the gnu affero general public license for more details",
+    "b2": "redistributions of source code must retain the above copyright notice this list of conditions and the following "
+          "disclaimer",
+    "b3": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the "
+          "following disclaimer in the documentation and or other materials provided with the distribution",
+    "b4": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+          "products derived from this software without specific prior written permission",
+    "s1": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby "
+          "granted provided that the above copyright notice and this permission notice appear in all copies",
+    "p1": "this source code form is subject to the terms of the mozilla public license v",
+}
 # Rule, and the sentences that it needs one after the other; the first rule that fits wins.
 RULES = (
     ("apache-2.0-notice", "a2,a3,a4,a5,a6"), ("mit-text", "m3,m4,m5"), ("gpl-3.0-or-later-notice", "g2,g4,g5"),
@@ -62,6 +91,15 @@ RULES = (
     ("mit", "m3"), ("gpl-3.0", "g1"), ("gpl-3.0-or-later", "g2"), ("gpl-2.0-or-later", "g3"), ("cc-by-nc-4.0", "c1"),
     ("cc-by-4.0", "c2"), ("cc-by-sa-4.0", "c3"), ("cc-by-4.0", "c4"), ("bsd", "b1"), ("all-rights-reserved", "r1"),
 )
+_GNU = (("gpl-3.0-or-later", ("j2", "h1,i3"), "k1", "g5"), ("gpl-2.0-or-later", ("j1", "h1,i1"), "k1", "g5"),
+        ("lgpl-2.1-or-later", ("j3", "h2,i2"), "k2", "k4"), ("lgpl-3.0-or-later", ("j4", "h2,i3"), "k2", "k4"),
+        ("agpl-3.0-or-later", ("j5", "h3,i3"), "k1", "k5"))
+RULES = (
+    ("apache-2.0-notice", "a2,a3,a7,a6"), ("apache-2.0-notice", "a2,a3,a8,a6"),
+    *[(f"{rule}-notice", f"{grant},{hope},k3,{see}") for rule, grants, hope, see in _GNU for grant in grants],
+    ("bsd-3-clause", "b1,b2,b3,b4"), ("bsd-2-clause", "b1,b2,b3"), *RULES,
+    *[(rule, grant) for rule, grants, _, _ in _GNU for grant in grants], ("isc", "s1"), ("mpl-2.0", "p1"),
+)
 STOPS = r"[.!?;:]+[\x20\t]+"
 LINES = r"\n+|" + STOPS
 ORDER = "(?:" + "|".join(dict.fromkeys(needs for _, needs in RULES)) + ")"

@@ -193,3 +193,45 @@ def test_licences(spark):
     assert licenses.scan(empty(spark)).count() == 0
 
 
+
+
+def test_licence_notices_as_published_match_their_rules(spark):
+    warranty = ("but WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR "
+                "PURPOSE.  See the\nGNU {0}General Public License for more details.\n\nYou should have received a copy.")
+    gnu = ("Copyright (C) 2020  A. Author\n\nThis {1} is free software{2} you can redistribute it and/or modify\nit under the terms of "
+           "the GNU {0}General Public License as published by\nthe Free Software Foundation{3} either version {4} of the License, or\n"
+           "(at your option) any later version.\n\nThis {1} is distributed in the hope that it will be useful,\n" + warranty)
+    bsd = ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the "
+           "following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list "
+           "of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright "
+           "notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials "
+           "provided with the distribution.\n\n")
+    apache = ("   Licensed under the Apache License, Version 2.0 (the \"License\");\n   you may not use this file except in compliance "
+              "with the License.\n   You may obtain a copy of the License at\n\n       http://www.apache.org/licenses/LICENSE-2.0\n\n"
+              "   Unless required by applicable law or agreed to in writing, software\n   distributed under the License is distributed "
+              "on an \"AS IS\" BASIS,\n   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\n   See the License "
+              "for the specific language governing permissions and\n   limitations under the License.\n")
+    texts = {
+        "gpl-3.0-or-later-notice": gnu.format("", "program", ":", ",", "3"),
+        "gpl-2.0-or-later-notice": gnu.format("", "program", ";", ";", "2"),
+        "lgpl-2.1-or-later-notice": gnu.format("Lesser ", "library", ";", ";", "2.1"),
+        "agpl-3.0-or-later-notice": gnu.format("Affero ", "program", ":", ",", "3"),
+        "apache-2.0-notice": apache, "bsd-2-clause": bsd,
+        "bsd-3-clause": bsd + "3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse "
+                              "or promote products derived from\n   this software without specific prior written permission.\n",
+        "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, "
+               "provided that the above\ncopyright notice and this permission notice appear in all copies.\n",
+        "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not "
+                   "distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.\n",
+    }
+    names = list(texts)
+    docs = awkward(spark, [(i, texts[name], "") for i, name in enumerate(names)])
+    got = {names[r.doc_id]: r.rules[0] for r in licenses.scan(docs).collect()}
+    assert got == {name: name for name in names}
+    assert licenses.LEAST == len("all rights reserved")
+    assert len({needs for _, needs in licenses.RULES}) == len(licenses.RULES)
+
+
+@pytest.mark.parametrize("needs", sorted({needs for _, needs in licenses.RULES}))
+def test_licence_sentences_of_a_rule_are_known(needs):
+    assert all(key in licenses.SENTENCES for key in needs.split(","))
