@@ -23,6 +23,7 @@ class Words(NamedTuple):
     doc: np.ndarray  # index of its text
     number: np.ndarray  # holds a digit
     name: np.ndarray  # capital first letter, rest lower case, not at the start of a sentence
+    opener: np.ndarray  # the same at the start of a sentence, line, text or block
     place: np.ndarray  # block, start and stop of each word
     blocks: list  # text of the blocks
 
@@ -125,7 +126,7 @@ def hash_words(texts: Sequence[str], kinds: bool = False) -> Words:
         lengths = np.array([len(piece) + 1 for _, piece in block])
         first = np.cumsum(lengths) - lengths
         doc = np.array([i for i, _ in block])[np.searchsorted(first, start, "right") - 1]
-        number = name = np.zeros(0, bool)
+        number = name = opener = np.zeros(0, bool)
         place = np.zeros((3, 0), np.int64)
         if kinds:
             count = lambda mask: np.concatenate(([0], np.cumsum(mask[plane])))
@@ -133,13 +134,14 @@ def hash_words(texts: Sequence[str], kinds: bool = False) -> Words:
             number = digits[stop] > digits[start]
             before = np.concatenate(([0], stop[:-1]))
             opens = (stops[start] > stops[before]) | np.concatenate(([True], doc[1:] != doc[:-1]))[:len(doc)]
-            name = ~opens & upper[plane[start]] & (capitals[stop] - capitals[start] == 1) & (stop - start > 1) & ~number
+            proper = upper[plane[start]] & (capitals[stop] - capitals[start] == 1) & (stop - start > 1) & ~number
+            name, opener = proper & ~opens, proper & opens
             place = np.stack([np.full(len(start), len(kept)), start, stop])
             kept.append(joined)
-        out.append((hashes, doc, number, name, place))
+        out.append((hashes, doc, number, name, opener, place))
     if not out:
         none = np.zeros(0, bool)
-        return Words(np.zeros(0, _U), np.zeros(0, np.int64), none, none, np.zeros((3, 0), np.int64), [])
+        return Words(np.zeros(0, _U), np.zeros(0, np.int64), none, none, none, np.zeros((3, 0), np.int64), [])
     return Words(*[np.concatenate(x, axis=-1) for x in zip(*out)], kept)
 
 

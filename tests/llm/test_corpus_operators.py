@@ -282,6 +282,25 @@ def test_decontamination_by_templates_and_slots(spark):
     assert decontaminate.contaminated(awkward(spark, rows), bench.filter("false")).count() == 0
 
 
+def test_decontamination_of_names_that_open_sentences(spark):
+    bench = spark.createDataFrame([(1, "Tom has 5 apples. Anna has 3 pears. Bob has 7 plums. How many fruits are there?"),
+                                   (2, "Maria sells red paper boats")], "item_id long, text string")
+    rows = [(1, "Max has 8 apples. Lena has 2 pears. Jon has 4 plums. How many fruits are there?", ""),
+            (2, "Max has 8 apples. Max has 2 pears. Max has 4 plums. Who many fruits are there?", ""),
+            (3, "we saw that Maria sells red paper boats here", ""), (4, "WE SAW MARIA SELLS RED PAPER BOATS", "")]
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(awkward(spark, rows), bench).collect()}
+    assert {(1, 1), (3, 2), (4, 2)} <= set(got) and not got[1, 1].verbatim and got[3, 2].verbatim
+
+
+def test_decontamination_finds_items_without_ordinary_words_verbatim(spark):
+    items = ["Compute 12 + 35 * 4", "12 13 14 15 16 17 18", "3 4\n5 6\n7 8", "Anna, Bert, Carla, Dora, Emil, Franz"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = [(i, f"some words 11 {t} 19 and more", "") for i, t in enumerate(items)]
+    rows += [(10, "Compute 13 + 35 * 4", ""), (11, "22 23 24 25 26 27 28", "")]
+    found = decontaminate.contaminated(awkward(spark, rows), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(i, i) for i in range(4)} and all(r.verbatim for r in found)
+
+
 def test_verbatim_decontamination_equals_plain(spark):
     docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
     grams = defaultdict(set)
