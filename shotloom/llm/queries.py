@@ -10,7 +10,10 @@ from shotloom.llm.decontaminate import contaminated
 from shotloom.llm.fingerprint import compare_edited
 from shotloom.llm.line_dedup import dedup_lines
 from shotloom.llm import licenses, pii, secret_scan
+from shotloom.llm.graph_search import build_index, search_index
+from shotloom.llm.hard_negatives import mine_hard_negatives
 from shotloom.llm.minhash import near_duplicates
+from shotloom.llm.periodic_runs import periodic_runs
 from shotloom.llm.registry import ORACLES, QUERIES, query
 from shotloom.llm.token_packing import pack_documents
 from shotloom.llm.toxicity import held_out, score, train
@@ -159,3 +162,61 @@ def op6_pii(spark, sf_dir):
 def _count_base(kind):
     own = F.filter("spans", lambda s: (s["kind"] == kind) & (s["score"] == 1.0))
     return F.size(own).cast("bigint").alias(f"n_{kind}")
+
+
+OP11_SQL = """
+with r as (
+  select vec_id id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end label, embedding v from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+one as (select id, min({'l': label, 'v': v}) m from r group by id),
+q as (select id, m.l label, list_transform(m.v, lambda x: floor(256 * x::double)) v from one),
+s as (select a.id anchor, o.id other, a.label = o.label alike, list_inner_product(a.v, o.v)::bigint score
+      from q a, q o where a.id % 100 = 0 and a.id <> o.id),
+p as (select anchor, other positive, score ps from s where alike
+      qualify row_number() over (partition by anchor order by score desc, other) <= 5)
+select anchor anchor_id, positive positive_id, row_number() over w "rank", other negative_id, ps positive_score, score negative_score
+from p join s using (anchor) where not alike and 80 * ps <= 100 * score and score <= ps
+window w as (partition by anchor, positive order by score desc, other)
+qualify row_number() over w <= 5"""
+
+
+@query("op11_hard_negatives", OP11_SQL)
+def op11_hard_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label)
+
+
+def _repeated(docs):
+    """Texts of one document in ten with a periodic tail, as the contract of op12 edits them."""
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    n, g = F.size("words"), F.floor(F.col("h") / 10)
+    a = g % F.nullif(n, F.lit(0))
+    p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
+    tail = F.transform(F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1), lambda i: F.get(
+        F.col("words"), F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
+    edits = F.col("h") % 10 == 0
+    marked = docs.withColumn("h", h).withColumn("words", F.when(edits, words))
+    placed = marked.withColumns({"a": a, "p": p})
+    return placed.select("doc_id", F.when(edits & (n > 0), F.array_join(tail, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark, sf_dir):
+    found = periodic_runs(_repeated(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    # Least of (-length, start, period): greatest length, then smallest start, then period.
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("n"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    rows = found.withColumn("best", best)
+    length, period = -F.col("best.n"), F.col("best.period")
+    return rows.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), F.col("best.start").alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(length * 1000 / period).cast("bigint").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op13_graph_search")
+def op13_graph_search(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return search_index(build_index(rows, copies=21), rows.filter(F.col("vec_id") % 20 == 0), k=20)
