@@ -248,14 +248,25 @@ DUCK: dict[str, str] = {
           {MODEL_OUTPUT} as model_output
         from (select d.*, p.plot_summary, {_clean_duck()} as clean from (select *, {TOLD} as told from documents) d
               left join plots p on p.episode = d.doc_id % 1200)""",
+    "stripped": r"""
+        select *, json_valid(t) and starts_with(t, '[') as whole, substr(t, greatest(instr(t, '['), 1)) as body
+        from (select *, trim(replace(regexp_replace(model_output, '(?s)<think>.*?</think>', '', 'g'), '<END>', '')) as t
+              from model_outputs)""",
+    # Where the last object ends that is complete in the first array: depth and place run over strings and brackets.
+    "cuts": r"""
+        select sample_index, max(stop) filter (mark = '}' and depth = 1 and stop < closed) as cut from (
+          select *, min(stop) filter (depth = 0 and mark = ']') over (partition by sample_index) as closing,
+            coalesce(closing, 9e18) as closed from (
+            select sample_index, mark, sum(length(mark)) over w as stop,
+              sum(case when mark in ('[', '{') then 1 when mark in (']', '}') then -1 else 0 end) over w as depth
+            from (select sample_index, unnest(marks) as mark, generate_subscripts(marks, 1) as k from (select sample_index,
+              regexp_extract_all(body, '"(?:[^"\\]|\\.)*"?|[\[\]{}]|[^"\[\]{}]+', 0, 's') as marks from stripped where not whole))
+            window w as (partition by sample_index order by k))) group by sample_index""",
     "salvaged": r"""
         select sample_index, source, lang, user_text, arr, not whole and arr is not null
             and substr(ltrim(substr(body, length(arr))), 1, 1) <> ']' as repaired
-        from (select *, case when whole then t else list_filter(list_transform(list_filter(range(1, length(body) + 1),
-              lambda i: body[i] = '}'), lambda i: substr(body, 1, i) || ']'), lambda x: json_valid(x))[-1] end as arr
-          from (select *, json_valid(t) and starts_with(t, '[') as whole, substr(t, greatest(instr(t, '['), 1)) as body
-            from (select *, trim(replace(regexp_replace(model_output, '(?s)<think>.*?</think>', '', 'g'), '<END>', '')) as t
-                  from model_outputs)))""",
+        from (select *, case when whole then t when cut is not null then substr(body, 1, cut::bigint) || ']' end as arr
+              from stripped left join cuts using (sample_index))""",
     "items": """
         select sample_index, source, lang, repaired, pos, l[pos + 1] as s from (
           select *, unnest(range(len(l))) as pos from (
