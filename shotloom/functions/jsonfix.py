@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shotloom.functions.fixed_text import SHOT_FIELDS, SUBJECT_FIELDS
-from shotloom.functions.text import END_TOKEN, let, strip_think, trim_all, unwrap_model_output
+from shotloom.functions.text import END_TOKEN, let, strip_think, trim_all, trim_ends, unwrap_model_output
 
 RAW_SHOT = "struct<" + ",".join(f"{f}:string" for f in SHOT_FIELDS) + ",description_visual:string,description:string>"
 RAW_SUBJECT = "struct<" + ",".join(f"{f}:string" for f in SUBJECT_FIELDS) + ">"
@@ -26,32 +26,64 @@ _TOKENS = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{},]', re.S)
 _BRACKETS = re.compile(r'\\*"|[\[\]{}]')
 
 
-def json_strict(c: Column) -> Column:
-    """True for text that is exactly one JSON value.
+STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+
+def _sealed(c: Column, kind: str, opening: str, closing: str) -> tuple[Column, Column]:
+    """The values of a list that holds ``c`` and a hash of ``c``, and that hash.
 
-    Spark's parsers ignore what follows a value; inside brackets and inside an object
-    such a rest is an error.
+    Spark's parser ignores what follows a value.  So a text is parsed once, in a list that its own hash
+    ends: only one whole value can stand before that.
     """
-    in_list = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))).isNotNull()
-    in_object = F.try_parse_json(F.concat(F.lit("{\"v\":"), c, F.lit("}"))).isNotNull()
-    return F.coalesce((trim_all(c) != "") & in_list & in_object, F.lit(False))
+    seal = F.hex(F.xxhash64(c))
+    whole = F.concat(F.lit("["), c, F.lit(f',{opening}"'), seal, F.lit(f'"{closing}]'))
+    return F.from_json(whole, kind, STRICT), seal
+
+
+def json_strict(c: Column) -> Column:
+    """True for text that is exactly one JSON value.  No lambda: the argument of a Python function may hold it."""
+    values, seal = _sealed(c, "array<string>", "", "")
+    return F.coalesce((F.size(values) == 2) & (F.get(values, F.lit(1)) == seal), F.lit(False))
+
+
+def json_elements(c: Column) -> Column:
+    """Raw texts of the elements of a text that is exactly one JSON array, else null."""
+    def read(t: Column) -> Column:
+        values, seal = _sealed(t, "array<array<string>>", "[", "]")
+        return let(values, lambda v: F.when((F.size(v) == 2) & (F.get(F.get(v, F.lit(1)), F.lit(0)) == seal), v[0]))
+
+    return let(c, read)
+
+
+def json_fields(c: Column) -> Column:
+    """MAP of the fields of an object text in their order: texts as they are, other values as JSON text; else null."""
+    return F.from_json(c, "map<string,string>")
+
+
+def is_text(c: Column, field: Column) -> Column:
+    """Is the field of an object text a JSON string; for the few values whose text looks like another kind."""
+    value = F.try_element_at(F.try_parse_json(c).try_cast("map<string,variant>"), field)
+    return F.coalesce(F.schema_of_variant(value) == "STRING", F.lit(False))
 
 
 def json_extract_array(c: Column) -> Column:
     """Text of the JSON array in a model output: the whole text, or its first ``[`` to its last ``]``; else null."""
-    def is_array(x: Column) -> Column:
-        return x.startswith("[") & json_strict(x)
+    def array(x: Column) -> Column:
+        return F.when(x.startswith("[") & json_strict(x), x)
 
     def found(whole: Column) -> Column:
-        inner = let(F.regexp_extract(whole, r"(?s)\[.*\]", 0), lambda x: F.when(is_array(x), x))
-        return F.when(is_array(whole), whole).otherwise(inner)
+        return F.coalesce(array(whole), let(F.regexp_extract(whole, r"(?s)\[.*\]", 0), array))
 
     return let(unwrap_model_output(c), found)
 
 
+def objects_in(values: Column) -> Column:
+    return F.filter(values, lambda x: F.ltrim(x).startswith("{"))
+
+
 def array_items(c: Column) -> Column:
     """Raw text of the objects in a JSON array text."""
-    return F.filter(F.from_json(c, "array<string>"), lambda x: F.ltrim(x).startswith("{"))
+    return objects_in(F.from_json(c, "array<string>"))
 
 
 def _is_json(text: str) -> bool:
@@ -109,9 +141,9 @@ def _salvage(texts: pd.Series) -> pd.DataFrame:
 
 def _clean_items(c: Column) -> Column:
     """STRUCT<items, rest>: the objects of a text that parses whole, or the text that does not."""
-    text = trim_all(F.replace(strip_think(c), F.lit(END_TOKEN), F.lit("")))
-    return let(text, lambda t: let(t.startswith("[") & json_strict(t), lambda ok: F.struct(
-        F.when(ok, array_items(t)).alias("items"), F.when(~ok, t).alias("rest"))))
+    text = trim_ends(F.replace(F.when(c.contains("<think>"), strip_think(c)).otherwise(c), F.lit(END_TOKEN), F.lit("")))
+    return let(text, lambda t: let(F.when(t.startswith("["), json_elements(t)), lambda items: F.struct(
+        objects_in(items).alias("items"), F.when(items.isNull(), t).alias("rest"))))
 
 
 _salvage = _salvage.asNondeterministic()
@@ -172,62 +204,87 @@ def json_recover_last(c: Column, openings: str = "[{") -> Column:
     return F.when(whole, bare).otherwise(recover.asNondeterministic()(F.when(~whole, c)))
 
 
-def parse_subjects(raw: Column, wrap_object: bool) -> Column:
-    """Raw JSON of ``subjects`` → ARRAY<STRUCT of six strings>; what is no object in it is left out."""
-    objects = F.filter(F.from_json(raw, "array<string>"), lambda x: F.ltrim(x).startswith("{"))
-    single = F.array(raw) if wrap_object else F.array().cast("array<string>")
-    texts = (F.when(F.ltrim(raw).startswith("{"), single).when(F.ltrim(raw).startswith("["), objects)
-             .otherwise(F.array().cast("array<string>")))
-    return F.transform(texts, lambda x: F.from_json(x, RAW_SUBJECT))
+def subject_texts(raw: Column, wrap_object: bool) -> Column:
+    """Object texts in the raw JSON of ``subjects``; what is no object in it is left out."""
+    none = F.array().cast("array<string>")
+    return (F.when(raw.startswith("["), F.coalesce(array_items(raw), none))
+            .when(raw.startswith("{"), F.array(raw) if wrap_object else none).otherwise(none))
 
 
 def normalize_shot(item: Column, wrap_object: bool = False) -> Column:
     """Raw object text → STRUCT with the eleven fields; a duration that is no number is null."""
     def fields(raw: Column) -> Column:
         value = {f: raw[f] for f in SHOT_FIELDS}
-        value["subjects"] = parse_subjects(raw["subjects"], wrap_object)
+        value["subjects"] = F.transform(subject_texts(raw["subjects"], wrap_object), lambda x: F.from_json(x, RAW_SUBJECT))
         value["duration"] = raw["duration"].try_cast("double")
         return F.struct(*[v.alias(f) for f, v in value.items()], raw["description_visual"].alias("description_visual"))
 
     return let(F.from_json(item, RAW_SHOT), fields)
 
 
-def safe_text(raw: Column, levels: int = 4) -> Column:
-    """Text of a leaf: strings trimmed, numbers as text, objects and arrays as their texts joined by ``，``.
+# Inside a JSON text no control character can stand as it is, so two of them can hold the place of escapes.
+_ESCAPES = (("\\\\", "\x01"), ("\\\"", "\x02"))
+_TOKEN = r'"[^"]*"(?:\s*:)?|[^\s\[\]{},:"]+'
+
+
+def nested_text(raw: Column) -> Column:
+    """Leaf texts of an object or array text of any depth in their order, joined by ``，``; blank ones are left out.
 
-    The expression is as long as ``levels``; what is nested deeper stays JSON text.
+    Joining level by level gives the same text as joining all leaves, so the levels need not be
+    followed: the values are what stands between brackets, commas and colons.
     """
-    def text(t: Column) -> Column:
-        plain = F.coalesce(t, F.lit(""))
-        if levels == 0:
-            return plain
-        values = (F.when(t.startswith("{"), F.map_values(F.from_json(t, "map<string,string>")))
-                  .when(t.startswith("["), F.from_json(t, "array<string>")))
-        inner = F.filter(F.transform(values, lambda v: safe_text(v, levels - 1)), lambda v: v != "")
-        return F.coalesce(F.array_join(inner, "，"), plain)
+    masked = raw
+    for text, mark in _ESCAPES:
+        masked = F.replace(masked, F.lit(text), F.lit(mark))
+    values = F.filter(F.regexp_extract_all(masked, F.lit(_TOKEN), F.lit(0)), lambda x: ~x.endswith(":"))
+    named = F.transform(values, lambda x: F.when(x == "true", '"True"').when(x == "false", '"False"').otherwise(x))
+    listed = F.concat(F.lit("["), F.array_join(named, ","), F.lit("]"))
+    for text, mark in reversed(_ESCAPES):
+        listed = F.replace(listed, F.lit(mark), F.lit(text))
+    leaves = F.transform(F.from_json(listed, "array<string>"), lambda x: trim_all(x))
+    return F.array_join(F.filter(leaves, lambda x: x != ""), "，")
+
+
+def safe_text(raw: Column, text: Column | None = None) -> Column:
+    """Text of a leaf: strings trimmed, numbers and booleans as text, objects and arrays as their leaves joined by ``，``.
+
+    ``text`` says whether a value that looks like an object, array or boolean is a string all the same; it
+    is only looked at then.  Without it such a value counts as what it looks like, if it parses.
+    """
+    def of(t: Column) -> Column:
+        odd = t.startswith("{") | t.startswith("[") | t.isin("true", "false")
+        string = F.lit(False) if text is None else text
+        plain = F.when(string, trim_ends(t)).when(t.isin("true", "false"), F.initcap(t))
+        nested = F.when(json_strict(t), nested_text(t)).otherwise(trim_ends(t)) if text is None else nested_text(t)
+        return F.when(t.isNull(), "").when(odd, F.coalesce(plain, nested)).otherwise(trim_ends(t))
 
-    return let(trim_all(raw), text)
+    return let(raw if text is not None else trim_ends(raw), of)
 
 
-def safe_texts(raw: Column, fields: Sequence[str], *more: Column) -> Column:
-    """STRUCT of ``fields`` of a raw struct as safe texts, and ``more`` columns.
+def safe_fields(item: Column, raw: Column, fields: Sequence[str], *more: Column) -> Column:
+    """STRUCT of ``fields`` of an object text and its ``json_fields`` as safe texts, and ``more`` columns.
 
     The fields go through one expression as an array: a copy of it per field would cost the
     optimizer more time than the data.
     """
-    texts = F.transform(F.array(*[raw[f] for f in fields]), lambda x: safe_text(x))
+    names = F.array(*[F.lit(f) for f in fields])
+    texts = F.transform(names, lambda f: safe_text(F.try_element_at(raw, f), is_text(item, f)))
     return let(texts, lambda t: F.struct(*[t[i].alias(f) for i, f in enumerate(fields)], *more))
 
 
-def safe_shot(item: Column) -> Column:
-    """Raw object text → STRUCT whose texts went through ``safe_text``; a lone subject object counts as one subject."""
-    plain = [f for f in SHOT_FIELDS if f != "subjects"]
+def safe_shot(item: Column, raw: Column | None = None, fields: Sequence[str] = SHOT_FIELDS) -> Column:
+    """Raw object text → STRUCT whose texts went through ``safe_text``; a lone subject object counts as one subject.
 
-    def fields(raw: Column) -> Column:
-        subjects = F.transform(parse_subjects(raw["subjects"], True), lambda s: safe_texts(s, SUBJECT_FIELDS))
-        return safe_texts(raw, plain, subjects.alias("subjects"))
+    ``raw`` are its ``json_fields`` where the caller has them; ``fields`` limits what is made.
+    """
+    plain = [f for f in fields if f != "subjects"]
 
-    return let(F.from_json(item, RAW_SHOT), fields)
+    def of(raw: Column) -> Column:
+        subjects = F.transform(subject_texts(raw["subjects"], True), lambda s: let(
+            json_fields(s), lambda m: safe_fields(s, m, SUBJECT_FIELDS)))
+        return safe_fields(item, raw, plain, *([subjects.alias("subjects")] if "subjects" in fields else []))
+
+    return of(raw) if raw is not None else let(json_fields(item), of)
 
 
 def first_result_url(raw: Column) -> Column:

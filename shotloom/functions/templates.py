@@ -72,6 +72,9 @@ def embedding_text(s: Column) -> Column:
     return F.array_join(F.array_compact(parts), "；")
 
 
+QUERY_FIELDS = ("shot_scale", "camera_angle", "camera_motion", "subjects", "background")
+
+
 @per_shot
 def visual_query(s: Column) -> Column:
     """Motion only where given; background and subjects end with a full stop; no shot reads as an empty scene."""

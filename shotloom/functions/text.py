@@ -17,6 +17,11 @@ def trim_all(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def trim_ends(c: Column) -> Column:
+    """``trim_all`` for long texts: the pattern only runs over a text that begins or ends with white space."""
+    return let(c, lambda t: F.when(F.concat(F.substring(t, 1, 1), F.substring(t, -1, 1)).rlike(r"(?U)\s"), trim_all(t)).otherwise(t))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once per row."""
     return F.transform(F.array(value), body)[0]

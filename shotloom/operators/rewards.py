@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shotloom.functions import fixed_text as T
-from shotloom.functions.jsonfix import (RAW_SHOT, RAW_SUBJECT, array_items, json_extract_array, safe_shot,
+from shotloom.functions.jsonfix import (array_items, is_text, json_extract_array, json_fields, safe_shot, subject_texts,
                                         with_repaired_items)
-from shotloom.functions.templates import visual_query
-from shotloom.functions.text import let, trim_all
+from shotloom.functions.templates import QUERY_FIELDS, visual_query
+from shotloom.functions.text import let
 from shotloom.operators.enrich import enrich_memoised
 from shotloom.operators.ordered import attach_stats, global_rank, hash_order, rank_in_group
 from shotloom.operators.pairs import SIM_SCALE, block_topk
@@ -20,37 +20,43 @@ from shotloom.session import stage
 
 # ---------------------------------------------------------------- format
 
-def _valid(raw: Column, value: Column, field: str) -> Column:
-    """A value that is neither null nor an empty text, list or object; ``value`` tells the text ``[]`` from a list."""
-    is_text = F.coalesce(F.schema_of_variant(F.variant_get(value, f"$.{field}", "variant")) == "STRING", F.lit(False))
-    blank = trim_all(raw).isin("") | (~is_text & trim_all(raw).isin("[]", "{}"))
-    return F.coalesce(~blank, F.lit(False)).cast("int")
+def _filled(item: Column, raw: Column, fields: Sequence[str]) -> Column:
+    """Share of ``fields`` whose value is neither null nor an empty text, list or object."""
+    def valid(name: Column) -> Column:
+        value = F.try_element_at(raw, name)
+        return F.when(value.isin("[]", "{}"), is_text(item, name)).otherwise(F.coalesce(value.rlike(r"(?U)\S"), F.lit(False)))
 
+    return F.size(F.filter(F.array(*[F.lit(f) for f in fields]), valid)) / len(fields)
 
-def shot_format_score(item: Column) -> Column:
-    """0.6 · share of the eleven keys present + 0.3 · share of six content values filled + 0.1 · subject coverage."""
-    keys = F.array(*[F.lit(f) for f in T.SHOT_FIELDS])
-    presence = F.size(F.array_intersect(F.json_object_keys(item), keys)) / len(T.SHOT_FIELDS)
 
-    def share(schema: str, fields: Sequence[str]):
-        def of(both: Column) -> Column:
-            return sum((_valid(both["raw"][f], both["value"], f) for f in fields), F.lit(0)) / len(fields)
-        return lambda text: let(F.struct(F.from_json(text, schema).alias("raw"), F.try_parse_json(text).alias("value")), of)
+def shot_format_score(item: Column, raw: Column) -> Column:
+    """0.6 · share of the eleven keys present + 0.3 · share of six content values filled + 0.1 · subject coverage.
+
+    ``item`` is an object text and ``raw`` its ``json_fields``.
+    """
+    keys = F.array(*[F.lit(f) for f in T.SHOT_FIELDS])
+    presence = F.size(F.array_intersect(F.map_keys(raw), keys)) / len(T.SHOT_FIELDS)
+    people = subject_texts(raw["subjects"], False)
+    filled = F.transform(people, lambda s: let(json_fields(s), lambda m: _filled(s, m, T.SUBJECT_FIELDS)))
+    coverage = F.try_divide(F.aggregate(filled, F.lit(0.0), lambda a, x: a + x), F.size(filled).cast("double"))
+    return 0.6 * presence + 0.3 * _filled(item, raw, T.CONTENT_FIELDS) + 0.1 * F.coalesce(coverage, F.lit(0.0))
 
-    def score(raw: Column) -> Column:
-        content = share(RAW_SHOT, T.CONTENT_FIELDS)(item)
-        people = F.when(F.ltrim(raw["subjects"]).startswith("["), array_items(raw["subjects"]))
-        filled = F.transform(people, share(RAW_SUBJECT, T.SUBJECT_FIELDS))
-        coverage = F.try_divide(F.aggregate(filled, F.lit(0.0), lambda a, x: a + x), F.size(filled).cast("double"))
-        return 0.6 * presence + 0.3 * content + 0.1 * F.coalesce(coverage, F.lit(0.0))
 
-    return let(F.from_json(item, RAW_SHOT), score)
+def parsed_shots(items: Column) -> Column:
+    """ARRAY<STRUCT<item, raw>> of object texts with their fields: the only parse of a shot."""
+    return F.transform(items, lambda x: F.struct(x.alias("item"), json_fields(x).alias("raw")))
 
 
 def format_score(items: Column) -> Column:
     """Mean over the shots of a completion, in [0, 1]; no shots give 0."""
-    total = F.aggregate(F.transform(items, shot_format_score), F.lit(0.0), lambda a, x: a + x)
-    return F.coalesce(F.try_divide(total, F.size(items).cast("double")), F.lit(0.0))
+    return score_of_shots(parsed_shots(items))
+
+
+def score_of_shots(shots: Column) -> Column:
+    """``format_score`` of ``parsed_shots``."""
+    scores = F.transform(shots, lambda s: shot_format_score(s["item"], s["raw"]))
+    return let(scores, lambda x: F.coalesce(F.try_divide(
+        F.aggregate(x, F.lit(0.0), lambda a, v: a + v), F.size(x).cast("double")), F.lit(0.0)))
 
 
 # ---------------------------------------------------------------- judge answers
@@ -143,11 +149,14 @@ def completion_parts(completions: DataFrame, text: str = "text") -> DataFrame:
     """Add items, n_shots, r_format, queries and narratives to completions; a map without any shuffle."""
     rows = with_repaired_items(completions, text)
     items = F.coalesce("items", F.array().cast("array<string>"))
-    rows = rows.withColumn("items", items).withColumn("_safe", F.transform("items", safe_shot))
+    # Each step is a column of its own, so that no text is parsed for two of them.
+    rows = rows.withColumn("items", items).withColumn("_shots", parsed_shots(F.col("items")))
+    told = (*QUERY_FIELDS, "description_narrative")
+    rows = rows.withColumn("_safe", F.transform("_shots", lambda s: safe_shot(s["item"], s["raw"], told)))
     narratives = F.transform("_safe", lambda s: s["description_narrative"])
-    return (rows.withColumn("n_shots", F.size("items")).withColumn("r_format", 2.0 * format_score(F.col("items")) - 1.0)
+    return (rows.withColumn("n_shots", F.size("items")).withColumn("r_format", 2.0 * score_of_shots(F.col("_shots")) - 1.0)
             .withColumn("queries", F.transform("_safe", visual_query))
-            .withColumn("narratives", F.array_join(narratives, "\n")).drop("_safe"))
+            .withColumn("narratives", F.array_join(narratives, "\n")).drop("_safe", "_shots"))
 
 
 def reward_completions(completions: DataFrame, episode_vectors: DataFrame, embed: Callable[[Sequence[str]], Sequence],

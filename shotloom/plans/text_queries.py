@@ -366,7 +366,8 @@ VISUAL = f"""
 
 @query("tmpl_visual_query", sql(f"with {VISUAL} select sample_index, pos, text from visual"))
 def _t3(spark, sf):
-    return B.items(spark, sf).select("sample_index", "pos", P.visual_query(J.safe_shot(F.col("item"))).alias("text"))
+    return B.items(spark, sf).select("sample_index", "pos", P.visual_query(
+        J.safe_shot(F.col("item"), fields=P.QUERY_FIELDS)).alias("text"))
 
 
 PERSON = [f"case when {_get('position', 'u')} <> '' then '位于' || {_get('position', 'u')} end",

@@ -103,6 +103,45 @@ def test_safe_text(spark):
     assert got[0:2] == ["a", ""] and got[3:] == ["b，c", "3"] and got[2].startswith("甲，乙，")
 
 
+def plain_text(v):
+    """The coercion of a decoded value, level by level."""
+    if v is None:
+        return ""
+    if isinstance(v, (dict, list)):
+        parts = [plain_text(x) for x in (v.values() if isinstance(v, dict) else v)]
+        return "，".join(p for p in parts if p)
+    return v.strip() if isinstance(v, str) else str(v)
+
+
+def test_safe_text_of_any_depth_and_kind(spark):
+    deep = "leaf"
+    for k in range(40):
+        deep = [deep, f"n{k}"] if k % 2 else {"z": deep, "a": f' "quoted" \\ {k}: [x], {{y}} \n'}
+    values = [deep, {"b": 1, "a": True, "c": [False, None, 2.5, "", "  "]}, [], {}, True, False, "true", "{not json}", "[1, 2]", 7, 1.5, None,
+              {"k:": "v:", "角": ["\\", '"', "\\\""]}, "  x  "]
+    shots = [json.dumps({"shot_scale": v, "subjects": [{"name": v}]}, ensure_ascii=k % 2 == 0) for k, v in enumerate(values)]
+    got = _map(spark, J.safe_shot, shots)
+    assert [r["shot_scale"] for r in got] == [plain_text(v) for v in values]
+    assert [r["subjects"][0]["name"] for r in got] == [plain_text(v) for v in values]
+
+
+def test_elements_need_exactly_one_array(spark):
+    texts = ['[{"a":1}, "x", null]', '[1],[2]', '[1] x', '[{"a":1}', "5", "[]", '[1]],["A"]] [', "[NaN]", "[1,]", None]
+    assert _map(spark, J.json_elements, texts) == [['{"a":1}', "x", None], None, None, None, None, [], None, None, None, None]
+
+
+def test_format_score_tells_texts_from_empty_lists(spark):
+    full = {**SHOT, "subjects": []}
+    as_text = {**SHOT, "subjects": "[]"}
+    assert _map(spark, R.format_score, [[json.dumps(s)] for s in (full, as_text)], "array<string>") == pytest.approx(
+        [0.6 * len(full) / 11 + 0.3 * filled(full), 0.6 * len(full) / 11 + 0.3 * filled(as_text)])
+
+
+def filled(shot):
+    names = ("shot_scale", "camera_angle", "camera_motion", "subjects", "background", "description_narrative")
+    return sum(bool(v.strip() if isinstance(v := shot.get(f), str) else v) for f in names) / 6
+
+
 def _templated(spark, fn, shots, wrap=False):
     return _map(spark, lambda c: fn(J.normalize_shot(c, wrap)), [json.dumps(s, ensure_ascii=False) for s in shots])
 
