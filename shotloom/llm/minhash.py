@@ -30,10 +30,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotloom.llm.common import keyed
-from shotloom.llm.word_arrays import bags, mix
+from shotloom.llm.word_arrays import bags, mix, portions
 from shotloom.session import stage
 
-WIDTH, THRESHOLD, SLOTS, ROWS, PIECE, SALTS, PLACES = 5, 0.8, 128, 4, 16, 16, 1 << 18
+WIDTH, THRESHOLD, SLOTS, ROWS, PIECE, SALTS, PLACES, SHARE = 5, 0.8, 128, 4, 16, 16, 1 << 18, 64
 KEYS = ("key", "key2", "key3")  # one band, and with the next one or two bands
 _U = np.uint64
 _STEP, _LEVEL = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -76,8 +76,8 @@ def _digests(doc, item, count, n_docs) -> tuple[np.ndarray, np.ndarray]:
 def _signatures(width: int, slots: int, rows: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                yield one(pdf.iloc[at:at + 256])
+            for part in portions(pdf["text"].tolist()):
+                yield one(pdf.iloc[part])
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         texts, n = pdf["text"].tolist(), len(pdf)
@@ -114,7 +114,7 @@ def _likeness(slots: int):
 def _overlaps(width: int):
     @F.pandas_udf("double")
     def overlap(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = [_jaccard(x.iloc[k:k + 256].tolist(), y.iloc[k:k + 256].tolist(), width) for k in range(0, len(x), 256)]
+        out = [_jaccard(x.iloc[k].tolist(), y.iloc[k].tolist(), width) for k in portions((x + y).tolist())]
         return pd.Series(np.concatenate(out) if out else [], dtype="float64")
     return overlap
 
@@ -168,9 +168,15 @@ def components(edges: DataFrame) -> DataFrame:
     return labels.select("node", "label")
 
 
-def _pieces(rows: DataFrame) -> DataFrame:
-    """Pairs (x, y) of nodes with different labels that share a bucket; ``rows`` have band, keys, node, label.
+def _sized(threshold: float, left: str = "weight", right: str = "_weight") -> Column:
+    """The overlap of two multisets is at most the smaller one, their union at least the larger one."""
+    return F.least(left, right) >= threshold * F.greatest(left, right) - 1e-6
 
+
+def _pieces(rows: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (x, y) of nodes with different labels that share a bucket and fit in size.
+
+    ``rows`` have band, keys, node, label and weight.
     Buckets of one label are done.  Those of at most PIECE members give their pairs; a larger one
     is cut by the next band of its members, and then by one more.  Members that agree in all these
     bands and are still more than PIECE are tied to their leader and to the next one in order.
@@ -179,19 +185,22 @@ def _pieces(rows: DataFrame) -> DataFrame:
     for depth in range(len(KEYS)):
         spot = ["band", *KEYS[:depth + 1]]
         stats = (rows.groupBy(*spot).agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"),
-                                         F.max("label").alias("hi"), F.min("node").alias("first"))
+                                         F.max("label").alias("hi"), F.min(F.struct("node", "weight")).alias("first"))
                  .filter("lo < hi").select(*spot, "n", "first"))
         mixed = stage(rows.join(stage(stats), spot))
         small = mixed.filter(F.col("n") <= PIECE)
-        other = small.select(*spot, F.col("node").alias("y"), F.col("label").alias("_other"))
-        pairs = small.join(other, spot).filter("node < y and label <> _other").select(F.col("node").alias("x"), "y")
+        other = small.select(*spot, F.col("node").alias("y"), F.col("label").alias("_other"), F.col("weight").alias("_weight"))
+        pairs = small.join(other, spot).filter((F.col("node") < F.col("y")) & (F.col("label") != F.col("_other")) & _sized(threshold))
+        pairs = pairs.select(F.col("node").alias("x"), "y")
         found = pairs if found is None else found.unionByName(pairs)
         rows = mixed.filter(F.col("n") > PIECE)
         if depth + 1 < len(KEYS):
             rows = rows.drop("n", "first")
-    star = rows.filter("node <> first").select(F.col("first").alias("x"), F.col("node").alias("y"))
+    star = rows.filter((F.col("node") != F.col("first.node")) & _sized(threshold, "weight", "first.weight")).select(
+        F.col("first.node").alias("x"), F.col("node").alias("y"))
     order = Window.partitionBy("band", *KEYS).orderBy("node")
-    chain = rows.select(F.lag("node").over(order).alias("x"), F.col("node").alias("y")).filter("x is not null")
+    chain = (rows.select(F.lag("node").over(order).alias("x"), F.col("node").alias("y"), "weight", F.lag("weight").over(order).alias("_weight"))
+             .filter(F.col("x").isNotNull() & _sized(threshold)).select("x", "y"))
     return found.unionByName(star).unionByName(chain).distinct()
 
 
@@ -211,14 +220,20 @@ def _elements(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _places(width: int):
-    """How many texts of each batch have an element in each of PLACES groups of hashes."""
+    """How many of a task's elements fall into each of PLACES groups of hashes.
+
+    Only groups that hold an element for every SHARE of the task's texts are told, so a task gives no more
+    rows than SHARE times the elements of a text, whatever the number of tasks.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(PLACES, np.int64)
+        total, texts = np.zeros(PLACES, np.int64), 0
         for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                element = _elements(pdf["text"].iloc[at:at + 256].tolist(), width)[1]
+            some = pdf["text"].tolist()
+            texts += len(some)
+            for part in portions(some):
+                element = _elements(some[part], width)[1]
                 total += np.bincount((element % _U(PLACES)).astype(np.int64), minlength=PLACES)
-        place = np.flatnonzero(total)
+        place = np.flatnonzero((total > 1) & (total * SHARE >= texts))
         yield pd.DataFrame({"place": place, "n": total[place]})
     return run
 
@@ -227,8 +242,8 @@ def _prefixes(width: int, threshold: float, common: np.ndarray):
     """The rarest elements of each text, as many as it can't miss all and still be similar enough."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                yield one(pdf.iloc[at:at + 256])
+            for part in portions(pdf["text"].tolist()):
+                yield one(pdf.iloc[part])
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         doc, token = _elements(pdf["text"].tolist(), width)
@@ -245,7 +260,8 @@ def _prefixes(width: int, threshold: float, common: np.ndarray):
 
 
 def _across(crowd: DataFrame, threshold: float, width: int) -> DataFrame:
-    """Pairs (x, y) with different labels of ``crowd`` (node, label, text) that share a prefix element and fit in size.
+    """Pairs (x, y) with different labels of ``crowd`` (node, label, text) that share a prefix element and fit in size,
+    and as ``weight`` how many such elements they share.
 
     The order of elements is by the count of their place, at most PLACES numbers that go to the
     tasks: any order is exact, this one keeps elements of a hot group out of most prefixes.
@@ -264,8 +280,8 @@ def _across(crowd: DataFrame, threshold: float, width: int) -> DataFrame:
     # At the first element that a pair shares, what is left must still hold the overlap it needs.
     need = threshold / (1 + threshold) * (F.col("weight") + F.col("_weight"))
     fits = F.least("left", "_left") >= need - 1e-6
-    return rows.join(other, "token").filter((F.col("node") < F.col("y")) & (F.col("label") != F.col("_other")) & fits).select(
-        F.col("node").alias("x"), "y").distinct()
+    return rows.join(other, "token").filter((F.col("node") < F.col("y")) & (F.col("label") != F.col("_other")) & fits).groupBy(
+        F.col("node").alias("x"), "y").agg(F.count(F.lit(1)).alias("weight"))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, slots: int = SLOTS,
@@ -285,9 +301,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
         F.first("weight").alias("weight"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
     further = [F.xxhash64("key", *[F.get("bands", (F.col("band") + k) % n_bands) for k in range(1, depth + 1)])
                .alias(KEYS[depth]) for depth in range(1, len(KEYS))]
-    members = (contents.filter("weight > 0").select(F.col("a").alias("node"), "bands", F.posexplode("bands")
-                                                    .alias("band", "key")).select("node", "band", "key", *further))
-    stats = stage(members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader"))
+    members = (contents.filter("weight > 0").select(F.col("a").alias("node"), "weight", "bands", F.posexplode("bands")
+                                                    .alias("band", "key")).select("node", "weight", "band", "key", *further))
+    stats = stage(members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "weight")).alias("leader"))
                   .filter("n > 1").drop("n"))
     buckets = stage(members.join(stats, ["band", "key"]))
     alike, overlap = _likeness(slots), _overlaps(width)
@@ -311,11 +327,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
         return stage(both.select("x", "y", overlap("tx", "ty").alias("similarity"))
                      .filter(F.col("similarity") >= threshold).select("x", "y"))
 
-    stars = stage(likely(buckets.filter("node <> leader").select(F.col("node").alias("x"), F.col("leader").alias("y"))
-                         .distinct()))
-    # A leader is the smallest of its bucket, so one link per member is a forest.
-    best = stage(stars.groupBy("x").agg(F.max_by("y", F.struct("est", "y")).alias("y")))
-    labels = roots(verified(best))
+    stars = stage(buckets.filter((F.col("node") != F.col("leader.node")) & _sized(threshold, "weight", "leader.weight"))
+                  .groupBy(F.col("node").alias("x"), F.col("leader.node").alias("y"))
+                  .agg(F.count(F.lit(1)).alias("bands")))
+    # The leader that shares most bands is the likeliest; it is the smallest of its bucket, so one link per member is a forest.
+    best = stage(stars.groupBy("x").agg(F.max_by("y", F.struct("bands", "y")).alias("y")))
+    labels = roots(verified(likely(best)))
 
     def labelled(pairs: DataFrame, column: str, name: str, labels: DataFrame) -> DataFrame:
         tags = labels.select(F.col("node").alias(column), F.col("label").alias(name))
@@ -328,14 +345,24 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
         return final.select("node", F.coalesce("to", "label").alias("label")).union(
             merged.join(labels, "node", "left_anti").select("node", "label"))
 
-    inside = _pieces(labelled(buckets.drop("leader"), "node", "label", labels))
-    rest = stars.select("x", "y").join(best.select("x", "y"), ["x", "y"], "left_anti")
-    across = labelled(labelled(rest, "x", "lx", labels), "y", "ly", labels).filter("lx <> ly").select("x", "y")
-    linked = verified(stage(across.union(likely(inside).select("x", "y")).distinct()))
-    near = stage(merge(labels, linked))
+    def link(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Merge labels over ``pairs`` (x, y, weight): of every label the heaviest first, then what still joins two."""
+        ends = labelled(labelled(pairs, "x", "lx", labels), "y", "ly", labels).filter("lx <> ly")
+        ends = stage(ends.groupBy("x", "y", "lx", "ly").agg(F.max("weight").alias("weight")))
+        heavy = F.max_by(F.struct("x", "y"), F.struct("weight", "x", "y")).alias("one")
+        either = ends.select(F.col("lx").alias("l"), "x", "y", "weight").unionByName(ends.select(F.col("ly").alias("l"), "x", "y", "weight"))
+        first = stage(either.groupBy("l").agg(heavy).select("one.*").distinct())
+        labels = stage(merge(labels, verified(likely(first))))
+        rest = ends.select("x", "y").join(first, ["x", "y"], "left_anti")
+        rest = stage(labelled(labelled(rest, "x", "lx", labels), "y", "ly", labels).filter("lx <> ly").select("x", "y"))
+        return stage(merge(labels, verified(likely(rest))))
+
+    inside = _pieces(labelled(buckets.drop("leader"), "node", "label", labels), threshold)
+    rest = stars.join(best.select("x", "y"), ["x", "y"], "left_anti")
+    near = link(labels, rest.select("x", "y", F.col("bands").alias("weight")).unionByName(inside.withColumn("weight", F.lit(0).cast("bigint"))))
     crowd = _crowded(labelled(buckets.select("band", "key", "node"), "node", "label", near))
     texts = known.withColumnRenamed("a", "node").join(crowd, "node")
-    final = merge(near, verified(stage(likely(_across(texts, threshold, width)).select("x", "y"))))
+    final = link(near, _across(texts, threshold, width))
     # Only contents with copies or links need a look-up; the rest are classes of their own.
     tagged = contents.select("a", "id", "rep", "copies").join(
         final.withColumnRenamed("node", "a"), "a", "left").filter("copies > 1 or label is not null")

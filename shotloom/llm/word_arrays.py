@@ -100,6 +100,18 @@ def blocks(texts: Sequence[str], limit: int = BLOCK) -> Iterator[list[tuple[int,
         yield held
 
 
+def portions(texts: Sequence[str], limit: int = 2 * BLOCK, most: int = 256) -> Iterator[slice]:
+    """Slices of consecutive texts with about ``limit`` characters together, at most ``most``; a longer text is one alone."""
+    at, size = 0, 0
+    for i, text in enumerate(texts):
+        if i > at and (size + len(text) > limit or i - at >= most):
+            yield slice(at, i)
+            at, size = i, 0
+        size += len(text)
+    if at < len(texts):
+        yield slice(at, len(texts))
+
+
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
