@@ -7,7 +7,7 @@ longest first, which fills bins better and keeps memory bounded.  Nothing is shu
 grows with the data and a lost task is simply run again.
 
 Defined cases: null texts are empty and hold only the end id; null and repeated ids are allowed,
-each row is packed; a document of over ``size`` tokens is cut into pieces of ``size``, the first
+each row is packed; a text of any length and any run of one character is tokenised whole; a document of over ``size`` tokens is cut into pieces of ``size``, the first
 may be shorter; extra columns are ignored; an empty table gives no rows.
 """
 
@@ -19,13 +19,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from shotloom.llm.common import keyed
 
 SIZE, OPEN, BLOCK, END_ID = 1024, 4096, 4096, 2
-VOCABULARY = "byte_bpe_50k.tiktoken"  # the ranks of byte_bpe_50k.json
+MODEL, VOCABULARY = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"  # the second holds the ranks of the first
 SCHEMA = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
 
 
@@ -62,26 +63,41 @@ class OpenBins:
         return found, self.size - free
 
 
-def encoder(path: str):
-    """Function from text to its ids as little-endian unsigned 32-bit numbers; special strings are plain text."""
+def encoder(path: str, model: str | None = None):
+    """Function from text to its ids as little-endian unsigned 32-bit numbers; special strings are plain text.
+
+    ``path`` is a file of token ranks.  Its pattern engine gives up on a text with about a million white
+    space characters in a row; ``model``, the ``tokenizers`` file of the same vocabulary, encodes such a text.
+    """
     import tiktoken
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     coder = tiktoken.Encoding("ids", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: coder.encode_to_numpy(text, disallowed_special=()).astype("<u4")
+    slow = []
+
+    def encode(text: str) -> np.ndarray:
+        try:
+            return coder.encode_to_numpy(text, disallowed_special=()).astype("<u4")
+        except ValueError:
+            if not slow:
+                slow.append(tokenizers.Tokenizer.from_file(model or public_tokenizers.path(MODEL)))
+                slow[0].encode_special_tokens = True  # special strings are plain text here as well
+            return np.array(slow[0].encode(text, add_special_tokens=False).ids, "<u4")
+
+    return encode
 
 
 def pack_documents(docs: DataFrame, size: int = SIZE, open_bins: int = OPEN, block: int = BLOCK,
-                   end_id: int = END_ID, vocabulary: str | None = None, id_col: str = "doc_id",
+                   end_id: int = END_ID, vocabulary: str | None = None, model: str | None = None, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
     """One row per piece: its ids (little-endian unsigned 32-bit) and its place in a sequence.
 
-    ``vocabulary`` is a file of token ranks that every executor has.
+    ``vocabulary`` is a file of token ranks and ``model`` its ``tokenizers`` file; every executor has both.
     """
     path = vocabulary or public_tokenizers.path(VOCABULARY)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, bins = encoder(path), OpenBins(size, open_bins)
+        encode, bins = encoder(path, model), OpenBins(size, open_bins)
         first_id = TaskContext.get().partitionId() << 40
         full, held = [], []
 
