@@ -9,7 +9,7 @@ likelihoods is high.  Everything on the data is a built-in function; the models
 text: values of the fixed patterns are random strings, words are identifiers.
 
 Defined cases: null texts are empty and have no spans; null and repeated ids are allowed, every
-row is scanned; without samples of a kind its model is uniform; extra columns are ignored; an
+row is scanned; a text of many matches costs little more than its length; without samples of a kind its model is uniform; extra columns are ignored; an
 empty table gives no rows.
 """
 
@@ -36,7 +36,8 @@ _NAMES = "|".join([*map(_either_case, ("password", "passwd", "secret", "token"))
 ASSIGN = "(" + _NAMES + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = "AKIA[A-Z0-9]{14,}"
 HEX = "(?<![0-9a-f])[0-9a-f]{16,}"
-TOKEN = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
+FILL = "\x01"  # stands for every character of an assignment while tokens are looked for
+TOKEN = f"(?<![A-Za-z0-9+/_={FILL}-])[A-Za-z0-9+/_={FILL}-]{{16,}}"
 WORD = "(?<![A-Za-z0-9_])[A-Za-z_]{4,}(?![A-Za-z0-9_])"
 LEAST_VALUE, SAMPLE, PER_CHAR, IN_ALL, ALPHABET, STRENGTH = 12, 4000, 0.5, 12.0, 66, 8.0
 _SPAN = "array<struct<start:bigint,stop:bigint,value:string>>"
@@ -55,6 +56,15 @@ def _base(docs: DataFrame) -> DataFrame:
                              "_hex": _found(text.rlike(HEX), HEX)})
 
 
+def _filled(text: Column) -> Column:
+    """The text with every character of its long enough assignments replaced by FILL, of the same length."""
+    clean = F.translate(text, FILL, " ")
+    values = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(0))
+    kept = F.zip_with(F.split(clean, ASSIGN, -1), values, lambda g, v: F.concat(g, F.when(
+        F.length(F.regexp_extract(v, ASSIGN, 2)) >= LEAST_VALUE, F.repeat(F.lit(FILL), F.length(v))).otherwise(F.coalesce(v, F.lit("")))))
+    return F.array_join(kept, "")
+
+
 def samples_from(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Labelled samples ``token``, ``secret`` from about ``sample`` documents."""
     base = keyed(docs, id_col, text_col)
@@ -114,19 +124,22 @@ def scan(docs: DataFrame, model: list[float], per_char: float = PER_CHAR, in_all
     ``per_char`` for each of its characters.
     """
     found = _base(keyed(docs, id_col, text_col).select("doc_id", "text"))
-    found = found.withColumn("_tokens", _found(F.col("text").rlike(TOKEN), TOKEN))
+    # A token is as long as it can be, so it overlaps an assignment if it holds its filling, and it holds any
+    # access or hex span that it overlaps whole.  So no token is compared with spans.
+    found = found.withColumn("_filled", F.when(F.size("_assign") > 0, _filled(F.col("text"))).otherwise(F.translate("text", FILL, " ")))
+    tokens = F.when(F.col("_filled").rlike(TOKEN), matches(F.col("_filled"), TOKEN)).otherwise(F.array().cast(_SPAN))
+    found = found.withColumn("_tokens", tokens)
 
     def of(name: str, number: int) -> Column:
         return F.transform(f"_{name}", lambda m: F.struct(
             m["start"].alias("start"), F.lit(number).alias("kind"), m["stop"].alias("stop"), m["value"].alias("value")))
 
     found = found.withColumn("_base", F.concat(*[of(k, i) for i, k in enumerate(KINDS[:3])]))
-    apart = F.filter("_tokens", lambda m: ~F.exists(
-        "_base", lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"])))
+    apart = F.filter("_tokens", lambda m: ~(m["value"].contains(FILL) | m["value"].rlike(ACCESS) | m["value"].rlike(HEX)))
     likely = F.filter(apart, lambda m: log_ratio(m["value"], model) > F.greatest(
         F.lit(in_all), per_char * F.length(m["value"])))
     found = found.withColumn("_markov", likely)
-    spans = F.array_sort(F.concat("_base", of("markov", 3)))
+    spans = F.sort_array(F.concat("_base", of("markov", 3)))
     names = F.array(*map(F.lit, KINDS))
     return found.select("doc_id", F.transform(spans, lambda s: F.struct(
         F.get(names, s["kind"]).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"),

@@ -115,6 +115,32 @@ def test_markov_models_tell_random_strings_from_identifiers(spark):
     assert not any(got[i] for i in range(30, len(tests)))
 
 
+def test_secrets_of_a_text_with_many_matches(spark):
+    import time
+    lines = "".join(f"{i:016x} token={i:020d}.\n" for i in range(50_000))  # 100,000 matches
+    odd = "xx\x01" + "Zq9" * 8 + "\x01 AKIA" + "Q7" * 9 + "zz password: 'abcdefghijkl.mnop' " + "f" * 16 + "_" + "Kq3X" * 6
+    model = secret_scan.train(secret_scan.samples_from(awkward(spark, SECRETS)))
+    start = time.time()
+    got = {r.doc_id: [(s.kind, s.start, s.stop) for s in r.spans if s.kind != "markov"]
+           for r in secret_scan.scan(awkward(spark, [(1, lines, ""), (2, odd, "")]), model).collect()}
+    assert time.time() - start < 40
+    assert got == {1: plain_secrets(lines), 2: plain_secrets(odd)} and len(got[1]) >= 100_000
+
+
+def test_markov_tokens_overlap_no_base_span(spark):
+    import random
+    rng = random.Random(12)
+    parts = ["password=", "token: ", "AKIA" + "Q7" * 9, "0123456789abcdef01", "Zq9Xk2Lm8Rt5Wv1B", "secret", "api_key='", ".", " ", "=", "-", "abcdefghijkl"]
+    rows = [(i, "".join(rng.choices(parts, k=12)), "") for i in range(200)]
+    everything = [-1.0] * 0 + [1.0] * (128 * 128)  # every token is a secret
+    runs = re.compile("[A-Za-z0-9+/_=-]{16,}")
+    for r in secret_scan.scan(awkward(spark, rows), everything, per_char=0.0, in_all=0.0).collect():
+        text = rows[r.doc_id][1]
+        base = [(a, b) for _, a, b in plain_secrets(text)]
+        want = [(m.start(), m.end()) for m in runs.finditer(text) if not any(a < m.end() and m.start() < b for a, b in base)]
+        assert [(s.start, s.stop) for s in r.spans if s.kind == "markov"] == want
+
+
 def test_secrets_empty(spark):
     model = secret_scan.train(secret_scan.samples_from(empty(spark)))
     assert secret_scan.scan(empty(spark), model).count() == 0
@@ -162,6 +188,38 @@ def test_pii_takes_numbers_of_many_groups_whole(spark):
     assert text == {i: f"appelez <phone> ou bien {1000000 + 37 * i}" for i in range(120)}
 
 
+def plain_pii(text):
+    """Kind, start, stop and whether it passes, of every match of the base patterns as they are written."""
+    out = []
+    for kind, pattern in zip(pii.KINDS, (pii.EMAIL, pii.IP, pii.CARD, pii.PHONE)):
+        for m in pattern.finditer(text):
+            digits = [int(c) for c in m.group() if c in "0123456789"]
+            doubled = sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(reversed(digits)))
+            ok = {"email": True, "card": 13 <= len(digits) <= 19 and doubled % 10 == 0, "phone": 9 <= len(digits) <= 15,
+                  "ip": kind == "ip" and all(int(p[-9:]) <= 255 and not p[:-9].strip("0") for p in m.group().split("."))}[kind]
+            out.append((kind, m.start(), m.end(), ok))
+    return out
+
+
+def test_pii_base_equals_the_patterns_as_written():
+    import random
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("ab._@-+ 0123.(%") for _ in range(rng.randint(0, 40))) for _ in range(4000)]
+    texts += ["a@b.c_d@e.f x@y.z%q@r.s.t", "1.2.3.4.5.6.7.8 1.2.3." + "0" * 5000 + "1", "4111111111111111 +1 (826) 555-4081"]
+    for text in texts:
+        assert pii.base_matches(text) == plain_pii(text)
+
+
+def test_pii_of_long_runs_takes_one_pass():
+    import time
+    for text, spans in (("7" * 1_000_000, 0), ("a" * 1_000_000 + " x@y.org", 1), ("1.2.3." + "0" * 5000 + "1", 1), ("a@b.c_" * 100_000, 1),
+                        ("1 " + "(" * 100_000 + " 1", 0), ("#" * 1_000_000, 0)):
+        start = time.time()
+        assert len([m for m in pii.base_matches(text) if m[3]]) >= spans
+        pii.candidates(text)
+        assert time.time() - start < 10
+
+
 def test_pii_empty(spark):
     assert pii.scan(empty(spark), pii.train(empty(spark))).count() == 0
 
