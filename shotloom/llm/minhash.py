@@ -33,7 +33,7 @@ from shotloom.llm.common import keyed
 from shotloom.llm.word_arrays import bags, mix, portions
 from shotloom.session import stage
 
-WIDTH, THRESHOLD, SLOTS, ROWS, PIECE, SALTS, PLACES, SHARE = 5, 0.8, 128, 4, 16, 16, 1 << 18, 64
+WIDTH, THRESHOLD, SLOTS, ROWS, PIECE, SALTS, PLACES, SHARE = 5, 0.8, 128, 4, 16, 16, 1 << 18, 1024
 KEYS = ("key", "key2", "key3")  # one band, and with the next one or two bands
 _U = np.uint64
 _STEP, _LEVEL = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
