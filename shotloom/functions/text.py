@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shotloom.functions.fixed_text import ACTION_WORDS, LENS_WORDS, PLOT_TITLE, TEMPORAL_WORDS
 
 END_TOKEN = "<END>"
+TOTALS = 32
 
 
 def trim_all(c: Column) -> Column:
@@ -27,6 +28,29 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def running_totals(steps: Column, levels: int = 4) -> Column:
+    """Running totals of an array of long numbers, each with its own number.
+
+    A number is summed inside its block of TOTALS, the totals of the blocks in the same way, up to ``levels``:
+    about ``levels`` * TOTALS / 2 additions a number, where a fold that appends would copy all it has at every step.
+    """
+    def total(x: Column, first: Column, last: Column) -> Column:
+        return F.aggregate(F.sequence(first, last), F.lit(0).cast("bigint"), lambda acc, i: acc + F.get(x, i))
+
+    def of(x: Column, level: int) -> Column:
+        places = F.sequence(F.lit(0), F.size(x) - 1)
+        first = (lambda i: i - i % TOTALS) if level else (lambda i: F.lit(0))
+        own = F.transform(places, lambda i: total(x, first(i), i))
+        if not level:
+            return own
+        blocks = F.transform(F.sequence(F.lit(0), F.size(x) - 1, F.lit(TOTALS)), lambda k: total(x, k, F.least(k + TOTALS, F.size(x)) - 1))
+        below = lambda b: F.when(F.size(b) > 1, of(b, level - 1)).otherwise(b)
+        return let(let(blocks, below), lambda up: F.transform(places, lambda i: total(x, first(i), i) + F.when(
+            i >= TOTALS, F.get(up, F.floor(i / TOTALS).cast("int") - 1)).otherwise(F.lit(0).cast("bigint"))))
+
+    return let(steps, lambda x: F.when(F.size(x) > 0, of(x, levels - 1)).otherwise(x))
+
+
 def round_half_even(x: Column, digits: int) -> Column:
     """The decimal with ``digits`` places that lies nearest the binary value of ``x``; exact ties go to the even one.
 

@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shotloom.session import stage
+
 CHUNK = 65536
 
 
@@ -52,16 +54,28 @@ def rank_in_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
             .drop("__r", "__off", "__b"))
 
 
-def rank_by_text(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str, width: int = 3) -> DataFrame:
-    """``rank_in_group`` by text columns; buckets are the ``width`` characters after what all keys of a group share."""
-    key = order[0]
-    ends = df.groupBy(*group).agg(F.min(key).alias("__lo"), F.max(key).alias("__hi"))
-    apart = F.filter(F.sequence(F.lit(1), F.greatest(F.length("__lo"), F.lit(1))), lambda i: F.substr("__lo", i, F.lit(1))
-                     != F.substr("__hi", i, F.lit(1)))
-    ends = ends.select(*group, F.coalesce(F.try_element_at(apart, F.lit(1)), F.length("__lo") + 1).alias("__at"))
-    placed = attach_stats(df, ends, group)
-    bucket = F.substr(key, F.col("__at"), F.lit(width))
-    return rank_in_group(placed, group, [F.col(c) for c in order], bucket, name).drop("__at")
+def rank_by_range(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """0-based rank over the whole table by ``order``, which should leave no ties.
+
+    The sort deals rows to ranges whose bounds are sampled from the data, so neither a common prefix nor one
+    odd key fills a task.  A row's place in its range comes with the sort; the ranges' sizes, one row per
+    range, make the rest.  The sorted rows are written once, so that a task that runs again finds the same
+    ranges: pass keys, not payload.
+    """
+    rows = stage(df.orderBy(*order).withColumn("__i", F.monotonically_increasing_id()))
+    rows = rows.withColumns({"__p": F.shiftright("__i", 33), "__i": F.col("__i").bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = rows.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    # One row per range of the sort, whatever the data.
+    return rows.join(F.broadcast(offsets), "__p").withColumn(name, F.col("__i") + F.col("__off")).drop("__i", "__off", "__p")
+
+
+def rank_by_text(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """0-based rank within ``group`` by text columns: ranks of the whole table, less that of the group's first row."""
+    ranked = rank_by_range(df, [*map(F.col, group), *map(F.col, order)], name)
+    first = ranked.groupBy(*group).agg(F.min(name).alias("__first"))
+    return attach_stats(ranked, first, group).withColumn(name, F.col(name) - F.col("__first")).drop("__first")
 
 
 def neighbours(df: DataFrame, group: Sequence[str], pos: str, cols: Sequence[str],
@@ -139,18 +153,24 @@ def global_rank(df: DataFrame, key: Column, name: str, prefix: int = 3) -> DataF
     return rank_in_group(hashed, ["__one"], [F.col("__k")], F.substring("__k", 1, prefix), name).drop("__k", "__one")
 
 
-def limit_by_hash(df: DataFrame, n: int, key: Column) -> DataFrame:
-    """A reproducible random sample of ``n`` rows; ``n <= 0`` keeps everything.
+def first_keys(df: DataFrame, n: int, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """The rows whose distinct ``keys`` are among the first ``n`` in ``order``; ``n <= 0`` keeps everything.
 
-    Rows are cut at their rank, so that no sample, however long, gathers in one task.
+    Only keys are sorted, and they are cut at their rank, so that no selection, however long, gathers in one task.
     """
     if n <= 0:
         return df
-    return global_rank(df, key, "__i").filter(F.col("__i") < n).drop("__i")
+    ranked = rank_by_range(df.select(*keys).distinct(), [*order, *map(F.col, keys)], "__rank")
+    return df.join(ranked.filter(F.col("__rank") < n).select(*keys), list(keys), "left_semi")
+
+
+def limit_by_hash(df: DataFrame, n: int, key: Column) -> DataFrame:
+    """A reproducible random sample of ``n`` rows; ``n <= 0`` keeps everything."""
+    if n <= 0:
+        return df
+    return rank_by_range(df, [key], "__i").filter(F.col("__i") < n).drop("__i")
 
 
-def first_rows(df: DataFrame, n: int, order: str) -> DataFrame:
-    """The ``n`` rows with the smallest integer ``order``, likewise."""
-    one = df.withColumn("__one", F.lit(1))
-    ranked = rank_in_group(one, ["__one"], [F.col(order)], F.floor(F.col(order) / CHUNK), "__i")
-    return ranked.filter(F.col("__i") < n).drop("__i", "__one")
+def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The ``n`` rows that come first in ``order``; cut at their rank, so they never gather in one task."""
+    return rank_by_range(df, [F.col(c) for c in order], "__i").filter(F.col("__i") < n).drop("__i")

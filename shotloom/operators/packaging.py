@@ -11,7 +11,7 @@ from shotloom.functions import text as X
 from shotloom.functions.fixed_text import CAST_TITLE, IMAGE_ENDINGS, PLOT_TITLE
 from shotloom.functions.jsonfix import array_items, json_extract_array, normalize_shot
 from shotloom.functions.templates import control_prompt, shot_prompt
-from shotloom.operators.ordered import hash_order
+from shotloom.operators.ordered import first_keys, hash_order
 from shotloom.operators.retrieval import retrieve_topk
 
 PREVIEW = 1000
@@ -87,10 +87,8 @@ def sample_query_shots(inputs: DataFrame, samples: int, shots_per_sample: int, s
 
     inputs(source_file, sample_index, shots ARRAY); a shot without a prompt uses up its draw, as it does when drawn.
     """
-    files = inputs
-    if samples > 0:
-        files = (inputs.withColumn("_k", hash_order(F.lit(seed), "source_file", "sample_index"))
-                 .orderBy("_k").limit(samples).drop("_k"))
+    keys = ["source_file", "sample_index"]
+    files = first_keys(inputs, samples, keys, [hash_order(F.lit(seed), *keys)])
     tagged = F.transform("shots", lambda s, i: F.struct(
         F.md5(F.concat_ws("|", F.lit(seed).cast("string"), "source_file", F.col("sample_index").cast("string"),
                           i.cast("string"))).alias("k"), i.alias("i"), s.alias("s")))
@@ -142,21 +140,17 @@ def resolve_prompts(tasks: DataFrame, index: DataFrame, fallback_duration: str =
 
 # ---------------------------------------------------------------- references and images
 
-def match_character_refs(shots: DataFrame, refs: DataFrame, salts: int = 16) -> DataFrame:
+def match_character_refs(shots: DataFrame, refs: DataFrame) -> DataFrame:
     """shots(sample, shot, search) with the names of their sample's refs(sample, place, name) found in the text.
 
-    The containment test is part of the join, so only hits leave it; a sample's shots are
-    spread over ``salts`` keys.
+    The few names of a sample become one list, and every shot looks for the names of its list in its own
+    text: each text is met once and only the lists are looked up.
     """
-    left = shots.withColumn("_salt", F.pmod(F.xxhash64("sample", "shot"), F.lit(salts)))
-    right = (refs.filter(F.coalesce("name", F.lit("")) != "").withColumnRenamed("sample", "_rs")
-             .withColumn("_rsalt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
-    hits = left.join(right, (F.col("sample") == F.col("_rs")) & (F.col("_salt") == F.col("_rsalt"))
-                     & F.col("search").contains(F.col("name")))
-    names = F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda x: x["name"])
-    found = hits.groupBy("sample", "shot").agg(names.alias("refs"))
-    return (shots.join(found, ["sample", "shot"], "left")
-            .withColumn("refs", F.coalesce("refs", F.array().cast("array<string>"))))
+    names = refs.filter(F.coalesce("name", F.lit("")) != "").groupBy("sample").agg(
+        F.sort_array(F.collect_list(F.struct("place", "name"))).alias("_names"))
+    here = F.filter("_names", lambda x: F.col("search").contains(x["name"]))
+    found = F.coalesce(F.transform(here, lambda x: x["name"]), F.array().cast("array<string>"))
+    return shots.join(names, "sample", "left").withColumn("refs", found).drop("_names")
 
 
 def resolve_image_path(items: DataFrame, listing: DataFrame, root_name: str = "",

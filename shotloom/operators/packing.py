@@ -8,19 +8,18 @@ its rank among the samples of its length.  The result is exactly that of packing
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
 
+from shotloom.functions.text import let, running_totals
 from shotloom.operators.ordered import CHUNK, attach_stats, rank_in_group
 from shotloom.session import stage
 
-_WORD = re.compile(r"[^ \t\n\r\f]+")
+_WORD = r"[^ \t\n\r\f]+"
 SHORT_TASKS = ("single_shot", "multifield", "ordering", "summary_compress")
 
 
@@ -156,10 +155,11 @@ def completion_mask(ends: Column, response_start: Column) -> Column:
     return F.transform(ends, lambda e: (e > response_start).cast("int"))
 
 
-@F.pandas_udf(ArrayType(IntegerType()))
-def word_ends(texts: pd.Series) -> pd.Series:
+def word_ends(text: Column) -> Column:
     """End offsets of white-space tokens, for corpora without tokenizer offsets."""
-    return texts.map(lambda t: [m.end() for m in _WORD.finditer(t or "")])
+    def ends(words: Column) -> Column:
+        gaps = F.slice(F.split(text, _WORD, -1), F.lit(1), F.size(words))
+        steps = F.zip_with(gaps, words, lambda g, w: (F.length(g) + F.length(w)).cast("bigint"))
+        return F.transform(running_totals(steps), lambda n: n.cast("int"))
 
-
-word_ends = word_ends.asNondeterministic()  # never copied into several expressions
+    return let(F.coalesce(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.array().cast("array<string>")), ends)

@@ -111,7 +111,7 @@ def _summary(spark, sf):
     e as (select doc_id, start, w, sum(length(w)) over (partition by doc_id order by i) as stop from w)
     select doc_id, count(*) as tokens, count(*) filter (stop > start) as masked_in from e where regexp_matches(w, '\\S') group by doc_id"""))
 def _mask(spark, sf):
-    d = B.table(spark, sf, "documents").select("doc_id", P.word_ends("text").alias("ends"), F.expr("n_chars div 2").alias("start"))
+    d = B.table(spark, sf, "documents").select("doc_id", P.word_ends(F.col("text")).alias("ends"), F.expr("n_chars div 2").alias("start"))
     m = d.select("doc_id", F.size("ends").alias("tokens"), P.completion_mask(F.col("ends"), F.col("start")).alias("mask"))
     return m.select("doc_id", F.col("tokens").cast("bigint").alias("tokens"),
                     F.aggregate("mask", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("masked_in")).filter("tokens > 0")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from shotloom.functions.fixed_text import IMAGE_SUFFIXES, VIDEO_SUFFIXES
 from shotloom.functions.text import round_half_even, trim_all
-from shotloom.operators.ordered import attach_stats, first_per_key, hash_order, rank_by_text
+from shotloom.operators.ordered import attach_stats, first_keys, first_per_key, first_rows, hash_order, rank_by_text
 
 SEGMENT = ("struct<segment_index:int,video_filename:string,keyframe_filename:string,start_frame:int,end_frame:int,"
            "num_frames:int,start_sec:double,end_sec:double,fps:double>")
@@ -131,11 +131,9 @@ def sample_shots(files: DataFrame, shot_counts: Sequence[str] = (), samples: Seq
         found = found.filter(F.col("sample").isin(*samples))
     order = ["shot_count", "sample"]
     if sample_limit > 0:
-        chosen = found.select(*order).distinct()
-        key = [hash_order(F.lit(seed), *order)] if select == "random" else [F.col(c) for c in order]
-        found = found.join(chosen.orderBy(*key).limit(sample_limit), order, "left_semi")
+        found = first_keys(found, sample_limit, order, [hash_order(F.lit(seed), *order)] if select == "random" else [])
     found = found.select(*order, "shot", F.col("path").alias("first_frame"))
-    return found.orderBy(*order, "shot").limit(shot_limit) if shot_limit > 0 else found
+    return first_rows(found, shot_limit, *order, "shot", "first_frame") if shot_limit > 0 else found
 
 
 def expected_files(manifests: DataFrame) -> DataFrame:

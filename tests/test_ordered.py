@@ -69,3 +69,25 @@ def test_long_limits_are_cut_at_their_rank(spark, monkeypatch):
     short = [r["pos"] for r in O.limit_by_hash(df, 20, key).collect()], [r["pos"] for r in O.first_rows(df, 20, "pos").collect()]
     long = [r["pos"] for r in O.limit_by_hash(df, 20, key).collect()], [r["pos"] for r in O.first_rows(df, 20, "pos").collect()]
     assert list(map(sorted, short)) == list(map(sorted, long))
+
+
+def test_ranks_by_range_with_a_shared_prefix_and_one_odd_name(spark):
+    names = [f"segment_{i:05d}.mp4" for i in range(3000)] + ["Z.mp4"]
+    random.Random(2).shuffle(names)
+    rows = [(f"d{i % 2}", n) for i, n in enumerate(names)]
+    df = spark.createDataFrame(rows, "g string, name string")
+    ranked = O.rank_by_range(df, [F.col("name")], "r")
+    assert [(r["name"], r["r"]) for r in ranked.orderBy("r").collect()] == [(n, i) for i, n in enumerate(sorted(names))]
+    got = {(r["g"], r["name"]): r["r"] for r in O.rank_by_text(df, ["g"], ["name"], "r").collect()}
+    want = {(g, n): i for g in ("d0", "d1") for i, n in enumerate(sorted(n for h, n in rows if h == g))}
+    assert got == want
+
+
+def test_first_keys_and_first_rows(spark):
+    df = spark.range(2000).select((F.col("id") % 500).alias("k"), "id")
+    kept = O.first_keys(df, 40, ["k"], [F.md5(F.col("k").cast("string"))])
+    order = sorted(range(500), key=lambda k: __import__("hashlib").md5(str(k).encode()).hexdigest())
+    assert {r["k"] for r in kept.collect()} == set(order[:40]) and kept.count() == 160
+    assert O.first_keys(df, 0, ["k"], []).count() == 2000
+    assert sorted(r["id"] for r in O.first_rows(df, 70, "id").collect()) == list(range(70))
+    assert O.first_rows(df.filter("false"), 5, "id").count() == 0
