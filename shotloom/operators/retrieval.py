@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shotloom.operators.pairs import BLOCK, SIM_SCALE, block_topk
+from shotloom.operators.pairs import BLOCK, block_topk
 
 
 def retrieve_topk(queries: DataFrame, index: DataFrame, k: int = 5, block: int = BLOCK) -> DataFrame:
@@ -14,4 +14,4 @@ def retrieve_topk(queries: DataFrame, index: DataFrame, k: int = 5, block: int =
     found = block_topk(left, right, [], "query_id", "vec", "item_id", "item_vec", k,
                        queries.schema["query_id"].dataType.simpleString(),
                        index.schema["item_id"].dataType.simpleString(), block=block)
-    return found.select("query_id", "item_id", (F.col("q") / SIM_SCALE).alias("score"), "rank")
+    return found.select("query_id", "item_id", "score", "rank")

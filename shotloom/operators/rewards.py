@@ -14,7 +14,7 @@ from shotloom.functions.templates import QUERY_FIELDS, visual_query
 from shotloom.functions.text import let
 from shotloom.operators.enrich import enrich_memoised
 from shotloom.operators.ordered import attach_stats, global_rank, hash_order, rank_in_group
-from shotloom.operators.pairs import SIM_SCALE, block_topk
+from shotloom.operators.pairs import block_topk
 from shotloom.session import stage
 
 
@@ -125,7 +125,7 @@ def retrieval_reward(shot_vectors: DataFrame, episode_vectors: DataFrame, top_k:
     episode = ["drama", "episode"]
     right = episode_vectors.select(*episode, F.col("item").cast("string").alias("item"), F.col("vec").alias("item_vec"))
     best = block_topk(left.select("lid", "vec", *episode), right, episode, "lid", "vec", "item", "item_vec", top_k)
-    score = F.col("q") / SIM_SCALE
+    score = F.col("score")
     own_key = F.regexp_replace(F.regexp_replace("lid", "^(own|neg)@", ""), "#[^#]*$", "")
     means = best.groupBy(own_key.alias("_key")).agg(
         F.avg(F.when(F.col("lid").startswith("own@"), score)).alias("pos"),

@@ -155,14 +155,14 @@ PACKAGE_ITEMS = "select shot_id as item_id, drama::varchar as drama, episode, 'k
 
 @query("retrieval_package", sql(f"""
     with it as ({PACKAGE_ITEMS}),
-    f as (select q.shot_id as query_id, q.drama, q.episode, q.shot_index, q.vec_id, i.shot_id as item_id, ROUND(list_dot_product(q.t, i.img) * 1e7) / 1e7 as score,
-        row_number() over (partition by q.shot_id order by ROUND(list_dot_product(q.t, i.img) * 1e7) desc, i.shot_id)::int as rank
+    f as (select q.shot_id as query_id, q.drama, q.episode, q.shot_index, q.vec_id, i.shot_id as item_id, list_dot_product(q.t, i.img) as score,
+        row_number() over (partition by q.shot_id order by list_dot_product(q.t, i.img) desc, i.shot_id)::int as rank
       from (select *, list_transform(text, lambda x: x / greatest(sqrt(list_dot_product(text, text)), 1e-12)) as t from shots) q, imgs i),
     m as (select f.*, it.drama as d, it.episode as e, it.keyframe, case when hash_d % 2 = 0 then 'd/' || item_id || '.png' end as depth_image,
         case when hash_d % 3 > 0 then 'p/' || item_id || '.png' end as pose_image
       from f join (select *, ('0x' || substr(md5(item_id), 1, 15))::bigint as hash_d from it) it using (item_id) where rank <= 3),
     n as (select *, 'in_v' || drama || printf('_s%03d', episode) || printf('_k%03d', case when shot_index % 2 = 0 then shot_index else vec_id end) as tid from m)
-    select query_id, rank, score, item_id, d as drama, e as episode, keyframe, depth_image, pose_image,
+    select query_id, rank, round(score, 6) as score, item_id, d as drama, e as episode, keyframe, depth_image, pose_image,
       case when rank = 1 then tid end as task_id, case when rank = 1 then case when depth_image is not null and pose_image is not null then 'ready' else 'missing_controls' end end as status,
       case when rank = 1 then {_lit(T.CONTROL_HEAD)} || query_id || {_lit(T.CONTROL_HINT)} || case when depth_image is null and pose_image is null then {_lit(T.CONTROL_NONE)}
         else concat_ws('，', case when depth_image is not null then {_lit(T.CONTROL_DEPTH)} end, case when pose_image is not null then {_lit(T.CONTROL_POSE)} end) end || {_lit(T.CONTROL_TAIL)} end as vlm_prompt,
@@ -181,4 +181,4 @@ def _package(spark, sf):
     h = hash_int("item_id")
     images = index.select("item_id", F.when(h % 2 == 0, F.concat(F.lit("d/"), "item_id", F.lit(".png"))).alias("depth_image"),
                           F.when(h % 3 > 0, F.concat(F.lit("p/"), "item_id", F.lit(".png"))).alias("pose_image"))
-    return K.retrieval_package(queries, index, images, 3).drop("duration")
+    return K.retrieval_package(queries, index, images, 3).drop("duration").withColumn("score", V.r6(F.col("score")))

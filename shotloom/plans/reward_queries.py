@@ -90,7 +90,7 @@ def _duck_reward(shots_cte: str, k: int) -> str:
     """``got`` from a CTE of (completion, pos, drama, episode, t): top-k means against own and contrast episode."""
     def side(name, drama, episode, join):
         return f"""{name} as (select completion, avg(s) as v from (select *, row_number() over (partition by completion, pos
-            order by s desc, shot_id) as rk from (select c.completion, c.pos, i.shot_id, ROUND(list_dot_product(c.t, i.img) * 1e7) / 1e7 as s
+            order by s desc, shot_id) as rk from (select c.completion, c.pos, i.shot_id, list_dot_product(c.t, i.img) as s
             from {shots_cte} c {join} join imgs i on i.drama = {drama} and i.episode = {episode})) where rk <= {k} group by completion)"""
     return f"""{NEG}, {side('own', 'c.drama', 'c.episode', '')},
         {side('neg', 'n.neg_drama', 'n.neg_episode', 'join negs n on n.drama = c.drama and n.episode = c.episode')},

@@ -15,16 +15,17 @@ R6 = "round({}, 6) + 0.0"
 
 
 @query("retrieve_topk", sql("""
-    select query_id, item_id, s as score, rank from (
-      select q.shot_id as query_id, i.shot_id as item_id, round(list_dot_product(q.t, i.img) * 1e7) / 1e7 as s,
-        row_number() over (partition by q.shot_id order by round(list_dot_product(q.t, i.img) * 1e7) desc, i.shot_id) as rank
+    select query_id, item_id, round(s, 6) as score, rank from (
+      select q.shot_id as query_id, i.shot_id as item_id, list_dot_product(q.t, i.img) as s,
+        row_number() over (partition by q.shot_id order by list_dot_product(q.t, i.img) desc, i.shot_id) as rank
       from (select shot_id, list_transform(text, lambda x: x / greatest(sqrt(list_dot_product(text, text)), 1e-12)) as t
             from shots) q, imgs i)
     where rank <= 5"""))
 def _retrieve_topk(spark, sf):
     s = B.shots(spark, sf)
-    return retrieve_topk(s.select(F.col("shot_id").alias("query_id"), F.col("text").alias("vec")),
+    found = retrieve_topk(s.select(F.col("shot_id").alias("query_id"), F.col("text").alias("vec")),
                           s.select(F.col("shot_id").alias("item_id"), V.fuse_mean(F.col("depth"), F.col("pose")).alias("vec")))
+    return found.withColumn("score", V.r6(F.col("score")))
 
 
 @query("vec_normalize", sql("""

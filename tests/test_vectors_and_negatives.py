@@ -1,9 +1,12 @@
+from functools import reduce
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from shotloom.operators import metrics as M
 from shotloom.operators import negatives as N
+from shotloom.operators import pairs
 from shotloom.operators.pairs import quantise, unit_rows
 from shotloom.operators.retrieval import retrieve_topk
 
@@ -58,15 +61,41 @@ def test_equal_similarities_leave_nothing(spark):
         assert N.mine_hard_negatives(df, topk=3, block=block).count() == 0
 
 
+def _plain_topk(vectors, k):
+    """Per row the k best of all, by sums from the first component to the last."""
+    unit = unit_rows([np.array(v) for v in vectors.values()], 1e-12)
+    names, out = list(vectors), set()
+    for a, u in enumerate(unit):
+        score = [reduce(lambda t, xy: t + float(xy[0]) * float(xy[1]), zip(u, v), 0.0) for v in unit]
+        order = sorted(range(len(names)), key=lambda b: (-score[b], names[b]))[:k]
+        out |= {(names[a], names[b], r + 1, score[b]) for r, b in enumerate(order)}
+    return out
+
+
 @pytest.mark.parametrize("block", [4096, 7])
 def test_topk_in_blocks(spark, block):
-    rows, df = _corpus(spark, {"a": [30], "b": [12]}, copies=8)
-    got = retrieve_topk(df.select(F.col("shot_id").alias("query_id"), "vec"), df.select(F.col("shot_id").alias("item_id"), "vec"), 5, block)
-    unit = unit_rows([np.array(r[4]) for r in rows])
-    q = quantise(unit @ unit.T)
-    want = {(rows[a][0], rows[b][0], k + 1) for a in range(len(rows)) for k, b in enumerate(
-        sorted(range(len(rows)), key=lambda b: (-q[a, b], rows[b][0]))[:5])}
-    assert {(r["query_id"], r["item_id"], r["rank"]) for r in got.collect()} == want
+    rows, _ = _corpus(spark, {"a": [30], "b": [12]}, copies=8)
+    vectors = {r[0]: r[4] for r in rows}
+    for n in range(6):  # ties that only full doubles tell apart
+        vectors[f"near{n}"] = [x + (1e-10 * n if j == 2 else 0.0) for j, x in enumerate(rows[20][4])]
+    df = spark.createDataFrame(list(vectors.items()), f"item_id string, {VEC}")
+    got = retrieve_topk(df.withColumnRenamed("item_id", "query_id"), df, 5, block)
+    assert {(r["query_id"], r["item_id"], r["rank"], r["score"]) for r in got.collect()} == _plain_topk(vectors, 5)
+
+
+def test_cells_out_of_reach_are_not_visited(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 16)) * 4
+    vectors = {f"v{i:03d}": (centres[i % 12] + rng.normal(size=16) * 0.3).tolist() for i in range(360)}
+    df = spark.createDataFrame(list(vectors.items()), f"item_id string, {VEC}")
+    pivots = pairs._pivots(df, "item_id", "vec", 36)
+    _, cells = pairs.cells_of(df, [], "vec", pivots)
+    every = pairs.visits(df, cells, [], "item_id", "vec", pivots)
+    got = retrieve_topk(df.withColumnRenamed("item_id", "query_id"), df, 5, 10)
+    assert {(r["query_id"], r["item_id"], r["rank"], r["score"]) for r in got.collect()} == _plain_topk(vectors, 5)
+    floor = {q: min(s for p, _, _, s in _plain_topk(vectors, 5) if p == q) for q in list(vectors)[:1]}
+    reach = every.filter(F.col("item_id") == "v000").filter(F.col("_bound") >= floor["v000"]).count()
+    assert every.count() == 360 * cells.count() and reach < cells.count() / 2
 
 
 def test_topk_of_a_small_index(spark):
