@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotloom.functions import vectors as V
@@ -116,58 +116,72 @@ def detect_scene_cuts(frames: DataFrame, threshold: float = 30.0, adaptive: floa
     return suppress_near(strong.select("video", "frame_no", "diff"), min_len, chunk)
 
 
-def _spaced(frames_in_order: Column, gap: int, entry: Column) -> Column:
-    """Frames kept by the forward distance rule after a last kept frame ``entry``."""
-    start = F.struct(entry.cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("kept"))
-    return F.aggregate(frames_in_order, start, lambda acc, x: F.when(
-        x - acc["last"] >= gap, F.struct(x.alias("last"), F.concat(acc["kept"], F.array(x)).alias("kept"))).otherwise(acc))["kept"]
+def _followers(pos: np.ndarray, gap: int) -> np.ndarray:
+    """Index of the first point at least ``gap`` after each, or the number of points; that number leads to itself."""
+    return np.append(np.searchsorted(pos, pos + gap), len(pos))
+
+
+def _last_kept(follow: np.ndarray) -> np.ndarray:
+    """The last point on the way from each point, by doubling the step until nothing moves."""
+    end = len(follow) - 1
+    ahead = np.where(follow < end, follow, np.arange(end + 1))
+    while (further := ahead[ahead]).tolist() != ahead.tolist():
+        ahead = further
+    return ahead[:end]
+
+
+def _way(follow: np.ndarray, start: int) -> np.ndarray:
+    """All points on the way from ``start``, by doubling: whatever is 2^k steps after a point found before."""
+    seen = np.zeros(len(follow), bool)
+    seen[start] = True
+    while True:
+        more = seen.copy()
+        more[follow[seen]] = True
+        if (more == seen).all():
+            return seen[:-1]
+        seen, follow = more, follow[follow]
 
 
 def keep_spaced(points: DataFrame, gap: int, chunk: int = CHUNK) -> DataFrame:
     """In frame order keep a point if it is at least ``gap`` after the last kept one.
 
-    A chunk holds at most ``chunk`` points, so it is folded as one array.  What it keeps
-    depends on the chunks before only through the last point kept, and on that only when it
-    is nearer than ``gap``.  In a video of several chunks each chunk tabulates its last kept
-    point for every such entry, and a pass over these short tables gives each its entry.
+    The kept points are the way of the first one under "the next point at least ``gap`` later".  A chunk
+    of frames depends on those before only through how far back the last kept point lies, 1 to ``gap``
+    frames; so each chunk is a table of ``gap`` exits, tables of neighbours combine into one, and
+    doubling the reach gives every chunk its entry in as many joins as the chunk count has bits.
     """
     video = points.schema["video"].dataType.simpleString()
-    lists = stage(points.select("video", "frame_no").withColumn("_c", F.floor(F.col("frame_no") / chunk))
-                  .groupBy("video", "_c").agg(F.sort_array(F.collect_list("frame_no")).alias("_l")))
-    long = lists.groupBy("video").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("video")
-    free = F.lit(-gap)
-
-    def folded(df: DataFrame, entry: Column) -> DataFrame:
-        return df.select("video", F.explode(_spaced(F.col("_l"), gap, entry)).alias("frame_no"))
-
-    if long.isEmpty():
-        return folded(lists, free)
+    rows = stage(points.select("video", F.col("frame_no").cast("bigint").alias("frame_no"),
+                               F.floor(F.col("frame_no") / chunk).alias("_c")))
 
     def exits(table: pa.Table) -> pa.Table:
-        start, pos = table["_c"][0].as_py() * chunk, np.asarray(table["_l"][0].as_py())
-        nxt = np.searchsorted(pos, pos + gap)
-        last = pos.copy()
-        for i in range(len(pos) - 1, -1, -1):
-            if nxt[i] < len(pos):
-                last[i] = last[nxt[i]]
-        after = np.searchsorted(pos, start - np.arange(1, gap + 1) + gap)   # entry lies 1..gap frames before the chunk
-        ends = [int(last[i]) if i < len(pos) else -1 for i in after]
-        return pa.table({"video": table["video"], "_c": table["_c"], "_exit": pa.array([ends], pa.list_(pa.int64()))})
-
-    def chain(table: pa.Table) -> pa.Table:
-        table = table.sort_by("_c")
-        last, entries = -gap, []
-        for c, ends in zip(table["_c"].to_pylist(), table["_exit"].to_pylist()):
-            entries.append(last)
-            out = ends[min(c * chunk - last, gap) - 1]
-            last = out if out >= 0 else last
-        return pa.table({"video": table["video"], "_c": table["_c"], "_entry": pa.array(entries, pa.int64())})
-
-    several = lists.join(long, "video", "left_semi")
-    tables = several.groupBy("video", "_c").applyInArrow(exits, f"video {video}, _c bigint, _exit array<bigint>")
-    entries = tables.groupBy("video").applyInArrow(chain, f"video {video}, _c bigint, _entry bigint")
-    return folded(lists.join(long, "video", "left_anti"), free).unionByName(
-        folded(several.join(entries, ["video", "_c"]), F.col("_entry")))
+        c, pos = table["_c"][0].as_py(), np.unique(table["frame_no"].to_numpy())
+        first = np.searchsorted(pos, c * chunk - np.arange(1, gap + 1) + gap)
+        last = np.append(_last_kept(_followers(pos, gap)), -1)[first]
+        back = np.where(first < len(pos), (c + 1) * chunk - np.append(pos, 0)[last], np.arange(1, gap + 1) + chunk)
+        return pa.table({"video": table["video"][:1], "_c": table["_c"][:1],
+                         "_exit": pa.array([np.minimum(back, gap)], pa.list_(pa.int64()))})
+
+    def kept(table: pa.Table) -> pa.Table:
+        c, back, pos = table["_c"][0].as_py(), table["_back"][0].as_py(), np.unique(table["frame_no"].to_numpy())
+        seen = _way(_followers(pos, gap), int(np.searchsorted(pos, c * chunk - back + gap)))
+        return pa.table({"video": pa.array([table["video"][0].as_py()] * int(seen.sum()), table["video"].type), "frame_no": pos[seen]})
+
+    order = Window.partitionBy("video").orderBy("_c")  # one row per chunk
+    hole = F.coalesce((F.lead("_c").over(order) - F.col("_c") - 1) * chunk, F.lit(0))
+    tables = rows.groupBy("video", "_c").applyInArrow(exits, f"video {video}, _c bigint, _exit array<bigint>")
+    tables = stage(tables.withColumns({"_k": F.row_number().over(order) - 1, "_hole": hole}).withColumn(
+        "_exit", F.transform("_exit", lambda d: F.least(d + F.col("_hole"), F.lit(gap)))).drop("_hole"))
+    reach = tables.select("video", "_k", "_exit")
+    for j in range((tables.agg(F.max("_k")).first()[0] or 0).bit_length()):
+        before = reach.select("video", (F.col("_k") + (1 << j)).alias("_k"), F.col("_exit").alias("_before"))
+        joined = F.when(F.col("_before").isNull(), F.col("_exit")).otherwise(
+            F.transform("_before", lambda d: F.element_at("_exit", d.cast("int"))))
+        reach = stage(reach.join(before, ["video", "_k"], "left").select("video", "_k", joined.alias("_exit")))
+    entries = reach.select("video", (F.col("_k") + 1).alias("_k"), F.element_at("_exit", gap).alias("_in"))
+    starts = tables.select("video", "_c", "_k").join(entries, ["video", "_k"], "left").select(
+        "video", "_c", F.coalesce("_in", F.lit(gap)).alias("_back"))
+    return rows.join(starts, ["video", "_c"]).groupBy("video", "_c").applyInArrow(kept, f"video {video}, frame_no bigint")
 
 
 def detect_flash_cuts(frames: DataFrame, threshold: float = 230.0, shift: int = 20, min_len: int = 15,
