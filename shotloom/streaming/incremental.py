@@ -48,25 +48,28 @@ def start_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], c
             .trigger(availableNow=True).start())
 
 
-def stream_pending(inputs: DataFrame, keys: Sequence[str], work: Callable[[DataFrame], DataFrame], output_schema: StructType,
-                   output: str, checkpoint: str, finished: DataFrame | None = None) -> StreamingQuery:
-    """Run ``work`` on inputs that neither ``finished`` nor an earlier batch has covered."""
+def stream_pending(inputs: DataFrame, keys: Sequence[str], work: Callable[[DataFrame], DataFrame], output: str,
+                   checkpoint: str, finished: DataFrame | None = None) -> StreamingQuery:
+    """Run ``work`` once per key on inputs that neither ``finished`` nor an earlier batch has covered.
+
+    The keys seen so far are the state of the stream, split by key; a batch looks up its own keys there and
+    never reads what earlier batches wrote.
+    """
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        done = read_log(spark, output, output_schema).filter(F.col("batch_id") != batch_id).select(*keys)
-        todo = batch.dropDuplicates(list(keys))
-        if finished is not None:
-            todo = pending_work(todo, finished, keys)
-        _write_batch(work(pending_work(todo, done, keys)), batch_id, output)
+        todo = stage(batch)  # the state is read once
+        _write_batch(work(pending_work(todo, finished, keys) if finished is not None else todo), batch_id, output)
 
-    return start_batches(inputs, handle, checkpoint)
+    return start_batches(inputs.dropDuplicates(list(keys)), handle, checkpoint)
 
 
 def stream_rewards(completions: DataFrame, episode_vectors: DataFrame, embed: Callable, judge: Callable, output: str,
                    checkpoint: str, carry: Sequence[str] = ("step",), key: str = "completion",
-                   negatives: DataFrame | None = None, **options) -> StreamingQuery:
+                   negatives: DataFrame | None = None, sums: str | None = None, step: str = "step", **options) -> StreamingQuery:
     """Score completions as they arrive and append them to the log at ``output``.
 
+    ``sums`` is a folder for the sums per training step of each batch, which ``merge_steps`` adds up: a report costs
+    a row per step and batch, and a replayed batch replaces its own sums.
+
     A score depends on the completion and static tables alone, so a batch gives what the batch
     job gives.  The contrast episodes are chosen once, from all episodes; a batch reads only the
     frames of its own episodes and of those they are contrasted with.
@@ -81,11 +84,25 @@ def stream_rewards(completions: DataFrame, episode_vectors: DataFrame, embed: Ca
         frames = episode_vectors.join(own.unionByName(against).distinct(), episode, "left_semi")
         scored = reward_completions(rows, frames, embed, judge, key=key, negatives=pairs, **options)
         _write_batch(scored.join(rows.select(key, *carry), key), batch_id, output)
+        if sums is not None:
+            written = batch.sparkSession.read.parquet(f"{output}/batch_id={batch_id}")
+            _write_batch(step_sums(written, step), batch_id, sums)
 
     return start_batches(completions, handle, checkpoint)
 
 
+def step_sums(log: DataFrame, step: str = "step") -> DataFrame:
+    """Completions and sums of reward, format reward and shots per training step."""
+    return log.groupBy(step).agg(F.count(F.lit(1)).alias("completions"), *[F.sum(c).alias(c) for c in ("reward", "r_format", "n_shots")])
+
+
+def merge_steps(sums: DataFrame, step: str = "step") -> DataFrame:
+    """Mean reward and parts per training step, from ``step_sums`` of any number of batches."""
+    n = F.sum("completions")
+    return sums.groupBy(step).agg(n.alias("completions"), (F.sum("reward") / n).alias("reward"),
+                                  (F.sum("r_format") / n).alias("r_format"), F.sum("n_shots").alias("n_shots"))
+
+
 def step_report(log: DataFrame, step: str = "step") -> DataFrame:
-    """Mean reward and parts per training step."""
-    return log.groupBy(step).agg(F.count(F.lit(1)).alias("completions"), F.avg("reward").alias("reward"),
-                                 F.avg("r_format").alias("r_format"), F.sum("n_shots").alias("n_shots"))
+    """``merge_steps`` of a whole log."""
+    return merge_steps(step_sums(log, step), step)

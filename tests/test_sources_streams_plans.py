@@ -1,5 +1,6 @@
 import json
 import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -136,7 +137,7 @@ def test_stream_pending_resumes_and_does_nothing_twice(spark, tmp_path):
     finished = spark.createDataFrame([(3,)], "task long")
 
     def run():
-        S.stream_pending(S.file_stream(spark, src, schema, files_per_batch=1), ["task"], lambda df: df, schema, out, ck, finished).awaitTermination()
+        S.stream_pending(S.file_stream(spark, src, schema, files_per_batch=1), ["task"], lambda df: df, out, ck, finished).awaitTermination()
         return sorted(r["task"] for r in S.read_log(spark, out, schema).collect())
 
     spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], schema).coalesce(1).write.mode("append").parquet(src)
@@ -144,6 +145,21 @@ def test_stream_pending_resumes_and_does_nothing_twice(spark, tmp_path):
     assert run() == [1, 2, 4]
     spark.createDataFrame([(1, "again"), (5, "e")], schema).coalesce(1).write.mode("append").parquet(src)
     assert run() == [1, 2, 4, 5]
+    assert forget_last_batch(ck) == 2
+    assert run() == [1, 2, 4, 5] == run()  # the replayed batch replaces what it wrote
+    import shutil
+    shutil.rmtree(out)  # the state knows the keys, not the output
+    spark.createDataFrame([(5, "again"), (6, "f"), (3, "x")], schema).coalesce(1).write.mode("append").parquet(src)
+    assert run() == [6]
+
+
+def forget_last_batch(checkpoint):
+    """Remove the commit of the last batch, as if the job had stopped before it."""
+    commits = Path(checkpoint) / "commits"
+    last = max(int(f.name) for f in commits.iterdir() if f.name.isdigit())
+    for f in commits.glob(f"*{last}*"):
+        f.unlink()
+    return last
 
 
 def test_streamed_rewards_equal_the_batch(spark, tmp_path):
@@ -160,8 +176,16 @@ def test_streamed_rewards_equal_the_batch(spark, tmp_path):
     def judge(texts):
         return [sum(map(ord, t)) % 10 / 10 for t in texts]
 
-    out = str(tmp_path / "out")
-    S.stream_rewards(S.file_stream(spark, src, schema, files_per_batch=1), frames, embed, judge, out, str(tmp_path / "ck")).awaitTermination()
+    out, sums, ck = (str(tmp_path / n) for n in ("out", "sums", "ck"))
+
+    def run():
+        S.stream_rewards(S.file_stream(spark, src, schema, files_per_batch=1), frames, embed, judge, out, ck, sums=sums).awaitTermination()
+        return sorted(map(tuple, S.merge_steps(spark.read.parquet(sums)).collect()))
+
+    report = run()
+    assert report == [pytest.approx(r) for r in sorted(map(tuple, S.step_report(spark.read.parquet(out)).collect()))]
+    forget_last_batch(ck)
+    assert run() == report and spark.read.parquet(sums).select("batch_id").distinct().count() == 2
     log = spark.read.parquet(out)
     assert log.select("batch_id").distinct().count() == 2
     got = {r["completion"]: r["reward"] for r in log.collect()}
