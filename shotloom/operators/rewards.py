@@ -73,14 +73,14 @@ def validate_indexed_scores(responses: DataFrame, fallback: float = 0.5) -> Data
     usable = F.forall(scored, lambda e: e["score"].try_cast("double").isNotNull()
                       & F.coalesce(e["index"], F.lit("0")).try_cast("int").isNotNull())
     number = lambda e: F.coalesce(e["index"], F.lit("0")).try_cast("int")
+    entries = F.transform(scored, lambda e, at: F.struct(number(e).alias("i"), at.alias("at"), e["score"].try_cast("double").alias("s")))
+    # Sorted by index and place: the last of an index is followed by another one.  A complete chunk then has index i at place i - 1.
+    last = let(F.sort_array(entries), lambda v: F.filter(v, lambda x, k: F.coalesce(F.get(v, k + 1)["i"] != x["i"], F.lit(True))))
+    inside = F.filter(last, lambda x: x["i"].between(1, F.col("expected")))
+    table = responses.select("chunk", "expected", F.when(usable, inside).alias("e"))
     wanted = F.sequence(F.lit(1), F.col("expected").cast("int"))
-    # Whether a chunk is complete is found once, before its rows are made.
-    table = responses.select("chunk", "expected", F.when(usable, F.transform(scored, lambda e: F.struct(
-        number(e).alias("i"), e["score"].try_cast("double").alias("s")))).alias("e"))
-    complete = F.size(F.array_except(wanted, F.transform("e", lambda x: x["i"]))) == 0
-    rows = table.select("chunk", F.coalesce(complete, F.lit(False)).alias("ok"), "e", F.explode(wanted).alias("index"))
-    last = F.element_at(F.filter("e", lambda x: x["i"] == F.col("index")), -1)["s"]
-    value = F.when(F.col("ok"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), last))).otherwise(fallback)
+    rows = table.select("chunk", F.coalesce(F.size("e") == F.col("expected"), F.lit(False)).alias("ok"), "e", F.explode(wanted).alias("index"))
+    value = F.when(F.col("ok"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.get("e", F.col("index") - 1)["s"]))).otherwise(fallback)
     return rows.select("chunk", "index", value.alias("score"), (~F.col("ok")).alias("fallback"))
 
 
