@@ -132,6 +132,49 @@ def test_fingerprints(spark):
     assert same.select(fingerprint.likeness_of(F.col("a"), F.col("b"))).first()[0] == one.near_edited
 
 
+def plain_codes(text, buckets):
+    """Length code and bucket codes, byte by byte."""
+    data, counts = (text or "").encode(), [0] * buckets
+    for p in range(len(data)):
+        for salt, places in enumerate(((0, 3, 6), (0, 4, 7), (0, 5, 9), (0, 2, 8), (0, 6, 11))):
+            if p + places[2] < len(data):
+                x = sum(data[p + k] << 8 * n for n, k in enumerate(places)) + ((salt + 1) << 24)
+                for factor in (0x7FEB352D, 0x846CA68B):
+                    x = (x ^ x >> (16 if factor == 0x7FEB352D else 15)) * factor % 2**32
+                counts[(x ^ x >> 16) % buckets] += 1
+    ranked = sorted(counts)
+
+    def quartile(q):
+        at = (buckets - 1) * q / 4
+        low = int(at)
+        return ranked[low] + (ranked[min(low + 1, buckets - 1)] - ranked[low]) * (at - low)
+
+    length = 0
+    while 1.1 ** (length + 1) <= len(data) + 1 and length < 255:
+        length += 1
+    return length, [sum(n > quartile(q) for q in (1, 2, 3)) for n in counts]
+
+
+def plain_likeness(left, right):
+    (a, x), (b, y) = left, right
+    apart = sum((0, 1, 2, 6)[abs(i - j)] for i, j in zip(x, y)) + min(abs(a - b), 16) * len(x) / 256
+    return max(0.0, 1.0 - apart / (2.0 * len(x)))
+
+
+def test_fingerprints_equal_a_plain_count(monkeypatch):
+    texts = ["", "a", "abcdefghijk", "abcdefghijkl", "Straße 𝔘 naïve " * 30, "some words that stay the same " * 40, "0123456789" * 150]
+    for span in (7, 64, 1 << 20):
+        monkeypatch.setattr(fingerprint, "SPAN", span)
+        for text in texts:
+            length, codes = plain_codes(text, fingerprint.BUCKETS)
+            got = fingerprint.digest(text)
+            assert got[0] == length and [b >> s & 3 for b in got[1:] for s in (6, 4, 2, 0)] == codes
+    for one in texts:
+        for other in texts:
+            assert fingerprint.likeness(fingerprint.digest(one), fingerprint.digest(other)) == pytest.approx(
+                plain_likeness(plain_codes(one, 1024), plain_codes(other, 1024)))
+
+
 def test_fingerprint_neighbours_over_many_tasks(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
