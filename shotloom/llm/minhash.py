@@ -359,10 +359,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
 
     inside = _pieces(labelled(buckets.drop("leader"), "node", "label", labels), threshold)
     rest = stars.join(best.select("x", "y"), ["x", "y"], "left_anti")
-    near = link(labels, rest.select("x", "y", F.col("bands").alias("weight")).unionByName(inside.withColumn("weight", F.lit(0).cast("bigint"))))
+    low, high = F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")
+    tried = stage(rest.select(low, high, F.col("bands").alias("weight")).unionByName(
+        inside.select(low, high, F.lit(0).cast("bigint").alias("weight"))))
+    near = link(labels, tried)
     crowd = _crowded(labelled(buckets.select("band", "key", "node"), "node", "label", near))
     texts = known.withColumnRenamed("a", "node").join(crowd, "node")
-    final = link(near, _across(texts, threshold, width))
+    # A pair that was tried before and still has two labels is no link; it is not looked at again.
+    done = tried.select("x", "y").union(best.select(low, high)).distinct()
+    final = link(near, _across(texts, threshold, width).join(done, ["x", "y"], "left_anti"))
     # Only contents with copies or links need a look-up; the rest are classes of their own.
     tagged = contents.select("a", "id", "rep", "copies").join(
         final.withColumnRenamed("node", "a"), "a", "left").filter("copies > 1 or label is not null")
