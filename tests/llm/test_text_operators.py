@@ -115,32 +115,6 @@ def test_markov_models_tell_random_strings_from_identifiers(spark):
     assert not any(got[i] for i in range(30, len(tests)))
 
 
-def test_secrets_of_a_text_with_many_matches(spark):
-    import time
-    lines = "".join(f"{i:016x} token={i:020d}.\n" for i in range(50_000))  # 100,000 matches
-    odd = "xx\x01" + "Zq9" * 8 + "\x01 AKIA" + "Q7" * 9 + "zz password: 'abcdefghijkl.mnop' " + "f" * 16 + "_" + "Kq3X" * 6
-    model = secret_scan.train(secret_scan.samples_from(awkward(spark, SECRETS)))
-    start = time.time()
-    got = {r.doc_id: [(s.kind, s.start, s.stop) for s in r.spans if s.kind != "markov"]
-           for r in secret_scan.scan(awkward(spark, [(1, lines, ""), (2, odd, "")]), model).collect()}
-    assert time.time() - start < 40
-    assert got == {1: plain_secrets(lines), 2: plain_secrets(odd)} and len(got[1]) >= 100_000
-
-
-def test_markov_tokens_overlap_no_base_span(spark):
-    import random
-    rng = random.Random(12)
-    parts = ["password=", "token: ", "AKIA" + "Q7" * 9, "0123456789abcdef01", "Zq9Xk2Lm8Rt5Wv1B", "secret", "api_key='", ".", " ", "=", "-", "abcdefghijkl"]
-    rows = [(i, "".join(rng.choices(parts, k=12)), "") for i in range(200)]
-    everything = [-1.0] * 0 + [1.0] * (128 * 128)  # every token is a secret
-    runs = re.compile("[A-Za-z0-9+/_=-]{16,}")
-    for r in secret_scan.scan(awkward(spark, rows), everything, per_char=0.0, in_all=0.0).collect():
-        text = rows[r.doc_id][1]
-        base = [(a, b) for _, a, b in plain_secrets(text)]
-        want = [(m.start(), m.end()) for m in runs.finditer(text) if not any(a < m.end() and m.start() < b for a, b in base)]
-        assert [(s.start, s.stop) for s in r.spans if s.kind == "markov"] == want
-
-
 def test_secrets_empty(spark):
     model = secret_scan.train(secret_scan.samples_from(empty(spark)))
     assert secret_scan.scan(empty(spark), model).count() == 0
