@@ -238,3 +238,31 @@ def test_draws_are_uniform(spark):
             pairs |= {y - x for x, y in zip(at, at[1:])}
     chi = sum((seen.get(f"s{i}", 0) - 30) ** 2 / 30 for i in range(60))
     assert chi < 100 and len(pairs) > 25  # 59 degrees of freedom; steps of every length
+
+
+def test_small_groups_meet_at_once(spark, monkeypatch):
+    """Groups of up to a block are not cut into cells, however many rows the right side has in all."""
+    rng = np.random.default_rng(5)
+    vecs = rng.normal(size=(90, 4))
+    rows = [(f"i{i:02d}", i % 9, vecs[i].tolist()) for i in range(90)]
+    right = spark.createDataFrame(rows, "item string, g int, item_vec array<double>")
+    left = spark.createDataFrame([(f"q{i}", g, v) for i, g, v in rows], "q string, g int, vec array<double>")
+    monkeypatch.setattr(pairs, "visits", None)
+    got = {(r["q"], r["rank"]): r["item"] for r in pairs.block_topk(left, right, ["g"], "q", "vec", "item", "item_vec", 2, block=10).collect()}
+    unit = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
+    want = {}
+    for i in range(90):
+        own = [j for j in range(90) if j % 9 == i % 9]
+        for rank, j in enumerate(sorted(own, key=lambda j: (-(unit[i] @ unit[j]), j))[:2], 1):
+            want[f"qi{i:02d}", rank] = f"i{j:02d}"
+    assert got == want
+
+
+def test_small_and_large_groups_together(spark):
+    rng = np.random.default_rng(6)
+    vecs = rng.normal(size=(70, 4))
+    rows = [(f"i{i:02d}", int(i >= 60), vecs[i].tolist()) for i in range(70)]
+    right = spark.createDataFrame(rows, "item string, g int, item_vec array<double>")
+    left = spark.createDataFrame([(f"q{i}", g, v) for i, g, v in rows], "q string, g int, vec array<double>")
+    got = {r["q"]: r["item"] for r in pairs.block_topk(left, right, ["g"], "q", "vec", "item", "item_vec", 1, block=16).collect()}
+    assert got == {f"qi{i:02d}": f"i{i:02d}" for i in range(70)}
