@@ -97,6 +97,15 @@ def test_retries_and_default(spark, tmp_path):
     assert {(r["result"], "1 results for 2" in r["error"] or "0 results for 1" in r["error"]) for r in rows.collect()} == {("none", True)}
 
 
+def test_answers_are_not_copied_for_the_join(spark):
+    """Answers join once, by a digest: no row of them is copied, and no text nobody asks for is sent."""
+    df = spark.createDataFrame([(i, f"text {i % 3}") for i in range(9)], "i int, p string")
+    rows, _ = enrich.enrich_memoised(df, "p", lambda items: [x[-1] for x in items], "string")
+    plan = rows.select("i", "result")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "_salt" not in plan
+    assert {r["i"]: r["result"] for r in rows.collect()} == {i: str(i % 3) for i in range(9)}
+
+
 # ---------------------------------------------------------------- rewards
 
 def _vectors(spark, rows):
