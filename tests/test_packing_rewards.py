@@ -106,6 +106,15 @@ def test_answers_are_not_copied_for_the_join(spark):
     assert {r["i"]: r["result"] for r in rows.collect()} == {i: str(i % 3) for i in range(9)}
 
 
+def test_rewards_do_not_write_the_completions(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(rewards, "stage", lambda df: written.append(df.columns) or df)
+    done = spark.createDataFrame([(1, 0, 0, "[{}]")], "completion int, drama int, episode int, text string")
+    frames = spark.createDataFrame([("a", 0, 0, [1.0, 0.0])], "item string, drama int, episode int, vec array<double>")
+    rewards.reward_completions(done, frames, lambda t: [[1.0, 0.0] for _ in t], lambda t: [0.5 for _ in t])
+    assert not any(c in columns for columns in written for c in ("text", "items"))
+
+
 # ---------------------------------------------------------------- rewards
 
 def _vectors(spark, rows):
