@@ -266,3 +266,19 @@ def test_small_and_large_groups_together(spark):
     left = spark.createDataFrame([(f"q{i}", g, v) for i, g, v in rows], "q string, g int, vec array<double>")
     got = {r["q"]: r["item"] for r in pairs.block_topk(left, right, ["g"], "q", "vec", "item", "item_vec", 1, block=16).collect()}
     assert got == {f"qi{i:02d}": f"i{i:02d}" for i in range(70)}
+
+
+def test_a_drama_beyond_4096_shots_is_one_pass(spark, monkeypatch):
+    """No counts per bin travel: anchors meet the whole drama, a few rows at a time."""
+    rng = np.random.default_rng(8)
+    vecs = rng.normal(size=(4200, 3))
+    df = spark.createDataFrame([(f"s{i:04d}", 1, i // 20, v.tolist()) for i, v in enumerate(vecs)],
+                               "shot_id string, drama long, episode long, vec array<double>")
+    monkeypatch.setattr(N, "_mine_blocks", None)
+    got = _lists(N.mine_hard_negatives(df, topk=3).filter("anchor < 's0005'"))
+    unit = unit_rows(vecs)
+    for a in range(5):
+        q = quantise(unit[a:a + 1] @ unit.T)[0]
+        limit = np.percentile(np.delete(q, a).astype(float), 90.0)
+        keep = sorted((b for b in range(4200) if b != a and q[b] < limit), key=lambda b: (-q[b], b))[:3]
+        assert got[f"s{a:04d}"] == [(f"s{b:04d}", int(q[b])) for b in keep]
