@@ -184,3 +184,13 @@ def test_pretty_map_and_messages(spark):
     assert df.select(P.pretty_map(F.col("m"))).first()[0] == json.dumps({"0": 'a"b', "1": ""}, indent=2)
     m = spark.range(1).select(P.chat_messages(F.lit("s"), F.lit("u"), F.lit(None).cast("string")).alias("m")).first()["m"]
     assert [x["role"] for x in m] == ["system", "user"]
+
+
+def test_few_texts_are_python_objects_at_once(monkeypatch):
+    import pyarrow as pa
+    held = []
+    monkeypatch.setattr(J, "FEW", 3)
+    many = pa.array([f"t{i}" if i % 4 else None for i in range(10)])
+    got = J._few_at_a_time(many, lambda t: held.append(t) or t.upper(), pa.string())
+    assert got.to_pylist() == [f"T{i}" if i % 4 else None for i in range(10)] and len(held) == 7
+    assert J._few_at_a_time(many.slice(0, 0), str.upper, pa.string()).to_pylist() == []
