@@ -35,10 +35,10 @@ def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
             .load(root).select("path", F.col("modificationTime").alias("modified"), "length"))
 
 
-def read_texts(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
-    """path, value: one row per file, as these documents are one JSON value each."""
+def read_texts(spark: SparkSession, path: str, pattern: str = "*.json", whole: bool = True) -> DataFrame:
+    """path, value: one row per file, as these documents are one JSON value each, or without ``whole`` one per line."""
     return (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
-            .text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"))
+            .text(path, wholetext=whole).select(F.col("_metadata.file_path").alias("path"), "value"))
 
 
 def read_infer_results(spark: SparkSession, path: str) -> DataFrame:

@@ -13,6 +13,7 @@ from shotloom.operators import packaging as K
 from shotloom.operators import rewards as R
 from shotloom.plans import QUERIES
 from shotloom.plans import bindings as B
+from shotloom.plans import file_queries
 from shotloom.session import shared_dir, stage
 from shotloom.sources import documents as D
 from shotloom.sources import sinks
@@ -62,6 +63,26 @@ def test_infer_results_and_runs(spark, tmp_path):
     assert last == {"a": ("done", 0.5), "b": ("failed", None)}
 
 
+@pytest.mark.parametrize("name", ["read_transcript_files", "read_timeline_files"])
+def test_written_documents_share_files(spark, name):
+    before = set(Path(shared_dir(spark)).rglob("*.txt"))
+    sf = "/root/testdata/sf0.01"
+    got = QUERIES[name](spark, sf)
+    source = B.transcripts(spark, sf).select("idx", "text", "drama", "episode") if "transcript" in name else None
+    files = set(Path(shared_dir(spark)).rglob("*.txt")) - before
+    assert 0 < len(files) <= 10 * spark.sparkContext.defaultParallelism < got.select("episode").distinct().count()
+    if source is not None:
+        kept = got.select(F.col("idx").cast("bigint").alias("idx"), "text", "drama", "episode")
+        assert kept.exceptAll(source).isEmpty() and source.exceptAll(kept).isEmpty()
+
+
+def test_documents_of_episodes_read_back_as_they_were(spark):
+    text = json.dumps({"0": "tab\t, line\nend \u2028 \r \\ \"q\"", "1": ""})
+    rows = [(1, 2, text), (1, 3, "{}"), (-4, 2, text)]
+    docs = spark.createDataFrame(rows, "drama long, episode long, value string")
+    assert sorted(map(tuple, file_queries._as_files(docs, "odd").collect())) == sorted(rows)
+
+
 def test_vector_layouts(spark):
     files = spark.createDataFrame([("e/depth_emb/d/1/keyframe_002.npy",), ("e/depth_emb/depth_emb/d/1/keyframe_002.npy",),
                                    ("e/pose_emb/d/1/keyframe_010.npy",), ("e/pose_emb/d/1/other.npy",)], "path string")
