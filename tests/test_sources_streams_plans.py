@@ -13,7 +13,7 @@ from shotloom.operators import packaging as K
 from shotloom.operators import rewards as R
 from shotloom.plans import QUERIES
 from shotloom.plans import bindings as B
-from shotloom.plans import file_queries
+from shotloom.plans import file_queries, stream_queries
 from shotloom.session import shared_dir, stage
 from shotloom.sources import documents as D
 from shotloom.sources import sinks
@@ -183,6 +183,16 @@ def forget_last_batch(checkpoint):
     return last
 
 
+def test_shares_of_a_stream_are_dealt_to_all_cores(spark):
+    rows = spark.range(4000).withColumnRenamed("id", "k")
+    stream = stream_queries.dealt_files(rows, spark, "shares", "k", 2)
+    seen = []
+    S.start_batches(stream, lambda batch, i: seen.append((batch.count(), batch.select(F.input_file_name()).distinct().count())),
+                    sinks.new_path(spark, "checkpoint")).awaitTermination()
+    cores = spark.sparkContext.defaultParallelism
+    assert [files for _, files in seen] == [cores, cores] and sum(n for n, _ in seen) == 4000
+
+
 def test_streamed_rewards_equal_the_batch(spark, tmp_path):
     schema = StructType().add("completion", LongType()).add("step", LongType()).add("drama", StringType()).add("episode", StringType()).add("text", StringType())
     rows = [(i, i % 2, "d", str(i % 2), f'[{{"index": 1, "background": "b{i}", "description_narrative": "n{i}"}}]') for i in range(6)]
