@@ -22,7 +22,7 @@ gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -173,35 +173,37 @@ def _sized(threshold: float, left: str = "weight", right: str = "_weight") -> Co
     return F.least(left, right) >= threshold * F.greatest(left, right) - 1e-6
 
 
-def _pieces(rows: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (x, y) of nodes with different labels that share a bucket and fit in size.
+def _pieces(rows: DataFrame, threshold: float = 0.0, columns: Sequence[str] = ("x", "y")) -> DataFrame:
+    """Pairs (x, y) of nodes with different labels (lx, ly) that share a bucket and fit in size.
 
-    ``rows`` have band, keys, node, label and weight.
+    ``rows`` have band, keys, node, label and, for a threshold, weight.
     Buckets of one label are done.  Those of at most PIECE members give their pairs; a larger one
     is cut by the next band of its members, and then by one more.  Members that agree in all these
     bands and are still more than PIECE are tied to their leader and to the next one in order.
     """
     found = None
+    rows = rows if "weight" in rows.columns else rows.withColumn("weight", F.lit(0))
     for depth in range(len(KEYS)):
         spot = ["band", *KEYS[:depth + 1]]
         stats = (rows.groupBy(*spot).agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"),
-                                         F.max("label").alias("hi"), F.min(F.struct("node", "weight")).alias("first"))
+                                         F.max("label").alias("hi"), F.min(F.struct("node", "weight", "label")).alias("first"))
                  .filter("lo < hi").select(*spot, "n", "first"))
         mixed = stage(rows.join(stage(stats), spot))
         small = mixed.filter(F.col("n") <= PIECE)
         other = small.select(*spot, F.col("node").alias("y"), F.col("label").alias("_other"), F.col("weight").alias("_weight"))
         pairs = small.join(other, spot).filter((F.col("node") < F.col("y")) & (F.col("label") != F.col("_other")) & _sized(threshold))
-        pairs = pairs.select(F.col("node").alias("x"), "y")
+        pairs = pairs.select(F.col("node").alias("x"), "y", F.col("label").alias("lx"), F.col("_other").alias("ly"))
         found = pairs if found is None else found.unionByName(pairs)
         rows = mixed.filter(F.col("n") > PIECE)
         if depth + 1 < len(KEYS):
             rows = rows.drop("n", "first")
-    star = rows.filter((F.col("node") != F.col("first.node")) & _sized(threshold, "weight", "first.weight")).select(
-        F.col("first.node").alias("x"), F.col("node").alias("y"))
+    star = rows.filter((F.col("label") != F.col("first.label")) & _sized(threshold, "weight", "first.weight")).select(
+        F.col("first.node").alias("x"), F.col("node").alias("y"), F.col("first.label").alias("lx"), F.col("label").alias("ly"))
     order = Window.partitionBy("band", *KEYS).orderBy("node")
-    chain = (rows.select(F.lag("node").over(order).alias("x"), F.col("node").alias("y"), "weight", F.lag("weight").over(order).alias("_weight"))
-             .filter(F.col("x").isNotNull() & _sized(threshold)).select("x", "y"))
-    return found.unionByName(star).unionByName(chain).distinct()
+    last = {name: F.lag(c).over(order).alias(name) for name, c in (("x", "node"), ("lx", "label"), ("_weight", "weight"))}
+    chain = (rows.select(*last.values(), F.col("node").alias("y"), F.col("label").alias("ly"), "weight")
+             .filter(F.col("x").isNotNull() & (F.col("lx") != F.col("ly")) & _sized(threshold)).select("x", "y", "lx", "ly"))
+    return found.unionByName(star).unionByName(chain).select(*columns).distinct()
 
 
 def _crowded(rows: DataFrame) -> DataFrame:
@@ -260,8 +262,8 @@ def _prefixes(width: int, threshold: float, common: np.ndarray):
 
 
 def _across(crowd: DataFrame, threshold: float, width: int) -> DataFrame:
-    """Pairs (x, y) with different labels of ``crowd`` (node, label, text) that share a prefix element and fit in size,
-    and as ``weight`` how many such elements they share.
+    """Pairs (x, y) with different labels (lx, ly) of ``crowd`` (node, label, text) that share a prefix element and fit in
+    size, and as ``weight`` how many such elements they share.
 
     The order of elements is by the count of their place, at most PLACES numbers that go to the
     tasks: any order is exact, this one keeps elements of a hot group out of most prefixes.
@@ -281,7 +283,7 @@ def _across(crowd: DataFrame, threshold: float, width: int) -> DataFrame:
     need = threshold / (1 + threshold) * (F.col("weight") + F.col("_weight"))
     fits = F.least("left", "_left") >= need - 1e-6
     return rows.join(other, "token").filter((F.col("node") < F.col("y")) & (F.col("label") != F.col("_other")) & fits).groupBy(
-        F.col("node").alias("x"), "y").agg(F.count(F.lit(1)).alias("weight"))
+        F.col("node").alias("x"), "y", F.col("label").alias("lx"), F.col("_other").alias("ly")).agg(F.count(F.lit(1)).alias("weight"))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, slots: int = SLOTS,
@@ -306,6 +308,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
     stats = stage(members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "weight")).alias("leader"))
                   .filter("n > 1").drop("n"))
     buckets = stage(members.join(stats, ["band", "key"]))
+    # A member with its buckets, at most one per band: what is told of a member is joined once.
+    held = stage(buckets.groupBy("node", "weight").agg(F.collect_list(F.struct("band", *KEYS)).alias("at")))
     alike, overlap = _likeness(slots), _overlaps(width)
     sigs = contents.select("a", "sig")
     # Five standard errors below the threshold: no pair at the threshold is lost to the estimate.
@@ -346,9 +350,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
             merged.join(labels, "node", "left_anti").select("node", "label"))
 
     def link(labels: DataFrame, pairs: DataFrame) -> DataFrame:
-        """Merge labels over ``pairs`` (x, y, weight): of every label the heaviest first, then what still joins two."""
-        ends = labelled(labelled(pairs, "x", "lx", labels), "y", "ly", labels).filter("lx <> ly")
-        ends = stage(ends.groupBy("x", "y", "lx", "ly").agg(F.max("weight").alias("weight")))
+        """Merge ``labels`` over ``pairs`` (x, y, their labels lx and ly, weight): of every label the heaviest first, then what
+        still joins two."""
+        ends = stage(pairs.groupBy("x", "y", "lx", "ly").agg(F.max("weight").alias("weight")))
         heavy = F.max_by(F.struct("x", "y"), F.struct("weight", "x", "y")).alias("one")
         either = ends.select(F.col("lx").alias("l"), "x", "y", "weight").unionByName(ends.select(F.col("ly").alias("l"), "x", "y", "weight"))
         first = stage(either.groupBy("l").agg(heavy).select("one.*").distinct())
@@ -357,13 +361,20 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
         rest = stage(labelled(labelled(rest, "x", "lx", labels), "y", "ly", labels).filter("lx <> ly").select("x", "y"))
         return stage(merge(labels, verified(likely(rest))))
 
-    inside = _pieces(labelled(buckets.drop("leader"), "node", "label", labels), threshold)
+    def spread(labels: DataFrame) -> DataFrame:
+        return labelled(held, "node", "label", labels).select("node", "weight", "label", F.inline("at"))
+
+    # Labels come with the members, so that no pair has to look its own up.
+    inside = _pieces(spread(labels), threshold, ("x", "y", "lx", "ly"))
     rest = stars.join(best.select("x", "y"), ["x", "y"], "left_anti")
+    rest = labelled(labelled(rest, "x", "lx", labels), "y", "ly", labels).filter("lx <> ly")
     low, high = F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")
-    tried = stage(rest.select(low, high, F.col("bands").alias("weight")).unionByName(
-        inside.select(low, high, F.lit(0).cast("bigint").alias("weight"))))
+    turned = F.col("x") > F.col("y")
+    sides = [F.when(turned, F.col("ly")).otherwise(F.col("lx")).alias("lx"), F.when(turned, F.col("lx")).otherwise(F.col("ly")).alias("ly")]
+    tried = stage(rest.select(low, high, *sides, F.col("bands").alias("weight")).unionByName(
+        inside.select(low, high, *sides, F.lit(0).cast("bigint").alias("weight"))))
     near = link(labels, tried)
-    crowd = _crowded(labelled(buckets.select("band", "key", "node"), "node", "label", near))
+    crowd = _crowded(spread(near))
     texts = known.withColumnRenamed("a", "node").join(crowd, "node")
     # A pair that was tried before and still has two labels is no link; it is not looked at again.
     done = tried.select("x", "y").union(best.select(low, high)).distinct()

@@ -99,6 +99,16 @@ def test_pieces_link_all_labels_of_a_bucket(spark):
     assert all((i, i + 3) in pairs for i in range(57)) and len(pairs) < 200
 
 
+def test_pieces_tell_the_labels_of_their_pairs(spark):
+    rows = [(0, 1, i % 3, 5, i, i % 7, 100 + i) for i in range(60)] + [(2, 3, 3, 3, i, i % 2, 100) for i in range(5)]
+    frame = spark.createDataFrame(rows, "band int, key long, key2 long, key3 long, node long, label long, weight long")
+    got = minhash._pieces(frame, 0.8, ("x", "y", "lx", "ly")).collect()
+    labels = {r[4]: {t[5] for t in rows if t[4] == r[4]} for r in rows}
+    assert len({(r.x, r.y, r.lx, r.ly) for r in got}) == len(got)
+    assert all(r.lx != r.ly and r.lx in labels[r.x] and r.ly in labels[r.y] for r in got)
+    assert {(0, 1), (0, 3), (1, 2), (1, 4), (2, 3), (3, 4)} <= {(r.x, r.y) for r in got}
+
+
 def test_components_and_roots(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (95, 90), (96, 95), (200, 200)]
     frame = spark.createDataFrame(edges, "x long, y long")
