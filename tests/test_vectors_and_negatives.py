@@ -1,6 +1,7 @@
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -282,3 +283,31 @@ def test_a_drama_beyond_4096_shots_is_one_pass(spark, monkeypatch):
         limit = np.percentile(np.delete(q, a).astype(float), 90.0)
         keep = sorted((b for b in range(4200) if b != a and q[b] < limit), key=lambda b: (-q[b], b))[:3]
         assert got[f"s{a:04d}"] == [(f"s{b:04d}", int(q[b])) for b in keep]
+
+
+def test_copies_of_the_right_side_do_not_grow_with_the_group(spark):
+    rows = [("a", i) for i in range(64)] + [("b", i) for i in range(6)]
+    df = spark.createDataFrame(rows, "drama string, shot_id long")
+    cands = df.select("drama", F.col("shot_id").alias("neg"))
+
+    def seen(a, b):
+        return pd.DataFrame({"drama": a["drama"][:1], "left": len(a), "right": len(b)})
+
+    got = pairs.block_join(df, cands, ["drama"], "shot_id", "neg", seen, "drama string, left long, right long", 64,
+                           left_block=4, left_most=3).groupBy("drama").agg(F.sum("left"), F.sum("right")).collect()
+    assert sorted(map(tuple, got)) == [("a", 64, 192), ("b", 6, 12)]
+
+
+@pytest.mark.parametrize("tasks, blocks", [(1, 2), (15, 5)])
+def test_mining_in_few_blocks_of_anchors(spark, monkeypatch, tasks, blocks):
+    rows, df = _corpus(spark, {"hot": [9, 14, 7], "small": [5], "pair": [2]}, copies=9)
+    asked = []
+
+    def watched(*args):
+        asked.append(args[-1])
+        return pairs.block_join(*args)
+
+    for name, value in {"BLOCK": 3, "PARTS": 2, "TASKS": tasks, "block_join": watched}.items():
+        monkeypatch.setattr(N, name, value)
+    assert _lists(N.mine_hard_negatives(df, topk=4)) == _brute(rows, 4)
+    assert asked == [blocks]
