@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from shotloom.functions import vectors as V
 from shotloom.operators.pairs import BLOCK, SIM_SCALE, block_join, quantise, unit_rows
+from shotloom.session import stage
 
 SLICE = 512
 
@@ -79,16 +80,25 @@ def contrastive_loss(candidates: DataFrame, temperature: float = 0.07) -> DataFr
 def negative_candidates(shots: DataFrame, negatives: DataFrame) -> DataFrame:
     """Candidates in both directions: text against images and image against texts.
 
-    shots(shot_id, text, image) with unit vectors, negatives(anchor, neg).
+    shots(shot_id, text, image) with unit vectors, negatives(anchor, neg).  Either way the text travels to the
+    image, as it is the vector with more zeros; the pairs are written once and read from both ends.
     """
-    a = shots.select(F.col("shot_id").alias("anchor"), F.col("text").alias("_t"), F.col("image").alias("_i"))
-    n = shots.select(F.col("shot_id").alias("neg"), F.col("text").alias("_nt"), F.col("image").alias("_ni"))
-    pos = a.select("anchor", V.dot(F.col("_t"), F.col("_i")).alias("sim"), F.lit(True).alias("positive"))
-    both = negatives.join(a, "anchor").join(n, "neg")
-    t2i = both.select("anchor", F.lit("t2i").alias("direction"), V.dot(F.col("_t"), F.col("_ni")).alias("sim"), F.lit(False).alias("positive"))
-    i2t = both.select("anchor", F.lit("i2t").alias("direction"), V.dot(F.col("_i"), F.col("_nt")).alias("sim"), F.lit(False).alias("positive"))
-    own = pos.withColumn("direction", F.explode(F.array(F.lit("t2i"), F.lit("i2t"))))
-    return own.unionByName(t2i).unionByName(i2t)
+    negatives = stage(negatives.select("anchor", "neg"))
+
+    def texts(key: str) -> DataFrame:
+        return shots.select(F.col("shot_id").alias(key), F.col("text").alias("_t"))
+
+    def images(key: str) -> DataFrame:
+        return shots.select(F.col("shot_id").alias(key), F.col("image").alias("_i"))
+
+    def sims(text: str, image: str, direction: str) -> DataFrame:
+        return negatives.join(texts(text), text).join(images(image), image).select(
+            "anchor", F.lit(direction).alias("direction"), V.dot(F.col("_t"), F.col("_i")).alias("sim"),
+            F.lit(False).alias("positive"))
+
+    own = shots.select(F.col("shot_id").alias("anchor"), F.explode(F.array(F.lit("t2i"), F.lit("i2t"))).alias("direction"),
+                       V.dot(F.col("text"), F.col("image")).alias("sim"), F.lit(True).alias("positive"))
+    return own.unionByName(sims("anchor", "neg", "t2i")).unionByName(sims("neg", "anchor", "i2t"))
 
 
 def in_batch_loss(pairs: DataFrame, temperature: float = 0.07, block: int = BLOCK) -> DataFrame:

@@ -311,3 +311,27 @@ def test_mining_in_few_blocks_of_anchors(spark, monkeypatch, tasks, blocks):
         monkeypatch.setattr(N, name, value)
     assert _lists(N.mine_hard_negatives(df, topk=4)) == _brute(rows, 4)
     assert asked == [blocks]
+
+
+def test_losses_read_the_negatives_once(spark):
+    rng = np.random.default_rng(8)
+    text, image = unit_rows(list(rng.normal(size=(7, 5)))), unit_rows(list(rng.normal(size=(7, 5))))
+    shots = spark.createDataFrame([(f"s{i}", text[i].tolist(), image[i].tolist()) for i in range(7)],
+                                  "shot_id string, text array<double>, image array<double>")
+    picks = [(a, (a + d) % 7) for a in range(6) for d in (1, 3)]
+    made = spark.sparkContext.accumulator(0)
+
+    def count(parts):
+        for part in parts:
+            made.add(len(part))
+            yield part
+
+    schema = "anchor string, neg string"
+    negatives = spark.createDataFrame([(f"s{a}", f"s{b}") for a, b in picks], schema).mapInPandas(count, schema)
+    got = {(r.anchor, r.direction): r.loss for r in M.contrastive_loss(M.negative_candidates(shots, negatives), 0.07).collect()}
+    want = {}
+    for i in range(7):
+        for direction, mine, theirs in (("t2i", text, image), ("i2t", image, text)):
+            logits = np.array([mine[i] @ theirs[j] for j in [i, *(b for a, b in picks if a == i)]]) / 0.07
+            want[f"s{i}", direction] = np.log(np.exp(logits).sum()) - logits[0]
+    assert got == pytest.approx(want) and made.value == len(picks)
