@@ -335,3 +335,19 @@ def test_losses_read_the_negatives_once(spark):
             logits = np.array([mine[i] @ theirs[j] for j in [i, *(b for a, b in picks if a == i)]]) / 0.07
             want[f"s{i}", direction] = np.log(np.exp(logits).sum()) - logits[0]
     assert got == pytest.approx(want) and made.value == len(picks)
+
+
+def test_lists_are_collected_where_their_anchor_is(spark):
+    vec = "text array<double>, depth array<double>, pose array<double>"
+    shots = spark.createDataFrame([(f"s{i}", [float(i)], [i + 0.1], [i + 0.2]) for i in range(9)], f"shot_id string, {vec}")
+    negatives = spark.createDataFrame([(f"s{a}", k, r, f"s{(a + r * s) % 9}") for a in range(8) for k, s in (("hard", 1), ("infonce", 2))
+                                       for r in (3, 1, 2)], "anchor string, kind string, rank int, neg string")
+    rows = N.assemble_training_rows(shots, negatives)
+    got = {r.anchor: r for r in rows.collect()}
+    assert got["s8"].hard_text is None and len(got) == 9
+    for a in range(8):
+        assert got[f"s{a}"].hard_depth == [[(a + r) % 9 + 0.1] for r in (1, 2, 3)]
+        assert got[f"s{a}"].infonce_pose == [[(a + 2 * r) % 9 + 0.2] for r in (1, 2, 3)]
+    lines = rows._jdf.queryExecution().executedPlan().toString().splitlines()
+    at = next(i for i, line in enumerate(lines) if "partial_collect_list" in line)
+    assert any("Exchange hashpartitioning(anchor" in line for line in lines[at + 1:at + 4])
