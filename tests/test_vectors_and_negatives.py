@@ -337,6 +337,14 @@ def test_losses_read_the_negatives_once(spark):
     assert got == pytest.approx(want) and made.value == len(picks)
 
 
+def test_no_image_travels_with_the_pairs(spark):
+    shots = spark.createDataFrame([(f"s{i}", [1.0, float(i)], [float(i), 1.0]) for i in range(1, 4)], "shot_id string, text array<double>, image array<double>")
+    negatives = spark.createDataFrame([("s1", "s2"), ("s2", "s3")], "anchor string, neg string")
+    plan = M.negative_candidates(shots, negatives)._jdf.queryExecution().optimizedPlan().toString()
+    pairs_on_their_way = [line for line in plan.splitlines() if "Project [" in line and "anchor#" in line and "neg#" in line]
+    assert pairs_on_their_way and not any("_i#" in line or "_ni#" in line for line in pairs_on_their_way)
+
+
 def test_lists_are_collected_where_their_anchor_is(spark):
     vec = "text array<double>, depth array<double>, pose array<double>"
     shots = spark.createDataFrame([(f"s{i}", [float(i)], [i + 0.1], [i + 0.2]) for i in range(9)], f"shot_id string, {vec}")
